@@ -13,6 +13,11 @@ def byte_len(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing whitespace of any kind (``trim`` alone only drops blanks)."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def human_bytes(size: Column) -> Column:
     """1024-based label with one decimal; ties go to the even digit."""
     size = size.cast("long")

@@ -107,10 +107,15 @@ def scan_limits(t):
     return I.scan_limits(t.files, Policy(max_files_scanned=40)).select("repo", "path", "position", "kept", "truncated")
 
 
-@query("scan_issues", _cf("""SELECT repo, path, 'contains replacement characters; the original bytes were not UTF-8' AS message
- FROM corpus_files WHERE contains(content, chr(65533))"""))
+_PAGE_PATH = "CASE WHEN contains(url, '?') THEN replace(url, '?', '/../') ELSE regexp_extract(url, '^[a-z]+:/(.*)$', 1) END"
+
+
+@query("scan_issues", f"""SELECT 'pages' AS repo, {_PAGE_PATH}||'#'||page_id AS path, 'skipped: resolved outside the project root' AS message FROM pages WHERE contains(url, '?') OR starts_with({_PAGE_PATH}, '/')""")
 def scan_issues(t):
-    return I.scan_issues(t.files)
+    p = F.when(F.col("url").contains("?"), F.replace("url", F.lit("?"), F.lit("/../"))).otherwise(
+        F.regexp_extract("url", "^[a-z]+:/(.*)$", 1))
+    pages = t.driver("pages").select(F.lit("pages").alias("repo"), F.concat(p, F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+    return I.scan_issues(pages)
 
 
 @query("scan_stats", _cf("""SELECT a.repo, files_seen, directories_seen, bytes_seen FROM
