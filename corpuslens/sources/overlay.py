@@ -206,6 +206,10 @@ class Tables:
     def scan(self) -> DataFrame:
         return stored(self.spark, f"{self.dir}/scan", self._build_scan)
 
+    def table(self, name: str, build) -> DataFrame:
+        """An intermediate result that several queries read, stored once per session."""
+        return stored(self.spark, f"{self.dir}/{name}", build)
+
     @property
     def files(self) -> DataFrame:
         return self.scan.select("doc_id", "repo", "path", "lang", "n_chars", "content")
