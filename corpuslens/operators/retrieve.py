@@ -65,7 +65,13 @@ def substring_matches(terms: DataFrame, units: DataFrame) -> DataFrame:
     return key.join(pieces, ["repo", "gram"]).where(F.contains(F.col("unit"), F.col("term"))).select("repo", "term", "unit")
 
 
-def term_hits(terms: DataFrame, files: DataFrame, max_probe_bytes: int = DEFAULT.max_probe_bytes) -> DataFrame:
+def content_postings(files: DataFrame, max_probe_bytes: int = DEFAULT.max_probe_bytes) -> DataFrame:
+    """The inverted index (repo, unit, path): each blank-separated, lower-cased token of each text once."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
+    return files.where(F.octet_length("content") < max_probe_bytes).select("repo", "path", F.explode(tokens).alias("unit"))
+
+
+def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame) -> DataFrame:
     """Rows (repo, term, path, in_path, in_content) for every file whose path or text contains a term.
 
     A term has no blanks, so it lies within one blank-separated token of the
@@ -74,8 +80,6 @@ def term_hits(terms: DataFrame, files: DataFrame, max_probe_bytes: int = DEFAULT
     """
     wanted = terms.select("repo", "term").distinct()
     by_path = files.select("repo", "path", F.lower("path").alias("unit"))
-    tokens = F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
-    postings = files.where(F.octet_length("content") < max_probe_bytes).select("repo", "path", F.explode(tokens).alias("unit"))
     in_path = substring_matches(wanted, by_path.select("repo", "unit").distinct()).join(by_path, ["repo", "unit"]).select(
         "repo", "term", "path", F.lit(1).alias("p"), F.lit(0).alias("c"))
     in_text = substring_matches(wanted, postings.select("repo", "unit").distinct()).join(postings, ["repo", "unit"]).select(
@@ -84,18 +88,21 @@ def term_hits(terms: DataFrame, files: DataFrame, max_probe_bytes: int = DEFAULT
 
 
 def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame,
-                 config: RetrievalConfig = DEFAULT) -> DataFrame:
+                 config: RetrievalConfig = DEFAULT, postings: DataFrame | None = None) -> DataFrame:
     """Best files per query with score and reasons; ties go to the smaller path.
 
     ``queries``: query_id, repo, query. ``files``: selectable repo, path,
     size_bytes, content. A file without any matching term scores the same for
     every query of its repo, so only the best ``max_candidates`` of those can
     be among the winners; no other query-file pair is formed without a match.
+    ``postings`` may be a stored index of the same files.
     """
+    if postings is None:
+        postings = content_postings(files, config.max_probe_bytes)
     terms = query_terms(queries)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = queries.select("query_id", "repo").join(counts, "query_id", "left")
-    hits = term_hits(terms, files, config.max_probe_bytes)
+    hits = term_hits(terms, files, postings)
     scored = terms.join(hits, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(
         F.sum("in_path").alias("pm"), F.sum("in_content").alias("cm"))
     pins = pinned.select("repo", "path", F.lit(1).alias("pin")).distinct()

@@ -231,7 +231,7 @@ _TRUNC = {"trunc": f"""SELECT repo, path, n AS original_bytes, strlen(CASE WHEN
 
 def _manifest(t):
     inv, spec = t.inv, _spec(t)
-    selected = C.resolve(inv, spec)
+    selected = t.table("resolved", lambda: C.resolve(inv, spec))
     files = inv.select("repo", "path", "size_bytes", "content").join(selected.select("repo", "path"), ["repo", "path"], "left_semi")
     trunc = R.truncations(files, BundleOptions(max_file_bytes=4000))
     warn = R.manifest_warnings(trunc, C.missing(inv, spec), selected.select("repo").distinct())

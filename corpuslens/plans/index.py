@@ -134,7 +134,7 @@ KM = {**SYM, "mods": f"SELECT repo, path, count(*) AS exports, list(name ORDER B
 @query("key_modules", _i("""SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY exports DESC, path) AS rank, path, exports,
  '`'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END AS label FROM mods QUALIFY rank <= 20""", KM))
 def key_modules(t):
-    return A.key_modules(A.symbols(chosen(t)))
+    return A.key_modules(A.module_exports(A.symbols(chosen(t))))
 
 
 ST = {"anc": SEL["anc"],
@@ -162,7 +162,8 @@ def unsupported_languages(t):
 
 
 def _complete(t):
-    return A.complete_sections(A.section_lines(t.inv), t.inv.select("repo").distinct())
+    repos = t.inv.select("repo").distinct()
+    return A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), repos)
 
 
 @query("context_sections")
@@ -185,7 +186,7 @@ _SH = {**TODO,
 
 @query("context_known_issues", _i("SELECT repo, body FROM body", _SH))
 def context_known_issues(t):
-    lines = A.section_lines(t.inv).where("key = 'known_issues'")
+    lines = t.table("section_lines", lambda: A.section_lines(t.inv)).where("key = 'known_issues'")
     return A.context_sections(lines).select("repo", "body")
 
 
@@ -193,6 +194,6 @@ def context_known_issues(t):
        + " ||':'|| ".join(f"CAST(sum(CAST('0x'||substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
        + " AS d FROM (SELECT DISTINCT n.repo, sha256('known_issues'||chr(0)||n.path||chr(0)||i.content_hash) AS h FROM notes n JOIN inv i ON i.repo = n.repo AND i.path = n.path) GROUP BY repo) d USING (repo)", _SH))
 def semantic_hash(t):
-    lines = A.section_lines(t.inv).where("key = 'known_issues'")
+    lines = t.table("section_lines", lambda: A.section_lines(t.inv)).where("key = 'known_issues'")
     refs = A.todo_notes(chosen(t)).select("repo", "path").distinct().join(t.inv.select("repo", "path", "content_hash"), ["repo", "path"]).withColumn("key", F.lit("known_issues"))
     return A.semantic_hash(A.context_sections(lines), refs)
