@@ -178,6 +178,12 @@ def with_clause(*names: str) -> str:
     return ",\n".join(f"{n} AS ({sql})" for n, sql in VIEWS.items() if n in wanted)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle only an input that comes in fewer partitions than there are cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The input tables of one scale-factor folder as lazy DataFrames.
 
@@ -198,7 +204,7 @@ class Tables:
 
     def _build_scan(self) -> DataFrame:
         self._register(["documents"])
-        files = self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files")
+        files = spread(self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files"))
         files = stored(self.spark, f"{self.dir}/files", lambda: files)
         return classify(files).withColumn("skipped", in_skipped_dir(F.col("path")))
 
