@@ -37,32 +37,28 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "repo", F.explode(term_array(F.col("query"))).alias("term"))
 
 
-def _pieces(unit: Column, k: int) -> Column:
-    n = F.length(unit)
-    cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(unit, i, F.lit(k)))
-    return F.when(n >= k, cut).otherwise(F.array().cast("array<string>"))
-
-
-def _grams(unit: Column) -> Column:
-    """Distinct pieces of one to three characters."""
-    return F.array_distinct(F.flatten(F.array(*[_pieces(unit, k) for k in (1, 2, 3)])))
+def _pieces(df: DataFrame, text_col: str, k: int) -> DataFrame:
+    """Rows (text_col, gram) for every piece of ``k`` characters; repeated pieces stay."""
+    at = df.where(F.length(text_col) >= k).select(text_col, F.explode(F.sequence(F.lit(1), F.length(text_col) - (k - 1))).alias("_at"))
+    return at.select(text_col, F.substring(F.col(text_col), F.col("_at"), F.lit(k)).alias("gram"))
 
 
 def substring_matches(terms: DataFrame, units: DataFrame) -> DataFrame:
-    """Pairs (repo, term, unit) where the unit contains the term.
+    """Pairs (term, unit) where the unit contains the term; both sides hold each value once.
 
-    Every unit is indexed by its short pieces and every term is looked up by
-    its rarest one, so only units that share it are compared. ``terms``: repo,
-    term. ``units``: repo, unit, each once.
+    Units are indexed by their three-character pieces and each term is looked
+    up by its rarest one, so a term is compared only with units that share it.
+    Terms of one or two characters use pieces of their own length.
     """
-    pieces = units.select("repo", "unit", F.explode(_grams(F.col("unit"))).alias("gram"))
-    size = F.least(F.length("term"), F.lit(3))
-    wanted = terms.select("repo", "term", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring(F.col("term"), i, size)))).alias("gram"))
-    frequency = pieces.join(wanted.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi").groupBy("repo", "gram").agg(F.count("*").alias("n"))
-    key = wanted.join(frequency, ["repo", "gram"], "left").groupBy("repo", "term").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return key.join(pieces, ["repo", "gram"]).where(F.contains(F.col("unit"), F.col("term"))).select("repo", "term", "unit")
+    out = None
+    for k, of_size in ((3, F.length("term") >= 3), (2, F.length("term") == 2), (1, F.length("term") == 1)):
+        wanted = _pieces(terms.where(of_size), "term", k).distinct()
+        pieces = _pieces(units, "unit", k).join(wanted.select("gram").distinct(), "gram", "left_semi")
+        frequency = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+        key = wanted.join(frequency, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        hit = key.join(pieces, "gram").where(F.contains(F.col("unit"), F.col("term"))).select("term", "unit")
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
 
 
 def content_postings(files: DataFrame, max_probe_bytes: int = DEFAULT.max_probe_bytes) -> DataFrame:
@@ -75,16 +71,20 @@ def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame) -> DataFr
     """Rows (repo, term, path, in_path, in_content) for every file whose path or text contains a term.
 
     A term has no blanks, so it lies within one blank-separated token of the
-    text: it is matched against the distinct tokens of a repo, not against
+    text: it is matched against the distinct tokens of all texts, not against
     every text, and the postings of the matching tokens give the files.
     """
-    wanted = terms.select("repo", "term").distinct()
+    asked = terms.select("repo", "term").distinct()
+    wanted = asked.select("term").distinct()
+
+    def found(index: DataFrame, p: int, c: int) -> DataFrame:
+        pairs = substring_matches(wanted, index.select("unit").distinct())
+        return pairs.join(asked, "term").join(index, ["repo", "unit"]).select(
+            "repo", "term", "path", F.lit(p).alias("p"), F.lit(c).alias("c"))
+
     by_path = files.select("repo", "path", F.lower("path").alias("unit"))
-    in_path = substring_matches(wanted, by_path.select("repo", "unit").distinct()).join(by_path, ["repo", "unit"]).select(
-        "repo", "term", "path", F.lit(1).alias("p"), F.lit(0).alias("c"))
-    in_text = substring_matches(wanted, postings.select("repo", "unit").distinct()).join(postings, ["repo", "unit"]).select(
-        "repo", "term", "path", F.lit(0).alias("p"), F.lit(1).alias("c"))
-    return in_path.unionByName(in_text).groupBy("repo", "term", "path").agg(F.max("p").alias("in_path"), F.max("c").alias("in_content"))
+    both = found(by_path, 1, 0).unionByName(found(postings, 0, 1))
+    return both.groupBy("repo", "term", "path").agg(F.max("p").alias("in_path"), F.max("c").alias("in_content"))
 
 
 def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame,

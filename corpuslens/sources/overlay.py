@@ -205,7 +205,9 @@ class Tables:
     def _build_scan(self) -> DataFrame:
         self._register(["documents"])
         files = spread(self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files"))
-        files = stored(self.spark, f"{self.dir}/files", lambda: files)
+        # A generator is a boundary the optimizer does not inline expressions across: without it the
+        # long CASE that makes up a path would be repeated in every predicate on the path.
+        files = files.select(F.inline(F.array(F.struct(*files.columns))))
         return classify(files).withColumn("skipped", in_skipped_dir(F.col("path")))
 
     @property
