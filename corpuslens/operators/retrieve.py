@@ -128,7 +128,7 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
     best = ordering.top_k(kept, ["query_id"], [F.desc("score"), F.asc("path")], config.max_candidates)
     sizes = files.select("repo", "path", "size_bytes")
     return best.join(sizes, ["repo", "path"]).select(
-        "query_id", "repo", "rank", "path", F.round("score", 2).alias("score"), "reasons", "size_bytes",
+        "query_id", "repo", "rank", "path", (F.round(F.col("score") * 100.0) / 100.0).alias("score"), "reasons", "size_bytes",
         F.floor(F.col("size_bytes") / 4).alias("est_tokens"))
 
 

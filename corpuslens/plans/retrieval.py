@@ -44,7 +44,7 @@ _RANK = {**classified(), **TERMS,
     "rk": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank FROM sc WHERE s >= 0.15::DOUBLE QUALIFY rank <= 20"}
 
 
-@query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s, 2) AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'Explicitly pinned in current workspace' END, CASE WHEN diff = 1 THEN 'Modified in current working tree or branch diff' END,
+@query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s * 100.0::DOUBLE) / 100.0::DOUBLE AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'Explicitly pinned in current workspace' END, CASE WHEN diff = 1 THEN 'Modified in current working tree or branch diff' END,
  CASE WHEN pm > 0 THEN 'Filename/path matches '||pm||' query term(s)' END, CASE WHEN cm > 0 THEN 'Content contains '||cm||' keyword match(es)' END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
 def rank_context(t):
     index = t.table("postings", lambda: H.content_postings(chosen(t)))
