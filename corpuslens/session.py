@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +61,19 @@ def stored(spark: SparkSession, key: str, build) -> DataFrame:
     Readers prune columns and push filters down to the files, and a lost
     executor re-reads its files instead of recomputing what led to them.
     """
+    return spark.read.parquet(stored_path(spark, key, build))
+
+
+def stored_path(spark: SparkSession, key: str, build) -> str:
     app = spark.sparkContext.applicationId
     if (app, key) not in _STORED:
         name = hashlib.sha256(key.encode()).hexdigest()[:16]
         path = f"{shared_dir(spark)}/tables/{app}/{name}"
         build().write.mode("overwrite").parquet(path)
         _STORED[(app, key)] = path
-    return spark.read.parquet(_STORED[(app, key)])
+    return _STORED[(app, key)]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for the output and the checkpoint of one stream run."""
+    return f"{shared_dir(spark)}/streams/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

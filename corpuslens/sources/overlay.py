@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import in_skipped_dir
 from corpuslens.operators.inventory import classify
-from corpuslens.session import stored
+from corpuslens.session import stored, stored_path
 
 _NL = "||chr(10)||"
 
@@ -214,6 +214,10 @@ class Tables:
     def scan(self) -> DataFrame:
         return stored(self.spark, f"{self.dir}/scan", self._build_scan)
 
+    @property
+    def scan_path(self) -> str:
+        return stored_path(self.spark, f"{self.dir}/scan", self._build_scan)
+
     def table(self, name: str, build) -> DataFrame:
         """An intermediate result that several queries read, stored once per session."""
         return stored(self.spark, f"{self.dir}/{name}", build)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.operators import inventory, ledger, secrets
+from corpuslens.session import fresh_folder
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 FILE_SCHEMA = "repo string, path string, content string, landed_ts timestamp"
@@ -125,3 +126,12 @@ def dropped_by_watermark(progress: list) -> int:
         ops = p["stateOperators"] if isinstance(p, dict) else p.stateOperators
         total += sum((o["numRowsDroppedByWatermark"] if isinstance(o, dict) else o.numRowsDroppedByWatermark) for o in ops)
     return total
+
+
+def run_to_end(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything that has landed and return what it appended, as a table."""
+    folder = fresh_folder(df.sparkSession, name)
+    q = (df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
