@@ -33,21 +33,26 @@ def normalize_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def _split_lines(text: Column) -> Column:
+    """Pieces between line ends of a text that is not empty; a final line end adds no piece.
+
+    CRLF counts as one line end, a bare CR stays. Everything is done on the
+    whole text, so nothing has to be looked at again per line.
+    """
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return F.split(F.regexp_replace(unix, r"\n\z", ""), "\n", -1)
+
+
 def line_array(text: Column) -> Column:
-    """Lines without terminators; a final newline adds no line, one trailing CR is dropped."""
-    parts = F.split(text, "\n", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda l: F.regexp_replace(l, r"\r\z", ""))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(_split_lines(text))
 
 
 def explode_lines(df: DataFrame, text: str = "content", keep: tuple[str, ...] = ("repo", "path")) -> DataFrame:
-    """One row per line: ``keep`` columns, ``line_no`` from 1, ``line``. No shuffle."""
-    parts = F.split(F.col(text), "\n", -1)
-    exploded = df.select(*keep, F.size(parts).alias("_n"), F.posexplode(parts).alias("_i", "_l"))
-    return exploded.where(~((F.col("_i") == F.col("_n") - 1) & (F.col("_l") == ""))).select(
-        *keep,
-        (F.col("_i") + 1).cast("long").alias("line_no"),
-        F.regexp_replace("_l", r"\r\z", "").alias("line"),
+    """One row per line: ``keep`` columns, ``line_no`` from 1, ``line``. No shuffle, and no row carries the text along."""
+    return (
+        df.where(F.col(text) != "")
+        .select(*keep, F.posexplode(_split_lines(F.col(text))).alias("_i", "line"))
+        .select(*keep, (F.col("_i") + 1).cast("long").alias("line_no"), "line")
     )
 
 

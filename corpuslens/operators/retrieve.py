@@ -143,9 +143,9 @@ def rank_bm25(queries: DataFrame, files: DataFrame, k: int = 20, k1: float = 1.2
     """BM25 over words within each query's repo. Term counts are aggregated before any join."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     terms = queries.select("query_id", "repo", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    docs = files.select("repo", "path", words(F.col("content")).alias("w"))
-    stats = docs.groupBy("repo").agg(F.count("*").alias("n_docs"), (F.sum(F.size("w")) / F.count("*")).alias("avg_len"))
-    tf = docs.select("repo", "path", F.size("w").alias("len"), F.explode("w").alias("term")).join(
+    docs = files.select("repo", "path", words(F.col("content")).alias("w")).withColumn("len", F.size("w"))
+    stats = docs.groupBy("repo").agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
+    tf = docs.select("repo", "path", "len", F.explode("w").alias("term")).join(
         terms.select("repo", "term").distinct(), ["repo", "term"], "left_semi").groupBy("repo", "path", "term").agg(
         F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("repo", "term").agg(F.count("*").alias("df"))
