@@ -67,42 +67,45 @@ def content_postings(files: DataFrame, max_probe_bytes: int = DEFAULT.max_probe_
     return files.where(F.octet_length("content") < max_probe_bytes).select("repo", "path", F.explode(tokens).alias("unit"))
 
 
-def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame) -> DataFrame:
+def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Rows (repo, term, path, in_path, in_content) for every file whose path or text contains a term.
 
     A term has no blanks, so it lies within one blank-separated token of the
     text: it is matched against the distinct tokens of all texts, not against
     every text, and the postings of the matching tokens give the files.
+    ``units`` are the distinct tokens, when they are stored with the postings.
     """
     asked = terms.select("repo", "term").distinct()
     wanted = asked.select("term").distinct()
 
-    def found(index: DataFrame, p: int, c: int) -> DataFrame:
-        pairs = substring_matches(wanted, index.select("unit").distinct())
+    def found(index: DataFrame, values: DataFrame, p: int, c: int) -> DataFrame:
+        pairs = substring_matches(wanted, values)
         return pairs.join(asked, "term").join(index, ["repo", "unit"]).select(
             "repo", "term", "path", F.lit(p).alias("p"), F.lit(c).alias("c"))
 
     by_path = files.select("repo", "path", F.lower("path").alias("unit"))
-    both = found(by_path, 1, 0).unionByName(found(postings, 0, 1))
+    tokens = postings.select("unit").distinct() if units is None else units
+    both = found(by_path, by_path.select("unit").distinct(), 1, 0).unionByName(found(postings, tokens, 0, 1))
     return both.groupBy("repo", "term", "path").agg(F.max("p").alias("in_path"), F.max("c").alias("in_content"))
 
 
 def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame,
-                 config: RetrievalConfig = DEFAULT, postings: DataFrame | None = None) -> DataFrame:
+                 config: RetrievalConfig = DEFAULT, postings: DataFrame | None = None,
+                 units: DataFrame | None = None) -> DataFrame:
     """Best files per query with score and reasons; ties go to the smaller path.
 
     ``queries``: query_id, repo, query. ``files``: selectable repo, path,
     size_bytes, content. A file without any matching term scores the same for
     every query of its repo, so only the best ``max_candidates`` of those can
     be among the winners; no other query-file pair is formed without a match.
-    ``postings`` may be a stored index of the same files.
+    ``postings`` and ``units`` may be a stored index of the same files.
     """
     if postings is None:
         postings = content_postings(files, config.max_probe_bytes)
     terms = query_terms(queries)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = queries.select("query_id", "repo").join(counts, "query_id", "left")
-    hits = term_hits(terms, files, postings)
+    hits = term_hits(terms, files, postings, units)
     scored = terms.join(hits, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(
         F.sum("in_path").alias("pm"), F.sum("in_content").alias("cm"))
     pins = pinned.select("repo", "path", F.lit(1).alias("pin")).distinct()

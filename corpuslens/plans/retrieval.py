@@ -48,7 +48,8 @@ _RANK = {**classified(), **TERMS,
  CASE WHEN pm > 0 THEN 'Filename/path matches '||pm||' query term(s)' END, CASE WHEN cm > 0 THEN 'Content contains '||cm||' keyword match(es)' END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
 def rank_context(t):
     index = t.table("postings", lambda: H.content_postings(chosen(t)))
-    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), postings=index)
+    units = t.table("posting_units", lambda: index.select("unit").distinct())
+    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), postings=index, units=units)
 
 
 @query("rank_context_disabled", sql("corpus_files", classified(), "SELECT repo, path, 1.0::DOUBLE AS score, 'Explicitly pinned by user (deterministic mode)' AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM inv JOIN labels USING (doc_id) WHERE selectable AND quality = 1 AND toxic = 1"))

@@ -83,7 +83,7 @@ def citation_coverage(t):
     return G.citation_coverage(affected, section_refs(t).where("content_hash IS NOT NULL"))
 
 
-@query("context_citations", sql("snap_worktree selection_spec", {"wanted": "SELECT DISTINCT repo, path FROM selection_spec WHERE kind = 'file'"}, """SELECT w.repo, w.path, sha256(content) AS content_hash, CASE WHEN content IS NOT NULL THEN 1 END AS line_start,
+@query("context_citations", sql("snap_worktree selection_spec", {"wanted": "SELECT DISTINCT repo, path FROM selection_spec WHERE kind = 'file'"}, """SELECT w.repo, w.path, sha256(content) AS content_hash, CASE WHEN content IS NOT NULL THEN CAST(1 AS BIGINT) END AS line_start,
  greatest(length(content) - length(replace(content, chr(10), '')), 1) AS line_end0, strlen(content) // 4 AS est_tokens, CASE WHEN content IS NULL THEN w.path||': read error: not found' END AS omitted
  FROM wanted w LEFT JOIN snap_worktree f ON f.repo = w.repo AND f.path = w.path""").replace("greatest(length(content) - length(replace(content, chr(10), '')), 1) AS line_end0", "CASE WHEN content IS NOT NULL THEN greatest(length(content) - length(replace(content, chr(10), '')), 1) END AS line_end"))
 def context_citations(t):
@@ -103,7 +103,7 @@ def _requests(t):
     "x": f"SELECT request_id, r.repo, r.path, a, b, f.content, {LINES.format(x='f.content')} AS ls, c.content AS old FROM rq r JOIN snap_worktree f ON f.repo = r.repo AND f.path = r.path JOIN corpus_files c ON c.repo = r.repo AND c.path = r.path",
     "y": "SELECT *, least(coalesce(b, len(ls)), len(ls)) AS stop FROM x"},
     f"""SELECT request_id, repo, path, CASE WHEN a > len(ls) OR a > stop THEN '' ELSE array_to_string(list_transform(ls[a:stop], lambda l: CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l)-1) ELSE l END), chr(10)) END AS content,
- a AS from_line, stop AS to_line, len(ls) AS total_lines, sha256(content) AS content_hash, coalesce(sha256(content) <> sha256(old), FALSE) AS changed_since_scan FROM y WHERE NOT {SENSITIVE}"""))
+ CAST(a AS BIGINT) AS from_line, stop AS to_line, len(ls) AS total_lines, sha256(content) AS content_hash, coalesce(sha256(content) <> sha256(old), FALSE) AS changed_since_scan FROM y WHERE NOT {SENSITIVE}"""))
 def fetch_source(t):
     rq = _requests(t).select(F.col("doc_id").alias("request_id"), "repo", "path", (1 + F.col("quality") * 2).alias("from_line"),
                              F.when(F.col("toxic") != 1, F.lit(6)).alias("to_line"))
