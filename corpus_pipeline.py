@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import langid, mixing, packing
+from corpuslens.llm import bagminhash, langid, mixing, packing, pii
 from corpuslens.llm.common import read, table
 
 #: Below so many letters a phrase, on average, a text is in none of the learned languages.
@@ -23,6 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("bits") <= most)).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4. One document of each class of near-duplicates stays, the one with the smallest doc_id."""
+    return bagminhash.kept_documents(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1. Personal data and the terms that disclose it are masked; no document goes."""
+    return pii.sanitised(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7. The documents as the mix takes them: parts, wholes or twice."""
     return mixing.mixed_documents(docs)
@@ -35,6 +45,8 @@ def packing_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("mixing", mixture),
     ("packing", packing_bins),
 ]

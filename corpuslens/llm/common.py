@@ -28,6 +28,11 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns under identities of their own, for a join or cogroup of two tables derived from one."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

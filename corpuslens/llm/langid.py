@@ -67,13 +67,13 @@ class Automaton:
         """
         again = np.maximum(self.step[self.width : 2 * self.width], self.width)
         state = np.full(len(start), self.width, np.int32)
-        count = np.ones(len(start), np.int32)
+        count = np.zeros(len(start), np.int32)
         alive = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
         for t, n in enumerate(alive):
             c = codes[start[:n] + t]
             to = self.step[state[:n] + c]
             missed = np.flatnonzero(to == 0)
-            count[missed] += 1
+            count[:n] += (to == 0) | (state[:n] == self.width)  # a phrase begins
             to[missed] = again[c[missed]]
             state[:n] = to
         return count

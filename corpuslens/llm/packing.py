@@ -86,7 +86,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     groups = max(1, -(-max(total[0] or 0, 64 * total[1]) // group_words))
     keyed = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "digest", "copy", "piece"), F.lit(groups)))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "digest", "source", "copy", "piece"], ascending=[False, True, True, True, True, True], kind="stable")
         placed = pack_group(rows["size"].tolist(), rows["source"].tolist(), rows["digest"].tolist(), capacity, per_source)
         bins = [b for b, _ in placed]

@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import extraction, langid, mixing, packing, sharding
+from corpuslens.llm import ann, bagminhash, extraction, langid, mixing, packing, pii, sharding, substring, vectors
 from corpuslens.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs), keep=["doc_id"])
@@ -25,6 +42,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(read(spark, sf_dir, "pages"))
 
@@ -34,9 +55,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_bagminhash": op4_bagminhash,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
+    "op8_nearest": op8_nearest,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
 }
