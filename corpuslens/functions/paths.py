@@ -125,12 +125,15 @@ def is_data_file(path: Column) -> Column:
     return extension(path).isin(P.DATA_EXTENSIONS)
 
 
-def size_limit(path: Column, policy: P.Policy) -> Column:
-    return F.when(is_data_file(path), F.lit(policy.max_data_file_bytes)).otherwise(F.lit(policy.max_file_bytes)).cast("long")
+def large_from(path: Column, policy: P.Policy) -> Column:
+    """Bytes above which a file of this name is called large."""
+    return F.when(is_data_file(path), F.lit(policy.large_data_file_bytes)).otherwise(F.lit(policy.large_file_bytes)).cast("long")
 
 
-def size_limit_name(path: Column) -> Column:
-    return F.when(is_data_file(path), F.lit("max_data_file_bytes")).otherwise(F.lit("max_file_bytes"))
+def size_class(path: Column, size: Column, policy: P.Policy) -> Column:
+    """``large_data``, ``large`` or ``normal``: for information, nothing is left out because of it."""
+    large = size > large_from(path, policy)
+    return F.when(large & is_data_file(path), "large_data").when(large, "large").otherwise("normal")
 
 
 def has_binary_extension(path: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Fixed line patterns of the index. ``{w}`` stands for a word character in any script."""
+"""Fixed line patterns of the index."""
 
 from __future__ import annotations
 
@@ -71,7 +71,7 @@ ROUTES = [
     r"\.route\s*\(\s*\"([^\"]+)\"\s*,\s*(get|post|put|patch|delete)",
 ]
 
-TODO = r"(?:^|\s)(?://+|#+|/\*+|\*|<!--|--|;+)\s*(TODO|FIXME|HACK|XXX|BUG)\b[:\s-]*(.{0,160})"
+TODO = r"(?:^|\s)(?://+|#+|/\*+|\*|<!--|--|;+)\s*(TODO|FIXME|HACK|XXX|BUG)\b[:\s-]*(.*)"
 
 ENV_ACCESS = [
     r"process\.env\.([A-Z_][A-Z0-9_]*)",

@@ -1,31 +1,15 @@
-"""Plug-in points: a token counter backed by a real encoder, and named predicates."""
+"""Plug-in point: named path predicates."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths
 
 
-def token_counter(make_encoder: Callable[[], Callable[[str], list]]):
-    """An Arrow-batched counter around an encoder.
-
-    ``make_encoder`` runs once per Python worker batch stream, so a merge table
-    is loaded there and not shipped with every task.
-    """
-
-    @F.pandas_udf("long")
-    def count(batches: "pd.Series") -> "pd.Series":
-        encode = make_encoder()
-        return batches.map(lambda s: len(encode(s)) if s is not None else None)
-
-    return count
-
-
 PREDICATES: dict[str, Callable[[Column], Column]] = {
     "sensitive": paths.is_sensitive,
     "lockfile": paths.is_lockfile,

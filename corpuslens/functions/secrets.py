@@ -50,4 +50,4 @@ def redact(line: Column) -> Column:
 
 
 def excerpt(line: Column) -> Column:
-    return F.left(text.strip(redact(line)), F.lit(200))
+    return text.strip(redact(line))

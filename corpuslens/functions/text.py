@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRUNCATION_MARKER = "\n… [truncated]\n"
-MAX_ANALYSED_LINE_BYTES = 2_048
 
 
 def byte_len(text: Column) -> Column:
@@ -75,12 +74,11 @@ def truncate_utf8(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 
-def looks_binary(content: Column, probe_bytes: int) -> Column:
-    """Head probe of a binary column: byte-order marks, NUL, share of control bytes above 10 %."""
-    head = F.substring(content, 1, probe_bytes)
-    n = F.octet_length(head)
-    start = F.hex(F.substring(head, 1, 3))
-    latin = F.decode(head, "ISO-8859-1")
+def looks_binary(content: Column) -> Column:
+    """Probe of a whole binary value: byte-order marks, NUL, share of control bytes above 10 %."""
+    n = F.octet_length(content)
+    start = F.hex(F.substring(content, 1, 3))
+    latin = F.decode(content, "ISO-8859-1")
     control = n - F.length(F.regexp_replace(latin, r"[\x00-\x08\x0E-\x1F\x7F]", ""))
     return (
         F.when(n == 0, False)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import ordering, paths, text
-from corpuslens.policy import CLASS_LABELS, OVERRIDE_CLASSES, INJECTION_PHRASES, Policy
+from corpuslens.policy import CLASS_LABELS, EXCLUSION_REASONS, OVERRIDE_CLASSES, INJECTION_PHRASES, Policy
 
 DEFAULT = Policy()
 
@@ -20,7 +20,7 @@ def _symlink(files: DataFrame) -> Column:
 
 
 def classify(files: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Adds size_bytes, class, selectable, exclusion and content_hash to (repo, path, content).
+    """Adds size_bytes, size_class, class, selectable, exclusion and content_hash to (repo, path, content).
 
     The order of the cases is the contract: the first that holds decides. The
     columns are lazy, so a plan that only reads path and class never hashes.
@@ -31,13 +31,12 @@ def classify(files: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     is_text = dict(files.dtypes)["content"] == "string"
     valid = F.lit(True) if is_text else F.is_valid_utf8(F.col("content").cast("string"))
     df = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    size = F.col("size_bytes")
+    df = df.withColumn("size_class", paths.size_class(path, F.col("size_bytes"), policy))
     cls = (
         F.when(paths.is_sensitive(path), "credential_sensitive")
         .when(_symlink(files), "symlink")
-        .when(size > paths.size_limit(path, policy), "too_large")
         .when(paths.has_binary_extension(path), "binary")
-        .when(text.looks_binary(raw, policy.binary_probe_bytes), "binary")
+        .when(text.looks_binary(raw), "binary")
     )
     if policy.hash_contents:
         cls = cls.when(~valid, "unsupported_encoding")
@@ -49,8 +48,7 @@ def classify(files: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
     df = df.withColumn("class", cls).withColumn("selectable", selectable(F.col("class"), policy))
     df = df.withColumn("exclusion", exclusion(policy))
-    hashed = F.col("class").isin("lockfile", "generated", "hidden_metadata", "source_text")
-    digest = F.when(hashed, F.sha2(raw, 256)) if policy.hash_contents else F.lit(None).cast("string")
+    digest = F.sha2(raw, 256) if policy.hash_contents else F.lit(None).cast("string")
     return df.withColumn("content_hash", digest)
 
 
@@ -69,35 +67,11 @@ def selectable(cls: Column, policy: Policy) -> Column:
 
 def exclusion(policy: Policy) -> Column:
     """Struct (source, reason, rule) for each file that is not plain selectable text."""
-    path, size, cls = F.col("path"), F.col("size_bytes"), F.col("class")
-    limit = paths.size_limit(path, policy)
-    limit_name = paths.size_limit_name(path)
-    too_large = F.when(
-        limit_name == "max_data_file_bytes",
-        F.concat(
-            text.human_bytes(size), F.lit(" of structured data exceeds the "), text.human_bytes(limit),
-            F.lit(" limit for data files. Data this large is token-dense and rarely useful as context."),
-        ),
-    ).otherwise(
-        F.concat(text.human_bytes(size), F.lit(" exceeds the "), text.human_bytes(limit), F.lit(" limit for a single file."))
-    )
-    by_ext = paths.has_binary_extension(path)
-    reason = (
-        F.when(cls == "credential_sensitive",
-               "This path commonly stores credentials. Selecting it requires a per-file confirmation.")
-        .when(cls == "symlink", "Symbolic links are not followed by default; select the target file instead.")
-        .when(cls == "too_large", too_large)
-        .when((cls == "binary") & by_ext, "Binary file type.")
-        .when(cls == "binary", "Content probe found binary data in the first bytes of the file.")
-        .when(cls == "unsupported_encoding", "File is not valid UTF-8. Convert it before bundling.")
-        .when(cls == "lockfile", "Dependency lockfile: large and rarely useful as context.")
-        .when(cls == "generated", "Generated, vendored or minified output.")
-        .when(cls == "hidden_metadata", "Hidden or editor/OS metadata file.")
-    )
-    rule = (
-        F.when(cls == "credential_sensitive", path)
-        .when(cls == "too_large", limit_name)
-        .when((cls == "binary") & by_ext, F.concat(F.lit("*."), F.substring_index(path, ".", -1)))
+    path, cls = F.col("path"), F.col("class")
+    binary = F.when(paths.has_binary_extension(path), "binary_extension").otherwise("binary_content")
+    reason = paths._lookup(F.when(cls == "binary", binary).otherwise(cls), EXCLUSION_REASONS, "unreadable")
+    rule = F.when(cls == "credential_sensitive", path).when(
+        (cls == "binary") & paths.has_binary_extension(path), F.concat(F.lit("*."), F.substring_index(path, ".", -1))
     )
     return F.when(
         cls != "source_text", F.struct(F.lit("policy").alias("source"), reason.alias("reason"), rule.alias("rule"))
@@ -117,14 +91,6 @@ def override_required(cls: Column) -> Column:
     return cls.isin(OVERRIDE_CLASSES)
 
 
-def scan_limits(files: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Each file with its scan position, whether the scan keeps it, and whether the repo was cut."""
-    shallow = files.select("repo", "path").where(F.size(F.split("path", "/")) <= policy.max_depth)
-    placed = ordering.global_positions(shallow, ["repo"], ["path"])
-    counts = shallow.groupBy("repo").agg((F.count("*") > policy.max_files_scanned).alias("truncated"))
-    return placed.join(counts, "repo").withColumn("kept", F.col("position") <= policy.max_files_scanned)
-
-
 def scan_issues(files: DataFrame) -> DataFrame:
     """Recoverable problems per path: content that is missing or not UTF-8, paths that leave the root."""
     raw_text = F.col("content").cast("string")
@@ -132,7 +98,6 @@ def scan_issues(files: DataFrame) -> DataFrame:
         F.when(paths.escapes_root(F.col("path")), "skipped: resolved outside the project root")
         .when(F.col("content").isNull(), "no content could be read")
         .when(~F.is_valid_utf8(raw_text), "stream did not contain valid UTF-8")
-        .when(raw_text.contains("�"), "contains replacement characters; the original bytes were not UTF-8")
     )
     return files.select("repo", "path", text.sanitize_message(message).alias("message")).where("message IS NOT NULL")
 
@@ -159,14 +124,16 @@ def scan_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def language_mix(inv: DataFrame, k: int = 6) -> DataFrame:
+def language_mix(inv: DataFrame) -> DataFrame:
+    """Selectable files per language with their rank in the repo; every language is listed."""
     counts = (
         inv.where("selectable")
         .groupBy("repo", paths.language_of(F.col("path")).alias("language"))
         .agg(F.count("*").alias("files"))
         .where("language <> 'unknown'")
     )
-    return ordering.top_k(counts, ["repo"], [F.desc("files"), F.asc("language")], k)
+    w = Window.partitionBy("repo").orderBy(F.desc("files"), F.asc("language"))
+    return counts.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def rule_regex(pattern: Column) -> Column:

@@ -57,30 +57,23 @@ def forget_project(files: DataFrame, runs: DataFrame, events: DataFrame) -> Data
     return f.join(r, "repo", "left").select("repo", "files", F.coalesce("runs", zero).alias("runs"), F.coalesce("events", zero).alias("events"))
 
 
-def without_project(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """What is left of a table after the repos in ``gone`` are forgotten."""
-    return df.join(gone.select("repo").distinct(), "repo", "left_anti")
-
-
 def approvals(events: DataFrame, ttl_minutes: int = 30) -> DataFrame:
-    """Every edit asks for approval; a search right after it, within the time to live, decides it.
+    """Every edit asks for approval; the user's first search within the time to live decides it.
 
-    The next event can only matter within the time to live, so events are put
-    into buckets of that length and each edit also looks into the following
-    one: a user with any number of events is spread over time.
+    Events are put into buckets of the time to live and each edit also looks into the following one, so a user with
+    any number of events is spread over time. The stream ``approval_ttl`` follows the same rule.
     """
     ttl = ttl_minutes * 60
     bucket = F.floor(micros(F.col("ts")) / (ttl * 1_000_000))
-    e = events.select("run_id", "user_id", "sequence", "ts", "event_type", bucket.alias("b"))
+    e = events.where(F.col("event_type").isin("edit", "search")).select("run_id", "user_id", "sequence", "ts", "event_type", bucket.alias("b"))
     spread = e.withColumn("own", F.explode(F.array(F.col("b"), F.col("b") - 1)))
-    w = Window.partitionBy("user_id", "own").orderBy("ts", "sequence")
-    nxt = spread.withColumn("next_type", F.lead("event_type").over(w)).withColumn("next_ts", F.lead("ts").over(w))
+    later = Window.partitionBy("user_id", "own").orderBy("ts", "sequence").rowsBetween(1, Window.unboundedFollowing)
+    nxt = spread.withColumn("next_ts", F.min(F.when(F.col("event_type") == "search", F.col("ts"))).over(later))
     asked = nxt.where((F.col("event_type") == "edit") & (F.col("own") == F.col("b")))
     expires = F.col("ts") + F.make_dt_interval(mins=F.lit(ttl_minutes))
-    decided = (F.col("next_type") == "search") & (F.col("next_ts") < expires)
     return asked.select(
         F.col("sequence").alias("approval_id"), "run_id", "user_id", F.col("ts").alias("created_ts"), expires.alias("expires_ts"),
-        F.when(decided, F.col("next_ts")).alias("decided_ts"))
+        F.when(F.col("next_ts") < expires, F.col("next_ts")).alias("decided_ts"))
 
 
 def approval_state(asked: DataFrame, now: str) -> DataFrame:

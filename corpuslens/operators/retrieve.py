@@ -13,13 +13,11 @@ from corpuslens.functions import ordering, text
 @dataclass(frozen=True)
 class RetrievalConfig:
     enabled: bool = True
-    max_candidates: int = 20
     min_score_threshold: float = 0.15
     weight_pinned: float = 1.0
     weight_git_diff: float = 0.8
     weight_lexical: float = 0.5
     weight_semantic: float = 0.4
-    max_probe_bytes: int = 100_000
 
 
 DEFAULT = RetrievalConfig()
@@ -61,10 +59,10 @@ def substring_matches(terms: DataFrame, units: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def content_postings(files: DataFrame, max_probe_bytes: int = DEFAULT.max_probe_bytes) -> DataFrame:
+def content_postings(files: DataFrame) -> DataFrame:
     """The inverted index (repo, unit, path): each blank-separated, lower-cased token of each text once."""
     tokens = F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
-    return files.where(F.octet_length("content") < max_probe_bytes).select("repo", "path", F.explode(tokens).alias("unit"))
+    return files.select("repo", "path", F.explode(tokens).alias("unit"))
 
 
 def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -89,19 +87,19 @@ def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame, units: Da
     return both.groupBy("repo", "term", "path").agg(F.max("p").alias("in_path"), F.max("c").alias("in_content"))
 
 
-def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame,
+def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame, limit: int,
                  config: RetrievalConfig = DEFAULT, postings: DataFrame | None = None,
                  units: DataFrame | None = None) -> DataFrame:
-    """Best files per query with score and reasons; ties go to the smaller path.
+    """The ``limit`` best files per query with score and reasons; ties go to the smaller path.
 
     ``queries``: query_id, repo, query. ``files``: selectable repo, path,
     size_bytes, content. A file without any matching term scores the same for
-    every query of its repo, so only the best ``max_candidates`` of those can
+    every query of its repo, so only the best ``limit`` of those can
     be among the winners; no other query-file pair is formed without a match.
     ``postings`` and ``units`` may be a stored index of the same files.
     """
     if postings is None:
-        postings = content_postings(files, config.max_probe_bytes)
+        postings = content_postings(files)
     terms = query_terms(queries)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = queries.select("query_id", "repo").join(counts, "query_id", "left")
@@ -114,7 +112,7 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
         "pin IS NOT NULL OR diff IS NOT NULL").na.fill(0, ["pin", "diff"])
     head = ordering.top_k(
         base.withColumn("_b", F.col("pin") * config.weight_pinned + F.col("diff") * config.weight_git_diff),
-        ["repo"], [F.desc("_b"), F.asc("path")], config.max_candidates, "_r").select("repo", "path", "pin", "diff")
+        ["repo"], [F.desc("_b"), F.asc("path")], limit, "_r").select("repo", "path", "pin", "diff")
     zero = F.lit(0).cast("long")
     without = queries.select("query_id", "repo").join(head, "repo").select("query_id", "repo", "path", zero.alias("pm"), zero.alias("cm"))
     pairs = scored.unionByName(without).groupBy("query_id", "repo", "path").agg(F.max("pm").alias("pm"), F.max("cm").alias("cm"))
@@ -123,12 +121,12 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
     score = (F.col("pin") * F.lit(config.weight_pinned) + F.col("diff") * F.lit(config.weight_git_diff)
              + F.lit(config.weight_lexical) * (F.col("pm") / n) + F.lit(config.weight_semantic) * (F.col("cm") / n))
     reasons = F.array_join(F.array_compact(F.array(
-        F.when(F.col("pin") == 1, "Explicitly pinned in current workspace"),
-        F.when(F.col("diff") == 1, "Modified in current working tree or branch diff"),
-        F.when(F.col("pm") > 0, F.concat(F.lit("Filename/path matches "), F.col("pm").cast("string"), F.lit(" query term(s)"))),
-        F.when(F.col("cm") > 0, F.concat(F.lit("Content contains "), F.col("cm").cast("string"), F.lit(" keyword match(es)"))))), "; ")
+        F.when(F.col("pin") == 1, "pinned by the user"),
+        F.when(F.col("diff") == 1, "changed since the base"),
+        F.when(F.col("pm") > 0, F.concat(F.lit("terms in path: "), F.col("pm").cast("string"))),
+        F.when(F.col("cm") > 0, F.concat(F.lit("terms in text: "), F.col("cm").cast("string"))))), "; ")
     kept = full.withColumn("score", score).where(F.col("score") >= config.min_score_threshold).withColumn("reasons", reasons)
-    best = ordering.top_k(kept, ["query_id"], [F.desc("score"), F.asc("path")], config.max_candidates)
+    best = ordering.top_k(kept, ["query_id"], [F.desc("score"), F.asc("path")], limit)
     sizes = files.select("repo", "path", "size_bytes")
     return best.join(sizes, ["repo", "path"]).select(
         "query_id", "repo", "rank", "path", (F.round(F.col("score") * 100.0) / 100.0).alias("score"), "reasons", "size_bytes",
@@ -138,19 +136,21 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
 def rank_disabled(files: DataFrame, pinned: DataFrame) -> DataFrame:
     """Deterministic fallback: the pinned selectable files."""
     return files.join(pinned.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select(
-        "repo", "path", F.lit(1.0).alias("score"), F.lit("Explicitly pinned by user (deterministic mode)").alias("reasons"),
+        "repo", "path", F.lit(1.0).alias("score"), F.lit("pinned by the user").alias("reasons"),
         "size_bytes", F.floor(F.col("size_bytes") / 4).alias("est_tokens"))
 
 
-def rank_bm25(queries: DataFrame, files: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over words within each query's repo. Term counts are aggregated before any join."""
+def rank_bm25(queries: DataFrame, files: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best files per query by BM25 over words within its repo.
+
+    A file's words are folded to counts in the task that reads it, before anything is shuffled or joined.
+    """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     terms = queries.select("query_id", "repo", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     docs = files.select("repo", "path", words(F.col("content")).alias("w")).withColumn("len", F.size("w"))
     stats = docs.groupBy("repo").agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
-    tf = docs.select("repo", "path", "len", F.explode("w").alias("term")).join(
-        terms.select("repo", "term").distinct(), ["repo", "term"], "left_semi").groupBy("repo", "path", "term").agg(
-        F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = docs.select("repo", "path", "len", F.explode("w").alias("term")).groupBy("repo", "path", "term", "len").agg(F.count("*").alias("tf"))
+    tf = tf.join(terms.select("repo", "term").distinct(), ["repo", "term"], "left_semi")
     df = tf.groupBy("repo", "term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, ["repo", "term"]).join(stats, "repo")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -160,13 +160,13 @@ def rank_bm25(queries: DataFrame, files: DataFrame, k: int = 20, k1: float = 1.2
     return ordering.top_k(scored, ["query_id"], [F.desc("score"), F.asc("path")], k)
 
 
-def search_lines(files: DataFrame, query: str, prefix: str = "", max_matches: int = 40, max_file_bytes: int = 512 * 1024) -> DataFrame:
-    """Case-insensitive literal search: the first matches per repo in (path, line) order with a short snippet."""
+def search_lines(files: DataFrame, query: str, prefix: str = "") -> DataFrame:
+    """Case-insensitive literal search: every matching line with its position in the repo's (path, line) order."""
     needle = query.lower()
-    src = files.where((F.col("size_bytes") <= max_file_bytes) & F.col("path").startswith(prefix) & F.lower("content").contains(needle))
+    src = files.where(F.col("path").startswith(prefix) & F.lower("content").contains(needle))
     hits = text.explode_lines(src).where(F.lower("line").contains(needle))
-    return ordering.top_k(hits, ["repo"], ["path", "line_no"], max_matches).select(
-        "repo", "path", "line_no", F.left(text.strip(F.col("line")), F.lit(200)).alias("snippet"))
+    placed = ordering.global_positions(hits.select("repo", "path", "line_no"), ["repo"], ["path", "line_no"])
+    return hits.join(placed, ["repo", "path", "line_no"]).select("repo", "path", "line_no", "position", text.strip(F.col("line")).alias("snippet"))
 
 
 def memory_recall(memory: DataFrame, now: str, limit: int) -> DataFrame:

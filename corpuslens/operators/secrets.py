@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import secrets, text
@@ -10,8 +10,8 @@ from corpuslens.functions import secrets, text
 LINE_MARKER = "[line redacted: possible credential]"
 
 
-def findings_uncapped(files: DataFrame) -> DataFrame:
-    """One row per line with a finding. Files without any match never reach the line split."""
+def secret_findings(files: DataFrame) -> DataFrame:
+    """One row per line with a finding. Files without any match never reach the line split; nothing is shuffled."""
     suspects = files.where(secrets.may_hold_secret(F.col("content")))
     lines = text.explode_lines(suspects).withColumn("rule", secrets.rule_of(F.col("line"))).where("rule IS NOT NULL")
     return lines.select(
@@ -20,16 +20,14 @@ def findings_uncapped(files: DataFrame) -> DataFrame:
     )
 
 
-def secret_findings(files: DataFrame, cap: int = 20) -> DataFrame:
-    """At most ``cap`` findings per file, first lines first. Only finding rows are shuffled."""
-    w = Window.partitionBy("repo", "path").orderBy("line_no")
-    return findings_uncapped(files).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-
-
-def secret_report(files: DataFrame, cap: int = 20) -> DataFrame:
-    found = secret_findings(files, cap)
+def secret_report(files: DataFrame) -> DataFrame:
+    """Findings per repo and confidence, with the files that could not be read (no content) counted as skipped."""
     n = {c: F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")}
-    return found.groupBy("repo").agg(n["high"], n["medium"], n["low"]).withColumn(
+    found = secret_findings(files).groupBy("repo").agg(n["high"], n["medium"], n["low"])
+    every = files.groupBy("repo").agg(F.count_if(F.col("content").isNull()).alias("skipped"))
+    zero = F.lit(0).cast("long")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("high", "medium", "low")]
+    return every.join(found, "repo", "left").select("repo", *counts, "skipped").withColumn(
         "requires_confirmation", F.col("high") + F.col("medium") > 0
     )
 

@@ -11,11 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths
-from corpuslens.functions.text import human_bytes
 from corpuslens.operators.inventory import class_label
-from corpuslens.policy import Policy
 
-DEFAULT = Policy()
 NEVER_OVERRIDABLE = ["unreadable", "unsupported_encoding"]
 
 
@@ -28,20 +25,29 @@ def _directories(spec: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return d.select(*by, "repo", F.col("path").alias("asked"), F.regexp_replace("path", r"/+\z", "").alias("dir"))
 
 
-def _with_ancestors(inv: DataFrame, *cols: str) -> DataFrame:
-    """One row per (file, ancestor directory), the root as ''. Turns a prefix join into an equi-join."""
-    return inv.select(
-        "repo", "path", *cols,
-        F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("path")))).alias("dir"),
-    )
+def _chain(directory: Column) -> Column:
+    """The directory, those above it, and the root as ''."""
+    own = F.when(directory != "", paths.ancestors(F.concat(directory, F.lit("/x")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.lit("")), own)
+
+
+def _reached(inv: DataFrame, spec: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Directories of selectable files (by…, repo, own) that lie in or below a picked one.
+
+    The path join is made on distinct directories, so a file is never repeated for each of its ancestors.
+    """
+    own = inv.where("selectable").select("repo", paths.directory(F.col("path")).alias("own")).distinct()
+    picks = _directories(spec, by).select(*by, "repo", "dir").distinct()
+    return own.select("repo", "own", F.explode(_chain(F.col("own"))).alias("dir")).join(picks, ["repo", "dir"]).select(*by, "repo", "own").distinct()
 
 
 def select_directories(inv: DataFrame, spec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Selectable files below a picked directory, minus hand-made removals."""
-    dirs = _directories(spec, by).select(*by, "repo", "dir").distinct()
-    below = _with_ancestors(inv.where("selectable"), "size_bytes").join(dirs, ["repo", "dir"])
+    """Selectable files below a picked directory, minus hand-made removals. A flat directory with very many files is a
+    skewed join key of one small row, which adaptive execution splits."""
+    files = inv.where("selectable").select("repo", "path", "size_bytes", paths.directory(F.col("path")).alias("own"))
+    below = files.join(_reached(inv, spec, by), ["repo", "own"])
     excluded = _kind(spec, "excluded", by)
-    return below.select(*by, "repo", "path", "size_bytes").distinct().join(excluded, [*by, "repo", "path"], "left_anti")
+    return below.select(*by, "repo", "path", "size_bytes").join(excluded, [*by, "repo", "path"], "left_anti")
 
 
 def _picked(inv: DataFrame, spec: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -68,7 +74,8 @@ def missing(inv: DataFrame, spec: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     """Picked files and directories that match nothing."""
     wanted = _kind(spec, "file", by).join(_kind(spec, "excluded", by), [*by, "repo", "path"], "left_anti")
     files = wanted.join(inv.select("repo", "path"), ["repo", "path"], "left_anti").select(*by, "repo", "path")
-    known = _with_ancestors(inv).select("repo", "dir").distinct()
+    own = inv.select("repo", paths.directory(F.col("path")).alias("own")).distinct()
+    known = own.select("repo", F.explode(_chain(F.col("own"))).alias("dir")).distinct()
     dirs = _directories(spec, by).join(known, ["repo", "dir"], "left_anti").select(*by, "repo", F.col("asked").alias("path"))
     return files.unionByName(dirs).distinct()
 
@@ -78,22 +85,8 @@ def resolve(inv: DataFrame, spec: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     return select_directories(inv, spec, by).unionByName(select_files(inv, spec, by)).distinct()
 
 
-def limit_status(files: Column, size: Column, policy: Policy = DEFAULT) -> Column:
-    return (
-        F.when(
-            files > policy.max_selected_files,
-            F.concat(files.cast("string"), F.lit(f" files selected; the limit is {policy.max_selected_files}.")))
-        .when(
-            size > policy.max_bundle_bytes,
-            F.concat(F.lit("Selection is "), human_bytes(size), F.lit(" which exceeds the "),
-                     human_bytes(F.lit(policy.max_bundle_bytes)), F.lit(" bundle limit.")))
-        .otherwise("ok")
-    )
-
-
-def selection_totals(selected: DataFrame, by: tuple[str, ...] = (), policy: Policy = DEFAULT) -> DataFrame:
-    totals = selected.groupBy(*by, "repo").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("total_bytes"))
-    return totals.withColumn("status", limit_status(F.col("files"), F.col("total_bytes"), policy))
+def selection_totals(selected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return selected.groupBy(*by, "repo").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("total_bytes"))
 
 
 def recipe(inv: DataFrame, name: str) -> DataFrame:
@@ -113,12 +106,6 @@ def recipe(inv: DataFrame, name: str) -> DataFrame:
     )
 
 
-def recipe_files(inv: DataFrame, name: str) -> DataFrame:
-    path = F.col("path")
-    ok = {"source_only": ~paths.is_test(path) & ~paths.is_docs(path), "everything": F.lit(True), "tests_only": paths.is_test(path)}[name]
-    return inv.where("selectable").where(ok).select("repo", "path")
-
-
 def directory_summaries(inv: DataFrame) -> DataFrame:
     """Every directory with selectable files anywhere below it.
 
@@ -159,6 +146,6 @@ def directory_state(inv: DataFrame, selected: DataFrame) -> DataFrame:
 
 def selection_exclusions(inv: DataFrame, spec: DataFrame) -> DataFrame:
     """Hand-made removals that still matter: selectable files a directory pick would bring back."""
-    dirs = _directories(spec, ()).select("repo", "dir").distinct()
-    below = _with_ancestors(inv.where("selectable")).join(dirs, ["repo", "dir"], "left_semi").select("repo", "path").distinct()
+    files = inv.where("selectable").select("repo", "path", paths.directory(F.col("path")).alias("own"))
+    below = files.join(_reached(inv, spec, ()), ["repo", "own"], "left_semi").select("repo", "path")
     return below.join(_kind(spec, "excluded"), ["repo", "path"], "left_semi")

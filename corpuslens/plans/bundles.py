@@ -9,8 +9,9 @@ from corpuslens.operators import inventory as I
 from corpuslens.operators import render as R
 from corpuslens.operators import secrets as E
 from corpuslens.operators import selection as C
-from corpuslens.plans.inventory import DOCSP, TESTP, LANES, classified
-from corpuslens.plans.registry import query, sql
+from corpuslens import policy as P
+from corpuslens.plans.inventory import DOCSP, EXT, LANES, TESTP, classified
+from corpuslens.plans.registry import in_list, query, sql
 from corpuslens.policy import BundleOptions
 
 # --- check SQL for the selection ------------------------------------------------
@@ -58,8 +59,8 @@ def selection_missing(t):
     return C.missing(t.inv, _spec(t))
 
 
-_REASON = """CASE class WHEN 'credential_sensitive' THEN 'This path commonly stores credentials. Selecting it requires a per-file confirmation.' WHEN 'binary' THEN 'Binary file type.'
- WHEN 'lockfile' THEN 'Dependency lockfile: large and rarely useful as context.' WHEN 'generated' THEN 'Generated, vendored or minified output.' WHEN 'hidden_metadata' THEN 'Hidden or editor/OS metadata file.' END"""
+_KIND = f"CASE WHEN class <> 'binary' THEN class WHEN {EXT} IN ({in_list(P.BINARY_EXTENSIONS)}) THEN 'binary_extension' ELSE 'binary_content' END"
+_REASON = f"CASE {_KIND} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.EXCLUSION_REASONS.items()) + " END"
 
 
 @query("selection_rejected", _c(f"SELECT repo, path, {_REASON} AS reason, class NOT IN ('unreadable','unsupported_encoding') AS overridable FROM picked WHERE NOT accepted"))
@@ -67,7 +68,7 @@ def selection_rejected(t):
     return C.rejected(t.inv, _spec(t))
 
 
-@query("resolve_selection", _c("SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, 'ok' AS status FROM resolved GROUP BY repo"))
+@query("resolve_selection", _c("SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM resolved GROUP BY repo"))
 def resolve_selection(t):
     return C.selection_totals(C.resolve(t.inv, _spec(t)))
 
@@ -98,7 +99,7 @@ def directory_state(t):
 
 
 @query("preset_revalidation", sql("corpus_files presets", {**classified(), "sp": "SELECT DISTINCT preset_id, repo, kind, path FROM presets", "anc": SEL["anc"], **_sel()},
-       "SELECT preset_id, repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, 'ok' AS status FROM resolved GROUP BY preset_id, repo"))
+       "SELECT preset_id, repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM resolved GROUP BY preset_id, repo"))
 def preset_revalidation(t):
     by = ("preset_id",)
     return C.selection_totals(C.resolve(t.inv, t.view("presets"), by), by)
@@ -124,7 +125,8 @@ TREE = {
     "trees": "SELECT repo, '# Project files'||chr(10)||chr(10)||'```'||chr(10)||string_agg(line, '' ORDER BY first_path, depth)||'```'||chr(10)||chr(10) AS pre FROM tree GROUP BY repo",
 }
 BUNDLES = {**CHOSEN, **TREE,
-           "bundles": "SELECT s.repo, count(*) AS file_count, sum(tokens) AS toks, any_value(pre) AS pre, any_value(pre)||string_agg(section, '' ORDER BY path) AS text FROM secs s JOIN trees USING (repo) GROUP BY s.repo"}
+           "lanes": f"SELECT repo, sha256(count(*)||':'||{LANES}) AS output_hash FROM (SELECT repo, sha256(path||chr(0)||sha256(section)) AS h FROM secs) GROUP BY repo",
+           "bundles": "SELECT s.repo, count(*) AS file_count, CAST(sum(tokens) AS BIGINT) AS toks, CAST(sum(section_bytes) AS BIGINT) AS sbytes, any_value(pre) AS pre, any_value(output_hash) AS output_hash FROM secs s JOIN trees USING (repo) JOIN lanes USING (repo) GROUP BY s.repo"}
 
 
 def chosen(t):
@@ -177,9 +179,9 @@ def render_tree(t):
     return R.tree_lines(t.inv.where("selectable").select("repo", "path"))
 
 
-@query("bundle", _i("SELECT repo, 'ok' AS status, file_count, strlen(text) AS byte_len, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens, sha256(text) AS output_hash FROM bundles", BUNDLES))
+@query("bundle", _i("SELECT repo, file_count, sbytes + strlen(pre) AS byte_len, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens, output_hash FROM bundles", BUNDLES))
 def bundle(t):
-    return R.bundle(chosen(t)).select("repo", "status", "file_count", "byte_len", "tokens", "output_hash")
+    return R.bundle(chosen(t)).select("repo", "file_count", "byte_len", "tokens", "output_hash")
 
 
 @query("bundle_parts", _i("""SELECT s.repo, path, row_number() OVER w AS position, CAST(strlen(pre) + coalesce(sum(section_bytes) OVER (PARTITION BY s.repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
@@ -258,14 +260,14 @@ _FM = {**_TRUNC,
  UNION ALL SELECT repo, 9, '', '---'||chr(10) FROM tok"""}
 
 
-@query("front_matter", _c("SELECT repo, 'ok' AS status, string_agg(line, '' ORDER BY b, path, line) AS front_matter FROM fl GROUP BY repo", _FM))
+@query("front_matter", _c("SELECT repo, b AS block, path, line FROM fl", _FM))
 def front_matter(t):
     files, rows = _manifest(t)
     meta = files.groupBy("repo").agg(F.sum(F.floor(F.col("size_bytes") / 4)).alias("tokens")).join(I.source_revision(t.inv), "repo")
     return R.front_matter(meta.withColumn("project_fingerprint", I.project_fingerprint(F.col("repo"))), rows)
 
 
-@query("bundle_determinism", _i("SELECT DISTINCT repo, TRUE AS same FROM inv WHERE selectable"))
+@query("bundle_determinism", _i("SELECT repo, count(*) AS parts, count(*) AS equal_parts FROM inv WHERE selectable GROUP BY repo"))
 def bundle_determinism(t):
     return R.bundle_determinism(chosen(t))
 
@@ -292,31 +294,32 @@ _RED = "line"
 for _, _, _p in _RULES_SQL:
     _RED = f"regexp_replace({_RED}, '{_p}', '[redacted]', 'g')"
 LINES_CTE = {"lines": f"""SELECT repo, path, ln AS line_no, CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l) - 1) ELSE l END AS line FROM
- (SELECT repo, path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ln FROM (SELECT repo, path, {LINES.format(x='content')} AS ls FROM inv WHERE selectable))"""}
+ (SELECT repo, path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ln FROM (SELECT repo, path, {LINES.format(x='content')} AS ls FROM corpus_files))"""}
 FOUND = {**LINES_CTE,
     "found0": "SELECT repo, path, line_no, line, CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{r}'" for r, _, p in _RULES_SQL) + " END AS rule FROM lines",
     "found": f"""SELECT repo, path, line_no, rule, CASE rule WHEN 'generic_secret' THEN 'medium' WHEN 'password_assignment' THEN 'low' ELSE 'high' END AS confidence,
- left(regexp_replace({_RED}, '^\\s+|\\s+$', '', 'g'), 200) AS redacted_excerpt FROM found0 WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line_no) <= 20"""}
-REPORT = {**FOUND, "report": "SELECT repo, count(*) FILTER (WHERE confidence='high') AS high, count(*) FILTER (WHERE confidence='medium') AS medium, count(*) FILTER (WHERE confidence='low') AS low FROM found GROUP BY repo"}
+ regexp_replace({_RED}, '^\\s+|\\s+$', '', 'g') AS redacted_excerpt FROM found0 WHERE rule IS NOT NULL"""}
+REPORT = {**FOUND, "report": """SELECT c.repo, count(f.repo) FILTER (WHERE confidence='high') AS high, count(f.repo) FILTER (WHERE confidence='medium') AS medium, count(f.repo) FILTER (WHERE confidence='low') AS low
+ FROM (SELECT DISTINCT repo FROM corpus_files) c LEFT JOIN found f USING (repo) GROUP BY c.repo"""}
 
 
-@query("secret_findings", _i("SELECT * FROM found", FOUND))
+@query("secret_findings", sql("corpus_files", FOUND, "SELECT * FROM found"))
 def secret_findings(t):
-    return E.secret_findings(chosen(t))
+    return E.secret_findings(t.files)
 
 
-@query("secret_report", _i("SELECT repo, high, medium, low, high + medium > 0 AS requires_confirmation FROM report", REPORT))
+@query("secret_report", sql("corpus_files", REPORT, "SELECT repo, high, medium, low, CAST(0 AS BIGINT) AS skipped, high + medium > 0 AS requires_confirmation FROM report"))
 def secret_report(t):
-    return E.secret_report(chosen(t))
+    return E.secret_report(t.files)
 
 
-@query("redact_lines", _i("""SELECT repo, path, sha256(coalesce(string_agg(CASE WHEN bad THEN '[line redacted: possible credential]' ELSE line END, chr(10) ORDER BY line_no), '')) AS text_hash, count(*) FILTER (WHERE bad) AS redacted_lines
- FROM (SELECT *, coalesce(rule NOT IN ('password_assignment'), FALSE) AS bad FROM found0) GROUP BY repo, path""", FOUND))
+@query("redact_lines", sql("corpus_files", FOUND, """SELECT repo, path, sha256(coalesce(string_agg(CASE WHEN bad THEN '[line redacted: possible credential]' ELSE line END, chr(10) ORDER BY line_no), '')) AS text_hash, count(*) FILTER (WHERE bad) AS redacted_lines
+ FROM (SELECT *, coalesce(rule NOT IN ('password_assignment'), FALSE) AS bad FROM found0) GROUP BY repo, path"""))
 def redact_lines(t):
-    return E.redact_lines(chosen(t)).select("repo", "path", F.sha2("text", 256).alias("text_hash"), "redacted_lines")
+    return E.redact_lines(t.files).select("repo", "path", F.sha2("text", 256).alias("text_hash"), "redacted_lines")
 
 
-@query("preflight", _i("""SELECT b.repo, 'ok' AS status, file_count, strlen(text) AS byte_len, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens, coalesce(high,0) AS high, coalesce(medium,0) AS medium, coalesce(low,0) AS low,
+@query("preflight", _i("""SELECT b.repo, file_count, sbytes + strlen(pre) AS byte_len, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens, coalesce(high,0) AS high, coalesce(medium,0) AS medium, coalesce(low,0) AS low,
  coalesce(high + medium > 0, FALSE) AS requires_confirmation FROM bundles b LEFT JOIN report USING (repo)""", {**BUNDLES, **REPORT}))
 def preflight(t):
-    return R.preflight(chosen(t), E.secret_report(chosen(t)))
+    return R.preflight(chosen(t), E.secret_report(t.files))

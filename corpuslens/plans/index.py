@@ -19,7 +19,7 @@ def q(p: str) -> str:
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 LN = {"lines": f"""SELECT repo, path, language, line_no, line FROM (SELECT repo, path, language, ln AS line_no, CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l) - 1) ELSE l END AS line FROM
- (SELECT repo, path, language, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ln FROM (SELECT repo, path, {_LANG_CASE} AS language, {LINES.format(x='content')} AS ls FROM inv WHERE selectable))) WHERE strlen(line) <= 2048"""}
+ (SELECT repo, path, language, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ln FROM (SELECT repo, path, {_LANG_CASE} AS language, {LINES.format(x='content')} AS ls FROM inv WHERE selectable)))"""}
 
 
 def _i(body: str, extra: dict[str, str] | None = None) -> str:
@@ -74,7 +74,7 @@ def routes(t):
     return A.routes(chosen(t))
 
 
-@query("todos", _i("SELECT repo, path, line_no, note, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS rank, count(*) OVER (PARTITION BY repo) >= 200 AS capped FROM notes QUALIFY rank <= 200", TODO))
+@query("todos", _i("SELECT repo, path, line_no, note, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS rank FROM notes", TODO))
 def todos(t):
     return A.todos(chosen(t))
 
@@ -99,12 +99,12 @@ def dependencies(t):
     return A.dependencies(t.inv.select("repo", "path", "content"))
 
 
-@query("scripts", _i("SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY name) AS position, name, replace(json_extract_string(content, '$.scripts.'||name), '`', '''') AS command FROM (SELECT repo, path, content, unnest(json_keys(json_extract(content, '$.scripts'))) AS name FROM inv WHERE ends_with(path, 'package.json')) QUALIFY position <= 12"))
+@query("scripts", _i("SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY name) AS position, name, replace(json_extract_string(content, '$.scripts.'||name), '`', '''') AS command FROM (SELECT repo, path, content, unnest(json_keys(json_extract(content, '$.scripts'))) AS name FROM inv WHERE ends_with(path, 'package.json'))"))
 def scripts(t):
     return A.scripts(t.inv.select("repo", "path", "content"))
 
 
-@query("readme_paragraph", _i(rf"""SELECT repo, path, coalesce(string_agg(l, chr(10) ORDER BY ln) FILTER (WHERE ln >= s AND ln < coalesce(e, 1000000000) AND ln < s + 4), '') AS paragraph FROM (
+@query("readme_paragraph", _i(rf"""SELECT repo, path, coalesce(string_agg(l, chr(10) ORDER BY ln) FILTER (WHERE ln >= s AND ln < coalesce(e, 1000000000)), '') AS paragraph FROM (
  SELECT *, min(CASE WHEN l = '' AND ln > s THEN ln END) OVER (PARTITION BY repo, path) AS e FROM (
   SELECT *, min(CASE WHEN NOT (l = '' OR starts_with(l,'#') OR starts_with(l,'[![') OR starts_with(l,'<') OR starts_with(l,'```')) THEN ln END) OVER (PARTITION BY repo, path) AS s FROM (
    SELECT repo, path, {STRIP.format(x='l')} AS l, ln FROM (SELECT repo, path, unnest(ls) AS l, unnest(range(1, len(ls)+1)) AS ln FROM (
@@ -132,7 +132,7 @@ KM = {**SYM, "mods": f"SELECT repo, path, count(*) AS exports, list(name ORDER B
 
 
 @query("key_modules", _i("""SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY exports DESC, path) AS rank, path, exports,
- '`'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END AS label FROM mods QUALIFY rank <= 20""", KM))
+ '`'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END AS label FROM mods""", KM))
 def key_modules(t):
     return A.key_modules(A.module_exports(A.symbols(chosen(t))))
 
@@ -141,7 +141,7 @@ ST = {"anc": SEL["anc"],
     "fold": "SELECT repo, dir, count(*) AS total, count(*) FILTER (WHERE dir = array_to_string(string_split(path,'/')[:-2],'/')) AS direct FROM anc WHERE selectable AND dir <> '' GROUP BY repo, dir",
     "folds": "SELECT f.*, (SELECT count(*) FROM fold k WHERE k.repo = f.repo AND starts_with(k.dir, f.dir||'/') AND len(string_split(k.dir,'/')) = len(string_split(f.dir,'/')) + 1) AS children FROM fold f",
     "coll": "SELECT d.repo, d.dir, d.total, min_by(s.dir, len(string_split(s.dir,'/'))) AS shown FROM folds d JOIN folds s ON s.repo = d.repo AND (s.dir = d.dir OR starts_with(s.dir, d.dir||'/')) WHERE NOT (s.direct = 0 AND s.children = 1) GROUP BY 1, 2, 3",
-    "tops": "SELECT repo, shown, total, row_number() OVER (PARTITION BY repo ORDER BY total DESC, shown) AS rank FROM coll WHERE NOT contains(dir,'/') QUALIFY rank <= 25",
+    "tops": "SELECT repo, shown, total, row_number() OVER (PARTITION BY repo ORDER BY total DESC, shown) AS rank FROM coll WHERE NOT contains(dir,'/')",
     "kids": "SELECT t.repo, t.shown, substr(c.shown, length(t.shown) + 2) AS name, c.total, row_number() OVER (PARTITION BY t.repo, t.shown ORDER BY c.total DESC, c.shown) AS r, count(*) OVER (PARTITION BY t.repo, t.shown) AS n FROM tops t JOIN coll c ON c.repo = t.repo AND array_to_string(string_split(c.dir,'/')[:-2],'/') = t.shown",
     "kidt": "SELECT repo, shown, string_agg('`'||name||'/` '||total, ' · ' ORDER BY r)||CASE WHEN any_value(n) > 8 THEN ' (+'||(any_value(n) - 8)||' more)' ELSE '' END AS children FROM kids WHERE r <= 8 GROUP BY repo, shown"}
 
@@ -151,11 +151,6 @@ def structure_tree(t):
     return A.structure_tree(t.inv)
 
 
-@query("analysis_cap", _i("SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS position, row_number() OVER (PARTITION BY repo ORDER BY path) <= 10 AS analyzed, count(*) OVER (PARTITION BY repo) > 10 AS truncated FROM inv WHERE selectable"))
-def analysis_cap(t):
-    return A.analysis_cap(t.inv, 10)
-
-
 @query("unsupported_languages", _i(f"SELECT repo, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM (SELECT repo, {_LANG_CASE} AS language FROM inv WHERE selectable) WHERE language NOT IN ({in_list(P.EXTRACTED_LANGUAGES)}) GROUP BY repo"))
 def unsupported_languages(t):
     return A.unsupported_languages(t.inv)
@@ -166,6 +161,23 @@ def _complete(t):
     return A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), repos)
 
 
+# The rows of seven of the nine sections as SQL; overview and structure follow from language_mix and structure_tree.
+_PLACE = "path||chr(0)||lpad(line_no::VARCHAR, 10, '0')"
+_BODY = {**KM, **{k: v for k, v in ROU.items() if k != "lines"}, **{k: v for k, v in TODO.items() if k != "lines"},
+    "dec": "SELECT repo, path, " + STRIP.format(x="regexp_extract(content, '(?m)^# ([^' || chr(92) || 'r' || chr(92) || 'n]*)', 1)").replace("'(?m)^# ([^' || chr(92) || 'r' || chr(92) || 'n]*)'", r"'(?m)^# ([^\r\n]*)'") + " AS title FROM inv WHERE selectable AND (contains(lower(path),'/adr/') OR contains(lower(path),'decision') OR contains(lower(path),'/rfc')) AND NOT contains(lower(path),'template')",
+    "body": f"""SELECT repo, 'key_modules' AS key, 1 AS block, -exports AS pos, path AS sub, '- `'||path||'` — `'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END AS line FROM mods
+ UNION ALL SELECT repo, 'api_contracts', 1, 0, {_PLACE}, '- `'||method||' '||route||'` — `'||path||':'||line_no||'`' FROM rou WHERE NOT {TESTI}
+ UNION ALL SELECT repo, 'known_issues', 1, 0, {_PLACE}, '- `'||path||':'||line_no||'` — '||note FROM notes
+ UNION ALL SELECT repo, 'notes_and_decisions', 1, 0, path, '- `'||path||'`'||CASE WHEN title <> '' THEN ' — '||title ELSE '' END FROM dec"""}
+_STATED = ["key_modules", "api_contracts", "known_issues", "notes_and_decisions"]
+
+
+@query("context_section_lines", _i("SELECT * FROM body", _BODY))
+def context_section_lines(t):
+    lines = t.table("section_lines", lambda: A.section_lines(t.inv))
+    return lines.where(F.col("key").isin(_STATED) & ((F.col("key") != "api_contracts") | (F.col("block") == 1)))
+
+
 @query("context_sections")
 def context_sections(t):
     return A.context_sections(_complete(t))
@@ -173,27 +185,19 @@ def context_sections(t):
 
 @query("context_render")
 def context_render(t):
-    doc = A.context_render(A.context_sections(_complete(t)), I.source_revision(t.inv))
-    return doc.select("repo", "markdown", "content_hash")
+    return A.context_render(_complete(t), I.source_revision(t.inv))
 
 
-# Two sections that SQL can state in full: the TODO list and the decision list.
-_SH = {**TODO,
-    "todo_l": "SELECT repo, 'known_issues' AS key, '- `'||path||':'||line_no||'` — '||note AS line, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS pos, 1 AS block FROM notes QUALIFY pos <= 12",
-    "todo_m": "SELECT repo, 'known_issues' AS key, '- …and '||(least(count(*), 200) - 12)||' more'||CASE WHEN count(*) >= 200 THEN ' (counting stopped at the limit)' ELSE '' END AS line, 0 AS pos, 2 AS block FROM notes GROUP BY repo HAVING count(*) > 12",
-    "body": "SELECT repo, string_agg(line, chr(10) ORDER BY block, pos) AS body FROM (SELECT * FROM todo_l UNION ALL SELECT * FROM todo_m) GROUP BY repo"}
+_REFS = {**_BODY, "refs": f"""SELECT DISTINCT x.repo, x.key, x.path, i.content_hash FROM (SELECT repo, 'key_modules' AS key, path FROM mods UNION ALL SELECT repo, 'api_contracts', path FROM rou WHERE NOT {TESTI}
+ UNION ALL SELECT repo, 'known_issues', path FROM notes UNION ALL SELECT repo, 'notes_and_decisions', path FROM dec
+ UNION ALL SELECT repo, 'dependencies', path FROM inv WHERE string_split(path,'/')[-1] IN ({in_list(A.MANIFESTS)})) x JOIN inv i ON i.repo = x.repo AND i.path = x.path"""}
 
 
-@query("context_known_issues", _i("SELECT repo, body FROM body", _SH))
-def context_known_issues(t):
-    lines = t.table("section_lines", lambda: A.section_lines(t.inv)).where("key = 'known_issues'")
-    return A.context_sections(lines).select("repo", "body")
+@query("context_references", _i("SELECT * FROM refs", _REFS))
+def context_references(t):
+    return A.section_references(t.inv)
 
 
-@query("semantic_hash", _i("SELECT b.repo, sha256('known_issues='||sha256(body)||'|'||d) AS semantic_hash FROM body b JOIN (SELECT repo, count(*)||':'||"
-       + " ||':'|| ".join(f"CAST(sum(CAST('0x'||substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
-       + " AS d FROM (SELECT DISTINCT n.repo, sha256('known_issues'||chr(0)||n.path||chr(0)||i.content_hash) AS h FROM notes n JOIN inv i ON i.repo = n.repo AND i.path = n.path) GROUP BY repo) d USING (repo)", _SH))
+@query("semantic_hash")
 def semantic_hash(t):
-    lines = t.table("section_lines", lambda: A.section_lines(t.inv)).where("key = 'known_issues'")
-    refs = A.todo_notes(chosen(t)).select("repo", "path").distinct().join(t.inv.select("repo", "path", "content_hash"), ["repo", "path"]).withColumn("key", F.lit("known_issues"))
-    return A.semantic_hash(A.context_sections(lines), refs)
+    return A.semantic_hash(A.context_sections(_complete(t)), A.section_references(t.inv))

@@ -10,8 +10,6 @@ from corpuslens.operators import inventory as I
 from corpuslens.plans.registry import any_contains, any_suffix, in_list, query, sql
 from corpuslens.policy import Policy
 
-SMALL_DATA = Policy(max_data_file_bytes=4_096)
-
 # --- check SQL building blocks -------------------------------------------------
 
 SENSITIVE = (
@@ -33,35 +31,32 @@ HIDDEN = f"(len(list_filter(string_split(path,'/'), lambda s: starts_with(s,'.')
 SKIPPED = f"list_has_any(string_split(path,'/')[:-2], [{in_list(P.SKIPPED_DIRS)}])"
 
 
-def _limit(data: int) -> str:
-    return f"CASE WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN {data} ELSE 1048576 END"
+_LIMIT = f"CASE WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN 65536 ELSE 1048576 END"
 
 
 # A blob cast to text writes every byte that is not plain ASCII (and the backslash) as \xNN.
 PROBE_CTE = {
-    "probed": r"""SELECT doc_id, strlen(content) AS n, least(strlen(content), 8192) AS head_n,
+    "probed": r"""SELECT doc_id, strlen(content) AS n,
  len(regexp_extract_all(esc, '\\x(0[0-8EF]|1[0-9A-F]|7F)')) AS ctl, len(regexp_extract_all(esc, '\\x00')) AS nul,
  starts_with(esc, '\xEF\xBB\xBF') AS bom8, starts_with(esc, '\xFF\xFE') OR starts_with(esc, '\xFE\xFF') AS bom16
- FROM (SELECT doc_id, content, (encode(content)[1:8192])::VARCHAR AS esc FROM corpus_files)""",
+ FROM (SELECT doc_id, content, encode(content)::VARCHAR AS esc FROM corpus_files)""",
 }
-IS_BINARY = "(CASE WHEN n = 0 THEN FALSE WHEN bom8 THEN FALSE WHEN bom16 THEN TRUE WHEN nul > 0 THEN TRUE ELSE (ctl * 100) // head_n > 10 END)"
+IS_BINARY = "(CASE WHEN n = 0 THEN FALSE WHEN bom8 THEN FALSE WHEN bom16 THEN TRUE WHEN nul > 0 THEN TRUE ELSE (ctl * 100) // n > 10 END)"
 
 
-def classified(data_limit: int = 65_536) -> dict[str, str]:
+def classified() -> dict[str, str]:
     """CTE ``inv``: the inventory as the check engine sees it (doc_id, repo, path, content, size_bytes, class, selectable, content_hash)."""
     return {
         **PROBE_CTE,
-        "inv0": f"""SELECT f.doc_id, f.repo, f.path, f.lang, f.content, strlen(f.content) AS size_bytes,
+        "inv0": f"""SELECT f.doc_id, f.repo, f.path, f.lang, f.n_chars, f.content, strlen(f.content) AS size_bytes,
  CASE WHEN {SENSITIVE} THEN 'credential_sensitive'
-  WHEN strlen(f.content) > {_limit(data_limit)} THEN 'too_large'
   WHEN {EXT} IN ({in_list(P.BINARY_EXTENSIONS)}) THEN 'binary'
   WHEN {IS_BINARY} THEN 'binary'
   WHEN {FNAME} IN ({in_list(P.LOCKFILE_NAMES)}) THEN 'lockfile'
   WHEN {GENERATED} THEN 'generated'
   WHEN {HIDDEN} THEN 'hidden_metadata' ELSE 'source_text' END AS class
  FROM corpus_files f JOIN probed USING (doc_id) WHERE NOT {SKIPPED}""",
-        "inv": """SELECT *, class = 'source_text' AS selectable,
- CASE WHEN class IN ('lockfile','generated','hidden_metadata','source_text') THEN sha256(content) END AS content_hash FROM inv0""",
+        "inv": "SELECT *, class = 'source_text' AS selectable, sha256(content) AS content_hash FROM inv0",
     }
 
 
@@ -73,8 +68,8 @@ def _cf(body: str, ctes: dict[str, str] | None = None) -> str:
     return sql("corpus_files", ctes or {}, body)
 
 
-def _inv_sql(body: str, data_limit: int = 65_536, extra: dict[str, str] | None = None) -> str:
-    return sql("corpus_files", {**classified(data_limit), **(extra or {})}, body)
+def _inv_sql(body: str, extra: dict[str, str] | None = None) -> str:
+    return sql("corpus_files", {**classified(), **(extra or {})}, body)
 
 
 # --- A: sources ---------------------------------------------------------------
@@ -100,13 +95,6 @@ def prune(t):
     return I.prune_skipped_dirs(t.files).select("repo", "path")
 
 
-@query("scan_limits", _cf("""SELECT repo, path, position, position <= 40 AS kept, n > 40 AS truncated FROM (
- SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS position, count(*) OVER (PARTITION BY repo) AS n
- FROM corpus_files WHERE len(string_split(path,'/')) <= 64)"""))
-def scan_limits(t):
-    return I.scan_limits(t.files, Policy(max_files_scanned=40)).select("repo", "path", "position", "kept", "truncated")
-
-
 _PAGE_PATH = "CASE WHEN contains(url, '?') THEN replace(url, '?', '/../') ELSE regexp_extract(url, '^[a-z]+:/(.*)$', 1) END"
 
 
@@ -160,21 +148,30 @@ _pred("binary_extension", f"{EXT} IN ({in_list(P.BINARY_EXTENSIONS)})", paths.ha
 _pred("hidden_path", HIDDEN, paths.is_hidden)
 
 
-@query("size_ceiling", _cf(f"""SELECT repo, path, CAST({_limit(65536)} AS BIGINT) AS size_limit,
- CASE WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN 'max_data_file_bytes' ELSE 'max_file_bytes' END AS limit_name FROM corpus_files"""))
+@query("size_ceiling", _cf(f"""SELECT repo, path, CAST({_LIMIT} AS BIGINT) AS large_from,
+ CASE WHEN strlen(content) <= {_LIMIT} THEN 'normal' WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN 'large_data' ELSE 'large' END AS size_class FROM corpus_files"""))
 def size_ceiling(t):
     p = F.col("path")
-    return t.files.select("repo", "path", paths.size_limit(p, I.DEFAULT).alias("size_limit"), paths.size_limit_name(p).alias("limit_name"))
+    size = text.byte_len(F.col("content"))
+    return t.files.select("repo", "path", paths.large_from(p, I.DEFAULT).alias("large_from"), paths.size_class(p, size, I.DEFAULT).alias("size_class"))
 
 
 @query("binary_probe", sql("corpus_files", PROBE_CTE, f"SELECT repo, path, {IS_BINARY} AS is_binary FROM corpus_files JOIN probed USING (doc_id)"))
 def binary_probe(t):
-    return t.files.select("repo", "path", text.looks_binary(F.col("content").cast("binary"), 8192).alias("is_binary"))
+    return t.files.select("repo", "path", text.looks_binary(F.col("content").cast("binary")).alias("is_binary"))
+
+
+# Damage by row: a lone lead byte at the end, a lone trail byte in front, an overlong form, or none.
+_DAMAGE = {0: ("", "C3"), 1: ("80", ""), 2: ("", "C0AF"), 3: ("", "C3A9")}
 
 
-@query("utf8_validity", _cf("SELECT repo, path, TRUE AS is_valid FROM corpus_files"))
+@query("utf8_validity", _cf("SELECT repo, path, doc_id % 5 NOT IN (0, 1, 2) AS is_valid FROM corpus_files"))
 def utf8_validity(t):
-    return t.files.select("repo", "path", F.is_valid_utf8(F.col("content").cast("binary").cast("string")).alias("is_valid"))
+    raw = F.col("content").cast("binary")
+    for k, (front, end) in _DAMAGE.items():
+        damaged = F.concat(F.unhex(F.lit(front)), F.col("content").cast("binary"), F.unhex(F.lit(end)))
+        raw = F.when(F.col("doc_id") % 5 == k, damaged).otherwise(raw)
+    return t.files.select("repo", "path", F.is_valid_utf8(raw.cast("string")).alias("is_valid"))
 
 
 @query("classify_files", _inv_sql("SELECT repo, path, size_bytes, class, selectable FROM inv"))
@@ -188,33 +185,27 @@ def selectable_files(t):
     return inv(t, p).select("repo", "path", "selectable")
 
 
-_HB_SIZE = "CASE WHEN size_bytes < 1024 THEN size_bytes||' B' WHEN size_bytes < 1048576 THEN printf('%.1f', size_bytes/1024.0)||' KB' ELSE printf('%.1f', size_bytes/1048576.0)||' MB' END"
+_REASON = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in P.EXCLUSION_REASONS.items()) + " END"
 
 
-@query("exclusion_reasons", _inv_sql(f"""SELECT repo, path, 'policy' AS source,
- CASE class WHEN 'credential_sensitive' THEN 'This path commonly stores credentials. Selecting it requires a per-file confirmation.'
-  WHEN 'too_large' THEN CASE WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN {_HB_SIZE}||' of structured data exceeds the 4.0 KB limit for data files. Data this large is token-dense and rarely useful as context.'
-    ELSE {_HB_SIZE}||' exceeds the 1.0 MB limit for a single file.' END
-  WHEN 'binary' THEN CASE WHEN {EXT} IN ({in_list(P.BINARY_EXTENSIONS)}) THEN 'Binary file type.' ELSE 'Content probe found binary data in the first bytes of the file.' END
-  WHEN 'lockfile' THEN 'Dependency lockfile: large and rarely useful as context.'
-  WHEN 'generated' THEN 'Generated, vendored or minified output.' WHEN 'hidden_metadata' THEN 'Hidden or editor/OS metadata file.' END AS reason,
- CASE class WHEN 'credential_sensitive' THEN path WHEN 'too_large' THEN CASE WHEN {EXT} IN ({in_list(P.DATA_EXTENSIONS)}) THEN 'max_data_file_bytes' ELSE 'max_file_bytes' END
-  WHEN 'binary' THEN CASE WHEN {EXT} IN ({in_list(P.BINARY_EXTENSIONS)}) THEN '*.'||string_split(path,'.')[-1] END END AS rule
- FROM inv WHERE class <> 'source_text'""", 4096))
+@query("exclusion_reasons", _inv_sql(f"""SELECT repo, path, 'policy' AS source, {_REASON} AS reason,
+ CASE kind WHEN 'credential_sensitive' THEN path WHEN 'binary_extension' THEN '*.'||string_split(path,'.')[-1] END AS rule
+ FROM (SELECT *, CASE WHEN class <> 'binary' THEN class WHEN {EXT} IN ({in_list(P.BINARY_EXTENSIONS)}) THEN 'binary_extension' ELSE 'binary_content' END AS kind FROM inv)
+ WHERE class <> 'source_text'"""))
 def exclusion_reasons(t):
-    return inv(t, SMALL_DATA).where("exclusion IS NOT NULL").select("repo", "path", "exclusion.source", "exclusion.reason", "exclusion.rule")
+    return inv(t).where("exclusion IS NOT NULL").select("repo", "path", "exclusion.source", "exclusion.reason", "exclusion.rule")
 
 
-@query("override_required", _inv_sql(f"SELECT repo, path, class FROM inv WHERE class IN ({in_list(P.OVERRIDE_CLASSES)})", 4096))
+@query("override_required", _inv_sql(f"SELECT repo, path, class FROM inv WHERE class IN ({in_list(P.OVERRIDE_CLASSES)})"))
 def override_required(t):
-    return inv(t, SMALL_DATA).where(I.override_required(F.col("class"))).select("repo", "path", "class")
+    return inv(t).where(I.override_required(F.col("class"))).select("repo", "path", "class")
 
 
 _LANG_CASE = "CASE regexp_extract(path, '\\.([^.]*)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGES.items()) + " ELSE 'unknown' END"
 
 
 @query("language_mix", _inv_sql(f"""SELECT repo, language, files, rank FROM (SELECT repo, language, files, row_number() OVER (PARTITION BY repo ORDER BY files DESC, language) AS rank FROM (
- SELECT repo, {_LANG_CASE} AS language, count(*) AS files FROM inv WHERE selectable GROUP BY 1, 2) WHERE language <> 'unknown') WHERE rank <= 6"""))
+ SELECT repo, {_LANG_CASE} AS language, count(*) AS files FROM inv WHERE selectable GROUP BY 1, 2) WHERE language <> 'unknown')"""))
 def language_mix(t):
     return I.language_mix(inv(t)).select("repo", "language", "files", "rank")
 
@@ -278,7 +269,7 @@ def injection_scan(t):
     return I.injection_scan(t.files)
 
 
-@query("class_counts", _inv_sql("SELECT repo, CASE class WHEN 'source_text' THEN 'text' WHEN 'credential_sensitive' THEN 'credential-sensitive' WHEN 'hidden_metadata' THEN 'hidden/metadata' WHEN 'too_large' THEN 'too large' ELSE class END AS label, count(*) AS files FROM inv GROUP BY 1, 2"))
+@query("class_counts", _inv_sql("SELECT repo, CASE class WHEN 'source_text' THEN 'text' WHEN 'credential_sensitive' THEN 'credential-sensitive' WHEN 'hidden_metadata' THEN 'hidden/metadata' ELSE class END AS label, count(*) AS files FROM inv GROUP BY 1, 2"))
 def class_counts(t):
     return I.class_counts(inv(t))
 

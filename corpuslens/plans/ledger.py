@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import plugins
-from corpuslens.functions.text import PRETOKEN_PATTERN
 from corpuslens.operators import ledger as L
 from corpuslens.operators import retrieve as H
-from corpuslens.plans.bundles import chosen
 from corpuslens.plans.inventory import TESTP, GENERATED
 from corpuslens.plans.registry import query, sql
-from corpuslens.plans.retrieval import relevant
+from corpuslens.plans.retrieval import STRATEGY_SQL, relevant
 from corpuslens.sources import tree
 
 
@@ -59,14 +57,14 @@ def run_metrics(t):
     return L.run_metrics(events(t))
 
 
-@query("forget_project", _l("""SELECT d.repo, files, coalesce(n_runs, 0) AS runs, coalesce(n_events, 0) AS events FROM (SELECT source AS repo, count(*) AS files FROM documents GROUP BY 1) d LEFT JOIN
+@query("forget_project", sql("corpus_files run_events runs", {}, """SELECT d.repo, files, coalesce(n_runs, 0) AS runs, coalesce(n_events, 0) AS events FROM (SELECT repo, count(*) AS files FROM corpus_files GROUP BY 1) d LEFT JOIN
  (SELECT r.repo, count(DISTINCT r.run_id) AS n_runs, count(*) AS n_events FROM runs r JOIN run_events e USING (run_id) GROUP BY r.repo) USING (repo)"""))
 def forget_project(t):
     return L.forget_project(t.scan.select("repo", "path"), runs(t), events(t))
 
 
-_APP = {"nx": "SELECT *, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts FROM run_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, sequence)",
-        "app": "SELECT sequence AS approval_id, run_id, user_id, ts AS created_ts, ts + INTERVAL 30 MINUTE AS expires_ts, CASE WHEN nt = 'search' AND nts < ts + INTERVAL 30 MINUTE THEN nts END AS decided_ts FROM nx WHERE event_type = 'edit'"}
+_APP = {"app": """SELECT e.sequence AS approval_id, e.run_id, e.user_id, e.ts AS created_ts, e.ts + INTERVAL 30 MINUTE AS expires_ts, min(d.ts) AS decided_ts FROM run_events e
+ LEFT JOIN run_events d ON d.user_id = e.user_id AND d.event_type = 'search' AND (d.ts > e.ts OR (d.ts = e.ts AND d.sequence > e.sequence)) AND d.ts < e.ts + INTERVAL 30 MINUTE WHERE e.event_type = 'edit' GROUP BY ALL"""}
 
 
 @query("approvals", _l("SELECT * FROM app", _APP))
@@ -121,21 +119,14 @@ def stream_run_sessions(t):
 
 # --- plug-ins and report ------------------------------------------------------------
 
-@query("token_counter_udf")
-def token_counter_udf(t):
-    def make():
-        import regex
-
-        return regex.compile(PRETOKEN_PATTERN).findall
-
-    return chosen(t).select("repo", "path", plugins.token_counter(make)(F.col("content")).alias("tokens"))
-
-
 @query("predicate_registry", sql("corpus_files", {}, f"SELECT repo, path FROM corpus_files WHERE {TESTP} AND NOT {GENERATED}"))
 def predicate_registry(t):
     return t.files.where(plugins.matching(all_of=("test",), none_of=("generated",))(F.col("path"))).select("repo", "path")
 
 
-@query("report_markdown")
+_PCT = "coalesce(CAST(floor({c} * 100 + 0.5) AS BIGINT)||'%', 'n/a')"
+
+
+@query("report_markdown", f"""SELECT repo, strategy, '| '||repo||' | '||strategy||' | '||files_included||' | '||{_PCT.format(c='precision')}||' | '||{_PCT.format(c='recall')}||' |' AS line FROM ({STRATEGY_SQL})""")
 def report_markdown(t):
     return tree.report_markdown(H.strategy_benchmark(t.inv, relevant(t)))

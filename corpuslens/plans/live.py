@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.plans.bundles import FOUND
 from corpuslens.plans.inventory import classified
+from corpuslens.plans.ledger import _APP
 from corpuslens.plans.registry import query, sql
 from corpuslens.plans.review import REFS, section_refs
 from corpuslens.session import fresh_folder
@@ -18,10 +19,16 @@ def landed(t, files_per_trigger: int = 3):
     return raw.select("repo", "path", "content", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id"))).alias("landed_ts"))
 
 
-@query("stream_ingest", sql("corpus_files", classified(), "SELECT repo, coalesce(content_hash, 'none') AS content_hash, CAST(1 AS BIGINT) AS kept FROM inv GROUP BY 1, 2"))
+@query("stream_ingest", sql("corpus_files", classified(), "SELECT repo, path, class, content_hash FROM inv"))
 def stream_ingest(t):
-    got = S.run_to_end(S.ingest(landed(t), "1000 days"), "ingest")
-    return got.groupBy("repo", F.coalesce("content_hash", F.lit("none")).alias("content_hash")).agg(F.count("*").alias("kept"))
+    return S.run_to_end(S.ingest(landed(t), "1 day"), "ingest").select("repo", "path", "class", "content_hash")
+
+
+@query("stream_progress", sql("corpus_files", {}, "SELECT count(*) AS files_seen, CAST(sum(strlen(content)) AS BIGINT) AS bytes_seen FROM corpus_files"))
+def stream_progress(t):
+    _, progress = S.run_recorded(S.observed(landed(t)), "progress")
+    seen = S.progress_rows(t.spark, progress)
+    return seen.agg(F.sum("files_seen").alias("files_seen"), F.sum("bytes_seen").alias("bytes_seen"))
 
 
 @query("stream_tumbling_closed", sql("run_events", {}, """SELECT window_start, event_type, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start FROM run_events)
@@ -31,12 +38,13 @@ def stream_tumbling_closed(t):
     return got.select(F.to_timestamp_ntz(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).alias("window_start"), "event_type", "events", "tokens")
 
 
-@query("stream_approval_ttl")
+@query("stream_approval_ttl", sql("run_events", _APP, """SELECT user_id, approval_id, CASE WHEN decided_ts IS NULL THEN 'expired' ELSE 'approved' END AS state FROM app
+ WHERE time_bucket(INTERVAL 30 MINUTE, created_ts) + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM run_events WHERE event_type IN ('edit', 'search'))"""))
 def stream_approval_ttl(t):
     return S.run_to_end(S.approval_ttl(S.read_events(t.spark, t.dir, "events.parquet")), "approvals")
 
 
-@query("stream_secret_alerts", sql("corpus_files", {**classified(), **{k: v.replace("FROM inv WHERE selectable", "FROM corpus_files") for k, v in FOUND.items()}}, "SELECT repo, path, line_no, rule FROM found WHERE confidence = 'high'"))
+@query("stream_secret_alerts", sql("corpus_files", FOUND, "SELECT repo, path, line_no, rule FROM found WHERE confidence = 'high'"))
 def stream_secret_alerts(t):
     folder = fresh_folder(t.spark, "alerts")
     q = S.secret_alerts(landed(t), f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start()

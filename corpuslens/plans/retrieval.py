@@ -38,21 +38,21 @@ def query_terms(t):
 _RANK = {**classified(), **TERMS,
     "tn": "SELECT query_id, repo, list(term) AS ts FROM terms GROUP BY query_id, repo",
     "pr": """SELECT q.query_id, f.repo, f.path, f.size_bytes, len(ts) AS n, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND quality = 1 AND toxic = 1) THEN 1 ELSE 0 END AS pin,
- CASE WHEN f.lang IN ('de','fr') AND d.n_chars >= 200 THEN 1 ELSE 0 END AS diff, len(list_filter(ts, lambda x: contains(lower(f.path), x))) AS pm, CASE WHEN f.size_bytes < 100000 THEN len(list_filter(ts, lambda x: contains(lower(f.content), x))) ELSE 0 END AS cm
- FROM tn q JOIN inv f ON f.repo = q.repo AND f.selectable JOIN documents d ON d.doc_id = f.doc_id""",
+ CASE WHEN f.lang IN ('de','fr') AND f.n_chars >= 200 THEN 1 ELSE 0 END AS diff, len(list_filter(ts, lambda x: contains(lower(f.path), x))) AS pm, len(list_filter(ts, lambda x: contains(lower(f.content), x))) AS cm
+ FROM tn q JOIN inv f ON f.repo = q.repo AND f.selectable""",
     "sc": "SELECT *, pin * 1.0::DOUBLE + diff * 0.8::DOUBLE + 0.5::DOUBLE * (pm / n::DOUBLE) + 0.4::DOUBLE * (cm / n::DOUBLE) AS s FROM pr",
     "rk": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank FROM sc WHERE s >= 0.15::DOUBLE QUALIFY rank <= 20"}
 
 
-@query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s * 100.0::DOUBLE) / 100.0::DOUBLE AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'Explicitly pinned in current workspace' END, CASE WHEN diff = 1 THEN 'Modified in current working tree or branch diff' END,
- CASE WHEN pm > 0 THEN 'Filename/path matches '||pm||' query term(s)' END, CASE WHEN cm > 0 THEN 'Content contains '||cm||' keyword match(es)' END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
+@query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s * 100.0::DOUBLE) / 100.0::DOUBLE AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'pinned by the user' END, CASE WHEN diff = 1 THEN 'changed since the base' END,
+ CASE WHEN pm > 0 THEN 'terms in path: '||pm END, CASE WHEN cm > 0 THEN 'terms in text: '||cm END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
 def rank_context(t):
     index = t.table("postings", lambda: H.content_postings(chosen(t)))
     units = t.table("posting_units", lambda: index.select("unit").distinct())
-    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), postings=index, units=units)
+    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), 20, postings=index, units=units)
 
 
-@query("rank_context_disabled", sql("corpus_files", classified(), "SELECT repo, path, 1.0::DOUBLE AS score, 'Explicitly pinned by user (deterministic mode)' AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM inv JOIN labels USING (doc_id) WHERE selectable AND quality = 1 AND toxic = 1"))
+@query("rank_context_disabled", sql("corpus_files", classified(), "SELECT repo, path, 1.0::DOUBLE AS score, 'pinned by the user' AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM inv JOIN labels USING (doc_id) WHERE selectable AND quality = 1 AND toxic = 1"))
 def rank_context_disabled(t):
     return H.rank_disabled(chosen(t), pins(t))
 
@@ -68,12 +68,12 @@ _BM = {**classified(), **QS,
 
 @query("rank_context_bm25", sql("corpus_files", _BM, "SELECT query_id, repo, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM bs QUALIFY rank <= 20"))
 def rank_context_bm25(t):
-    return H.rank_bm25(queries_of(t), chosen(t))
+    return H.rank_bm25(queries_of(t), chosen(t), 20)
 
 
-@query("search_lines", sql("corpus_files", {**classified(), **LINES_CTE}, r"SELECT repo, path, line_no, left(regexp_replace(line, '^\s+|\s+$', '', 'g'), 200) AS snippet FROM lines WHERE contains(lower(line), 'export') AND starts_with(path, 'src') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path, line_no) <= 40"))
+@query("search_lines", sql("corpus_files", LINES_CTE, r"SELECT repo, path, line_no, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS position, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines WHERE contains(lower(line), 'th')"))
 def search_lines(t):
-    return H.search_lines(chosen(t), "Export", "src")
+    return H.search_lines(t.files, "Th")
 
 
 @query("memory_recall", sql("run_events runs", {"m": "SELECT run_id AS memory_id, repo, ended_ts AS created_ts, ended_ts + INTERVAL 10 DAY AS expires_ts FROM runs"},
@@ -88,18 +88,21 @@ def relevant(t):
     return t.scan.select("doc_id", "repo", "path").join(lab, "doc_id").select("repo", "path")
 
 
-@query("strategy_benchmark", sql("corpus_files", {**classified(),
+STRATEGY_SQL = sql("corpus_files", {**classified(),
     "rel": "SELECT repo, path FROM corpus_files JOIN labels USING (doc_id) WHERE quality = 1",
     "c": "SELECT coalesce(i.repo, r.repo) AS repo, count(*) FILTER (WHERE i.selectable) AS a, count(r.path) AS t, count(*) FILTER (WHERE i.selectable AND r.path IS NOT NULL) AS h FROM inv i FULL JOIN rel r ON r.repo = i.repo AND r.path = i.path GROUP BY 1"},
     """SELECT repo, 'raw_all' AS strategy, a AS files_included, CASE WHEN a > 0 THEN h / a END AS precision, CASE WHEN t > 0 THEN h / t END AS recall, t - h AS missed_files FROM c
- UNION ALL SELECT repo, s, h, CASE WHEN h > 0 THEN 1.0 END, CASE WHEN t > 0 THEN h / t END, t - h FROM c CROSS JOIN (SELECT unnest(['user_pinned','hybrid']) AS s) UNION ALL SELECT repo, 'deterministic_map', 0, NULL, NULL, 0 FROM c"""))
+ UNION ALL SELECT repo, s, h, CASE WHEN h > 0 THEN 1.0 END, CASE WHEN t > 0 THEN h / t END, t - h FROM c CROSS JOIN (SELECT unnest(['user_pinned','hybrid']) AS s) UNION ALL SELECT repo, 'deterministic_map', 0, NULL, NULL, 0 FROM c""")
+
+
+@query("strategy_benchmark", STRATEGY_SQL)
 def strategy_benchmark(t):
     return H.strategy_benchmark(t.inv, relevant(t))
 
 
-@query("strategy_cost", sql("corpus_files", {**classified(), **BUNDLES}, "SELECT repo, 'raw_all' AS strategy, strlen(text) AS bytes, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens FROM bundles"))
+@query("strategy_cost", sql("corpus_files", {**classified(), **BUNDLES}, "SELECT repo, 'raw_all' AS strategy, sbytes + strlen(pre) AS bytes, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens FROM bundles"))
 def strategy_cost(t):
-    return R.bundle(chosen(t)).where("status = 'ok'").select("repo", F.lit("raw_all").alias("strategy"), F.col("byte_len").alias("bytes"), "tokens")
+    return R.bundle(chosen(t)).select("repo", F.lit("raw_all").alias("strategy"), F.col("byte_len").alias("bytes"), "tokens")
 
 
 @query("missing_ground_truth", sql("corpus_files snap_worktree", {}, "SELECT repo, path FROM corpus_files JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars < 200 UNION SELECT source, 'docs/gone_'||doc_id||'.md' FROM labels JOIN documents USING (doc_id) WHERE toxic = 1"))

@@ -11,14 +11,15 @@ from corpuslens.operators import review as J
 from corpuslens.plans.bundles import _RULES_SQL, LINES
 from corpuslens.plans.inventory import SENSITIVE, classified
 from corpuslens.plans.registry import in_list, query, sql
+from corpuslens.policy import EXCLUSION_REASONS
 
 KEYS = [k for k, _ in P.SECTIONS]
 
 # The working tree as the current inventory, and references recorded against the base snapshot.
 _WT = {k: v.replace("FROM corpus_files", "FROM snap_worktree") for k, v in classified().items()}
-_WT["inv0"] = _WT["inv0"].replace("f.lang, ", "").replace("snap_worktree f", "snap_worktree f")
+_WT["inv0"] = _WT["inv0"].replace("f.lang, f.n_chars, ", "").replace("snap_worktree f", "snap_worktree f")
 REFS = {
-    "section_refs": "SELECT repo, path, doc_id, ['" + "','".join(KEYS) + "'][1 + doc_id % 9] AS key, CASE WHEN length(content) BETWEEN 1000 AND 1100 THEN NULL ELSE sha256(content) END AS content_hash FROM snap_base",
+    "section_refs": "SELECT repo, path, doc_id, ['" + "','".join(KEYS) + "'][1 + abs(doc_id) % 9] AS key, CASE WHEN length(content) BETWEEN 1000 AND 1100 THEN NULL ELSE sha256(content) END AS content_hash FROM snap_base",
 }
 
 
@@ -33,7 +34,7 @@ def wt_inv(t):
 def section_refs(t):
     keys = F.array(*[F.lit(k) for k in KEYS])
     return t.view("snap_base").select(
-        "repo", "path", "doc_id", F.element_at(keys, (F.col("doc_id") % 9 + 1).cast("int")).alias("key"),
+        "repo", "path", "doc_id", F.element_at(keys, (F.abs("doc_id") % 9 + 1).cast("int")).alias("key"),
         F.when(~F.length("content").between(1000, 1100), F.sha2("content", 256)).alias("content_hash"))
 
 
@@ -100,10 +101,11 @@ def _requests(t):
 
 
 @query("fetch_source", sql("snap_worktree", {"rq": _REQ.format(gone="", a="1 + quality * 2", b="CASE WHEN toxic = 1 THEN NULL ELSE 6 END"),
-    "x": f"SELECT request_id, r.repo, r.path, a, b, f.content, {LINES.format(x='f.content')} AS ls, c.content AS old FROM rq r JOIN snap_worktree f ON f.repo = r.repo AND f.path = r.path JOIN corpus_files c ON c.repo = r.repo AND c.path = r.path",
-    "y": "SELECT *, least(coalesce(b, len(ls)), len(ls)) AS stop FROM x"},
-    f"""SELECT request_id, repo, path, CASE WHEN a > len(ls) OR a > stop THEN '' ELSE array_to_string(list_transform(ls[a:stop], lambda l: CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l)-1) ELSE l END), chr(10)) END AS content,
- CAST(a AS BIGINT) AS from_line, stop AS to_line, len(ls) AS total_lines, sha256(content) AS content_hash, coalesce(sha256(content) <> sha256(old), FALSE) AS changed_since_scan FROM y WHERE NOT {SENSITIVE}"""))
+    "x": f"SELECT request_id, r.repo, r.path, a, b, f.content, {LINES.format(x='f.content')} AS ls, c.content AS old FROM rq r LEFT JOIN snap_worktree f ON f.repo = r.repo AND f.path = r.path JOIN corpus_files c ON c.repo = r.repo AND c.path = r.path",
+    "y": f"SELECT *, least(coalesce(b, len(ls)), len(ls)) AS stop, CASE WHEN {SENSITIVE} THEN 'refused: credential path' WHEN content IS NULL THEN 'not found' END AS error FROM x"},
+    """SELECT request_id, repo, path, CASE WHEN error IS NOT NULL THEN NULL WHEN a > len(ls) OR a > stop THEN '' ELSE array_to_string(list_transform(ls[a:stop], lambda l: CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l)-1) ELSE l END), chr(10)) END AS content,
+ CASE WHEN error IS NULL THEN CAST(a AS BIGINT) END AS from_line, CASE WHEN error IS NULL THEN stop END AS to_line, CASE WHEN error IS NULL THEN len(ls) END AS total_lines, CASE WHEN error IS NULL THEN sha256(content) END AS content_hash,
+ error IS NULL AND coalesce(sha256(content) <> sha256(old), FALSE) AS changed_since_scan, error FROM y"""))
 def fetch_source(t):
     rq = _requests(t).select(F.col("doc_id").alias("request_id"), "repo", "path", (1 + F.col("quality") * 2).alias("from_line"),
                              F.when(F.col("toxic") != 1, F.lit(6)).alias("to_line"))
@@ -126,10 +128,11 @@ def budgeted_sections(t):
 
 
 _SENSL = " OR ".join(f"regexp_matches(line, '{p}')" for _, c, p in _RULES_SQL if c != "low")
+# The fixture holds no binary content behind a plain name.
+_WHY = "".join(f"WHEN i.class = '{k.removesuffix('_extension')}' THEN '{v}' " for k, v in EXCLUSION_REASONS.items())
 _BR = {**classified(), "rq": "SELECT f.doc_id AS request_id, f.repo, CASE WHEN toxic = 1 THEN f.path||'.gone' ELSE f.path END AS path, 1 + quality * 2 AS a, CASE WHEN n_chars > 2000 THEN 40 END AS b FROM corpus_files f JOIN labels l USING (doc_id)",
     "rf": """SELECT r.*, i.class, i.selectable, i.content, CASE WHEN i.class IS NULL THEN 'not in the project index (ignored, generated or does not exist); use search to find files'
- WHEN i.selectable THEN NULL WHEN i.class = 'credential_sensitive' THEN 'This path commonly stores credentials. Selecting it requires a per-file confirmation.' WHEN i.class = 'binary' THEN 'Binary file type.'
- WHEN i.class = 'lockfile' THEN 'Dependency lockfile: large and rarely useful as context.' WHEN i.class = 'generated' THEN 'Generated, vendored or minified output.' ELSE 'Hidden or editor/OS metadata file.' END AS refused FROM rq r LEFT JOIN inv i ON i.repo = r.repo AND i.path = r.path""",
+ WHEN i.selectable THEN NULL """ + _WHY + """ END AS refused FROM rq r LEFT JOIN inv i ON i.repo = r.repo AND i.path = r.path""",
     "rl": f"SELECT *, CASE WHEN refused IS NULL THEN {LINES.format(x='content')} ELSE [] END AS ls FROM rf",
     "rr": "SELECT request_id, repo, path, refused, ls, len(ls) AS n, least(a, greatest(len(ls), 1)) AS s FROM rl",
     "rs": "SELECT rr.*, least(greatest(coalesce(rq.b, n), s), greatest(n, s)) AS e FROM rr JOIN rq USING (request_id)",

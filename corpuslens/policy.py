@@ -1,4 +1,4 @@
-"""Scan policy: limits, switches and the fixed word lists that decide a file's class."""
+"""Scan policy: switches and the fixed word lists that decide a file's class. Size never decides, it is only named."""
 
 from __future__ import annotations
 
@@ -9,13 +9,8 @@ POLICY_VERSION = 1
 
 @dataclass(frozen=True)
 class Policy:
-    max_file_bytes: int = 1_048_576
-    max_data_file_bytes: int = 65_536
-    max_files_scanned: int = 200_000
-    max_selected_files: int = 5_000
-    max_bundle_bytes: int = 64 * 1_048_576
-    binary_probe_bytes: int = 8_192
-    max_depth: int = 64
+    large_file_bytes: int = 1_048_576
+    large_data_file_bytes: int = 65_536
     include_hidden: bool = False
     follow_symlinks: bool = False
     exclude_lockfiles: bool = True
@@ -61,19 +56,22 @@ LOCKFILE_NAMES = [
     "gradle.lockfile", "packages.lock.json",
 ]
 
-BINARY_EXTENSIONS = (
-    "png jpg jpeg gif bmp ico icns tiff webp avif heic svgz "
-    "mp3 wav flac ogg m4a aac mp4 mov avi mkv webm wmv "
-    "zip gz tgz bz2 xz zst 7z rar tar jar war ear "
-    "exe dll so dylib a lib o obj bin dat class pyc pyo pdb wasm "
-    "pdf doc docx xls xlsx ppt pptx odt ods sqlite sqlite3 db mdb "
-    "ttf otf woff woff2 eot psd ai sketch fig blend "
-    "gguf safetensors onnx pt pth ckpt h5 npy npz parquet arrow dmg iso img"
-).split()
+# Fixed values.
+BINARY_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "icns", "tiff", "webp", "avif", "heic", "svgz",
+    "mp3", "wav", "flac", "ogg", "m4a", "aac", "mp4", "mov", "avi", "mkv", "webm", "wmv",
+    "zip", "gz", "tgz", "bz2", "xz", "zst", "7z", "rar", "tar", "jar", "war", "ear",
+    "exe", "dll", "so", "dylib", "a", "lib", "o", "obj", "bin", "dat", "class", "pyc", "pyo", "pdb", "wasm",
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "sqlite", "sqlite3", "db", "mdb",
+    "ttf", "otf", "woff", "woff2", "eot", "psd", "ai", "sketch", "fig", "blend",
+    "gguf", "safetensors", "onnx", "pt", "pth", "ckpt", "h5", "npy", "npz", "parquet", "arrow", "dmg", "iso", "img",
+]
 
-DATA_EXTENSIONS = (
-    "json yaml yml xml csv tsv ndjson jsonl plist svg geojson graphql sql po pot properties"
-).split()
+# Fixed values.
+DATA_EXTENSIONS = [
+    "json", "yaml", "yml", "xml", "csv", "tsv", "ndjson", "jsonl", "plist", "svg", "geojson", "graphql",
+    "sql", "po", "pot", "properties",
+]
 
 GENERATED_DIR_MARKERS = [
     "/node_modules/", "/dist/", "/build/", "/target/", "/coverage/", "/.next/",
@@ -103,14 +101,25 @@ CLASS_LABELS = {
     "lockfile": "lockfile",
     "credential_sensitive": "credential-sensitive",
     "hidden_metadata": "hidden/metadata",
-    "too_large": "too large",
     "symlink": "symlink",
     "unsupported_encoding": "unsupported encoding",
     "unreadable": "unreadable",
 }
 
+# Why a file of a class is left out, in this project's own words.
+EXCLUSION_REASONS = {
+    "credential_sensitive": "Credential path: include it only after confirming this one file.",
+    "symlink": "Symbolic link: pick the file it points to.",
+    "binary_extension": "The file name says binary.",
+    "binary_content": "The content looks binary.",
+    "unsupported_encoding": "The bytes are not UTF-8.",
+    "lockfile": "Lockfile of a package manager.",
+    "generated": "Generated, vendored or minified.",
+    "hidden_metadata": "Hidden file or editor data.",
+}
+
 OVERRIDE_CLASSES = [
-    "credential_sensitive", "binary", "unsupported_encoding", "unreadable", "too_large",
+    "credential_sensitive", "binary", "unsupported_encoding", "unreadable",
 ]
 
 # Ignore sources, weakest first; the rank is the position.

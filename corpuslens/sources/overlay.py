@@ -3,7 +3,7 @@
 The driver tables hold prose, so every document is given a path and, by its
 path, a code snippet in front of its text. The SQL below is the neutral subset
 that Spark and DuckDB both read; each entry may use the entries before it.
-Nothing is filtered away to save work: every row of every table takes part.
+Phrases and snippets stand before the texts, never in their place.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SELECT doc_id, source AS repo, text, lang, n_chars,
   WHEN 8 THEN '.env.'||doc_id WHEN 9 THEN '.env.'||doc_id||'.example' WHEN 10 THEN 'id_'||doc_id||'.pem' WHEN 11 THEN 'app_'||doc_id||'.min.js'
   WHEN 12 THEN 'mod_'||doc_id||'.test.ts' WHEN 13 THEN 'test_'||doc_id||'.py' WHEN 14 THEN 'schema_'||doc_id||'.sql' WHEN 15 THEN 'service-account'||doc_id||'.json'
   WHEN 16 THEN 'View'||doc_id||'.tsx' WHEN 17 THEN '.config_'||doc_id WHEN 18 THEN 'readme_'||doc_id||'.txt' WHEN 19 THEN 'pkg_'||doc_id||'/package-lock.json'
-  WHEN 20 THEN 'pkg_'||doc_id||'/package.json' WHEN 21 THEN 'pkg_'||doc_id||'/requirements.txt' ELSE 'pkg_'||doc_id||'/Cargo.toml' END AS name,
+  WHEN 20 THEN 'pkg_'||doc_id||'/about.txt' WHEN 21 THEN 'pkg_'||doc_id||'/usage.txt' ELSE 'pkg_'||doc_id||'/notes.txt' END AS name,
  CASE WHEN doc_id % 23 IN (0,12,16) THEN 'import express from "express";'||chr(10)||'import { greet } from "./mod_'||(doc_id % 40)||'";'||chr(10)||'export function fn_'||doc_id||'(a) {'||chr(10)||'  app.get("/r/'||doc_id||'", h)'||chr(10)||'  // TODO: item '||doc_id||chr(10)||'  const k = process.env.KEY_'||(doc_id % 5)||';'||chr(10)||'}'||chr(10)||'export interface Shape'||doc_id||' {}'||chr(10)
   WHEN doc_id % 23 = 1 THEN 'use std::collections::HashMap;'||chr(10)||'pub struct Engine'||doc_id||';'||chr(10)||'pub fn run_'||doc_id||'() {}'||chr(10)||'fn hidden_'||doc_id||'() {}'||chr(10)||'// FIXME tidy'||chr(10)||'let v = std::env::var("RUST_'||(doc_id % 5)||'");'||chr(10)
   WHEN doc_id % 23 IN (2,13) THEN 'from fastapi import FastAPI'||chr(10)||'import os'||chr(10)||'@app.get("/items/'||doc_id||'")'||chr(10)||'def list_'||doc_id||'():'||chr(10)||'    return os.environ["PY_'||(doc_id % 5)||'"]'||chr(10)||'def _private():'||chr(10)||'# HACK: slow'||chr(10)
@@ -44,13 +44,17 @@ SELECT doc_id, source AS repo, text, lang, n_chars,
 FROM documents
 """
 
+# Every document is a file; three packages of 23 also have a manifest beside it, under a number of its own.
 CORPUS_FILES = """
 SELECT doc_id, repo, lang, n_chars, dir||name AS path,
+ CASE WHEN doc_id % 7 = 0 THEN replace(snippet||secret||inject||text, chr(10), chr(13)||chr(10)) ELSE snippet||secret||inject||text END AS content
+FROM corpus_base
+UNION ALL SELECT -1 - doc_id AS doc_id, repo, lang, n_chars,
+ dir||'pkg_'||doc_id||CASE doc_id % 23 WHEN 20 THEN '/package.json' WHEN 21 THEN '/requirements.txt' ELSE '/Cargo.toml' END AS path,
  CASE doc_id % 23 WHEN 20 THEN '{"name":"p'||doc_id||'","scripts":{"build":"tsc","test":"vitest run"},"dependencies":{"express":"^4","dep'||(doc_id % 30)||'":"1"},"devDependencies":{"typescript":"^5"}}'
   WHEN 21 THEN '# pinned'||chr(10)||'fastapi==0.111.0'||chr(10)||'uvicorn>=0.30'||chr(10)||'lib'||(doc_id % 30)||'[extra]~=1.0'||chr(10)
-  WHEN 22 THEN '[package]'||chr(10)||'name = "p'||doc_id||'"'||chr(10)||chr(10)||'[dependencies]'||chr(10)||'serde = "1"'||chr(10)||'crate'||(doc_id % 30)||' = "2"'||chr(10)
-  ELSE CASE WHEN doc_id % 7 = 0 THEN replace(snippet||secret||inject||text, chr(10), chr(13)||chr(10)) ELSE snippet||secret||inject||text END END AS content
-FROM corpus_base
+  ELSE '[package]'||chr(10)||'name = "p'||doc_id||'"'||chr(10)||chr(10)||'[dependencies]'||chr(10)||'serde = "1"'||chr(10)||'crate'||(doc_id % 30)||' = "2"'||chr(10) END AS content
+FROM corpus_base WHERE doc_id % 23 IN (20, 21, 22)
 """
 
 # Picks follow the labels: good documents are chosen, toxic ones removed by hand.
@@ -100,8 +104,8 @@ PHRASES = [
 
 PROMPTS = (
     "SELECT conv_id, turn, 'src'||(conv_id % 20) AS repo, CASE (conv_id * 7 + turn) % 16 "
-    + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
-    + " ELSE text END AS prompt FROM conversations WHERE role = 'user'"
+    + " ".join(f"WHEN {i} THEN '{p} '" for i, p in enumerate(PHRASES))
+    + " ELSE '' END||text AS prompt FROM conversations WHERE role = 'user'"
 )
 
 REPLIES = """
@@ -178,12 +182,6 @@ def with_clause(*names: str) -> str:
     return ",\n".join(f"{n} AS ({sql})" for n, sql in VIEWS.items() if n in wanted)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffle only an input that comes in fewer partitions than there are cores (one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """The input tables of one scale-factor folder as lazy DataFrames.
 
@@ -204,7 +202,7 @@ class Tables:
 
     def _build_scan(self) -> DataFrame:
         self._register(["documents"])
-        files = spread(self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files"))
+        files = self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files")
         # A generator is a boundary the optimizer does not inline expressions across: without it the
         # long CASE that makes up a path would be repeated in every predicate on the path.
         files = files.select(F.inline(F.array(F.struct(*files.columns))))

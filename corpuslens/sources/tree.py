@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths
-from corpuslens.policy import Policy
 
 
-def scan_tree(spark: SparkSession, root: str, repo: str | None = None, policy: Policy = Policy()) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """One row per file below ``root``: repo, path, content (bytes), modified_ts.
 
-    Skipped directories and over-deep paths are dropped on the path alone, so
-    their rows go before any content is looked at. Each first-level folder is
-    a repo unless ``repo`` names one.
+    Skipped directories are dropped on the path alone, so their rows go before
+    any content is looked at. Each first-level folder is a repo unless ``repo``
+    names one. Depth and size do not matter.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     prefix = "^(?:file:/*)?" + "/" + root.strip("/").replace(".", r"\.") + "/"
@@ -24,14 +23,14 @@ def scan_tree(spark: SparkSession, root: str, repo: str | None = None, policy: P
         df = df.select(F.substring_index("rel", "/", 1).alias("repo"), F.regexp_replace("rel", "^[^/]*/", "").alias("path"), "content", "modified_ts")
     else:
         df = df.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content", "modified_ts")
-    return df.where(~paths.in_skipped_dir(F.col("path")) & (F.size(F.split("path", "/")) <= policy.max_depth))
+    return df.where(~paths.in_skipped_dir(F.col("path")))
 
 
-def write_bundles(bundles: DataFrame, folder: str) -> None:
-    """Bundle text per repo as text files, its facts as a JSON companion."""
-    bundles.where("status = 'ok'").select("repo", F.col("text").alias("value")).write.mode("overwrite").partitionBy("repo").option(
-        "lineSep", "\n").text(f"{folder}/text")
-    bundles.drop("text").write.mode("overwrite").json(f"{folder}/manifest")
+def write_bundles(bundles: DataFrame, parts: DataFrame, folder: str) -> None:
+    """Bundle text per repo as text files cut between sections, in order of their names, and the facts as JSON."""
+    ordered = parts.repartitionByRange("repo", "position").sortWithinPartitions("repo", "position")
+    ordered.select("repo", F.col("section").alias("value")).write.mode("overwrite").partitionBy("repo").option("lineSep", "\n").text(f"{folder}/text")
+    bundles.write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def write_parts(parts: DataFrame, folder: str) -> None:
@@ -41,7 +40,7 @@ def write_parts(parts: DataFrame, folder: str) -> None:
 
 def report_markdown(results: DataFrame) -> DataFrame:
     """Benchmark results as one Markdown table line per (repo, strategy)."""
-    pct = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.0f%%", F.col(c) * 100))
+    pct = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.concat(F.floor(F.col(c) * 100 + 0.5).cast("string"), F.lit("%")))
     line = F.concat(F.lit("| "), "repo", F.lit(" | "), "strategy", F.lit(" | "), F.col("files_included").cast("string"), F.lit(" | "),
                     pct("precision"), F.lit(" | "), pct("recall"), F.lit(" |"))
     return results.select("repo", "strategy", line.alias("line"))

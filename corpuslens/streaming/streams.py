@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.operators import inventory, ledger, secrets
 from corpuslens.session import fresh_folder
@@ -34,9 +30,9 @@ def read_files(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
 
 
 def ingest(files: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Continuous inventory; a text that lands twice in a repo within the delay is kept once."""
+    """Continuous inventory; the same content that lands again at the same path within the delay is kept once."""
     inv = inventory.inventory(files.withWatermark("landed_ts", delay))
-    return inv.dropDuplicatesWithinWatermark(["repo", "content_hash"]).select(
+    return inv.dropDuplicatesWithinWatermark(["repo", "path", "content_hash"]).select(
         "repo", "path", "size_bytes", "class", "selectable", "content_hash", "landed_ts")
 
 
@@ -55,44 +51,21 @@ def run_sessions(events: DataFrame, gap: str = "120 minutes", delay: str = "30 m
     ).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "tokens")
 
 
-APPROVAL_OUT = "user_id long, approval_id long, state string"
-APPROVAL_STATE = "pending array<struct<approval_id:long,expires_ms:long>>"
-
-
 def approval_ttl(events: DataFrame, ttl_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """Approvals asked by edits, approved by the next search of the user or expired after their time to live.
+    """Approvals asked by edits: approved by the user's first search within the time to live, else expired.
 
-    The state of a user is its open approvals only. The watermark closes what nobody decided.
+    Windows of twice the time to live overlap by half, so each edit lies in the first half of one that also holds
+    all that may decide it. A state is what one user did in one such window; the watermark closes it.
     """
-    ttl_ms = ttl_minutes * 60_000
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = [(p[0], p[1]) for p in state.get[0]] if state.exists else []
-        out: list[tuple[int, int, str]] = []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            out = [(key[0], a, "expired") for a, x in pending if x <= now]
-            pending = [(a, x) for a, x in pending if x > now]
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "sequence"])
-            for ts, seq, kind in zip(rows["ts"], rows["sequence"], rows["event_type"]):
-                ms = int(ts.timestamp() * 1000)
-                out += [(key[0], a, "expired") for a, x in pending if x <= ms]
-                pending = [(a, x) for a, x in pending if x > ms]
-                if kind == "search":
-                    out += [(key[0], a, "approved") for a, _ in pending]
-                    pending = []
-                elif kind == "edit":
-                    pending.append((int(seq), ms + ttl_ms))
-        if pending:
-            state.update((pending,))
-            state.setTimeoutTimestamp(max(min(x for _, x in pending), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "approval_id", "state"])
-
-    return events.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(
-        advance, APPROVAL_OUT, APPROVAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    ttl = F.make_dt_interval(mins=F.lit(ttl_minutes))
+    kept = events.withWatermark("ts", delay).where(F.col("event_type").isin("edit", "search"))
+    seen = kept.groupBy(F.window("ts", f"{2 * ttl_minutes} minutes", f"{ttl_minutes} minutes").alias("w"), "user_id").agg(
+        F.collect_list(F.struct("ts", "sequence", "event_type")).alias("all"))
+    edits = seen.select("user_id", "w", "all", F.explode(F.filter("all", lambda e: e["event_type"] == "edit")).alias("e")).where(
+        F.col("e.ts") < F.col("w.start") + ttl)
+    decided = F.exists("all", lambda s: (s["event_type"] == "search") & (s["ts"] < F.col("e.ts") + ttl) & (
+        (s["ts"] > F.col("e.ts")) | ((s["ts"] == F.col("e.ts")) & (s["sequence"] > F.col("e.sequence")))))
+    return edits.select("user_id", F.col("e.sequence").alias("approval_id"), F.when(decided, "approved").otherwise("expired").alias("state"))
 
 
 def secret_alerts(files: DataFrame, sink: str, checkpoint: str):
@@ -107,10 +80,13 @@ def secret_alerts(files: DataFrame, sink: str, checkpoint: str):
 
 
 def staleness(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """Sections made stale by incoming file versions: a stream joined to the recorded references."""
+    """Sections made stale by incoming file versions: a stream joined to the recorded references.
+
+    A reference without a hash cannot be checked and is not called stale, as in the batch operators.
+    """
     now = F.sha2("content", 256)
     return files.select("repo", "path", now.alias("now")).join(refs, ["repo", "path"]).where(
-        F.col("content_hash").isNull() | (F.col("content_hash") != F.col("now"))).select("repo", "key", "path")
+        F.col("content_hash") != F.col("now")).select("repo", "key", "path")
 
 
 def observed(files: DataFrame, name: str = "scan") -> DataFrame:
@@ -130,8 +106,24 @@ def dropped_by_watermark(progress: list) -> int:
 
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that has landed and return what it appended, as a table."""
+    return run_recorded(df, name)[0]
+
+
+def run_recorded(df: DataFrame, name: str) -> tuple[DataFrame, list]:
+    """``run_to_end`` with the progress records of the run."""
     folder = fresh_folder(df.sparkSession, name)
     q = (df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out"), q.recentProgress
+
+
+def progress_rows(spark: SparkSession, progress: list, name: str = "scan") -> DataFrame:
+    """(batch_id, files_seen, bytes_seen) per micro-batch that a run recorded; a few numbers per batch."""
+    rows = []
+    for p in progress:
+        seen = (p["observedMetrics"] if isinstance(p, dict) else p.observedMetrics).get(name)
+        if seen is not None:
+            get = seen.get if isinstance(seen, dict) else seen.asDict().get
+            rows.append((int(p["batchId"] if isinstance(p, dict) else p.batchId), get("files_seen") or 0, get("bytes_seen") or 0))
+    return spark.createDataFrame(rows, "batch_id long, files_seen long, bytes_seen long")

@@ -33,9 +33,9 @@ def test_languages(spark):
     assert {(r.path, r.method, r.route) for r in A.routes(c).collect()} == {("a.rs", "GET", "/x"), ("b.py", "GET", "/items")}
 
 
-def test_long_lines_are_skipped(spark):
+def test_long_lines_count(spark):
     c = as_files(spark, {"a.py": "def f():" + " " * 3000 + "\ndef g():\n"})
-    assert [r.name for r in A.symbols(c).collect()] == ["g"]
+    assert [r.name for r in A.symbols(c).orderBy("line_no").collect()] == ["f", "g"]
 
 
 def test_structure_collapses_single_chains(spark):
@@ -48,11 +48,14 @@ def test_context_document(small_app):
     from corpuslens.operators.inventory import source_revision
 
     lines = A.complete_sections(A.section_lines(small_app), small_app.select("repo").distinct())
-    md = A.context_render(A.context_sections(lines), source_revision(small_app)).first().markdown
+    rows = A.context_render(lines, source_revision(small_app)).orderBy("rank", "block", "pos", "sub").collect()
+    md = "\n".join(r.line for r in rows)
+    sections = {r.key: r for r in A.context_sections(lines).collect()}
+    assert len(sections) == 9 and sections["known_issues"].n_lines == 1 and sections["notes_and_decisions"].n_lines == 0
     assert "# Project Context: r" in md and "> A tiny fixture project." in md and "- **Languages:** typescript 3 · json 1 · markdown 1" in md
     assert "- `src/` — 3 files\n  - `util/` 1" in md and "- `GET /health` — `src/index.ts:6`" in md
     assert "- `package.json` (2): `express`, `typescript`" in md and "- `npm run build` — `tsc`" in md
-    assert "_No architecture decision records found._" in md and "- 2 files at the top level" in md
+    assert "_No recorded decisions._" in md and "- 2 files at the top level" in md
 
 
 def test_freshness(spark):
@@ -63,3 +66,11 @@ def test_freshness(spark):
     s = G.section_freshness(refs, after)
     assert {r.key: r.freshness for r in s.collect()} == {"dependencies": "fresh", "key_modules": "stale", "overview": "stale"}
     assert G.document_freshness(s).first().freshness == "stale"
+
+
+def test_each_reference_counts_by_its_own_hash(spark):
+    after = inventory(as_files(spark, {"a.ts": "1"}))
+    good = after.first().content_hash
+    refs = spark.createDataFrame([("r", "a.ts", "dependencies", good), ("r", "a.ts", "key_modules", "f" * 64), ("r", "a.ts", "workflows", "0" * 64)], "repo string, path string, key string, content_hash string")
+    assert {r.key: r.freshness for r in G.section_freshness(refs, after).collect()} == {"dependencies": "fresh", "key_modules": "stale", "workflows": "stale"}
+    assert [(r.path, r.change) for r in G.change_impact(refs, after).collect()] == [("a.ts", "changed")]

@@ -26,11 +26,13 @@ def test_binary_content_and_limits(spark):
     df = spark.createDataFrame([("r", p, bytearray(c)) for p, c in rows], "repo string, path string, content binary")
     got = classes(I.inventory(df))
     assert got == {
-        "logo.png": "binary", "blob.txt": "binary", "latin.txt": "unsupported_encoding", "big.txt": "too_large", "data.json": "too_large",
+        "logo.png": "binary", "blob.txt": "binary", "latin.txt": "unsupported_encoding", "big.txt": "source_text", "data.json": "source_text",
         "package-lock.json": "lockfile", "app.min.js": "generated", "ok.txt": "source_text", "bom.txt": "source_text", "u16.txt": "binary",
         "ctl.txt": "binary", "ctl10.txt": "source_text", "empty.txt": "source_text", ".hidden": "hidden_metadata"}
     hashed = {r.path: r.content_hash for r in I.inventory(df).collect()}
-    assert hashed["ok.txt"] and hashed["latin.txt"] is None and hashed["logo.png"] is None
+    assert all(hashed.values())
+    sizes = {r.path: r.size_class for r in I.inventory(df).collect()}
+    assert sizes["big.txt"] == "large" and sizes["data.json"] == "large_data" and sizes["ok.txt"] == "normal"
     issues = {r.path for r in I.scan_issues(df).collect()}
     assert {"latin.txt", "logo.png"} <= issues
 

@@ -6,6 +6,8 @@ from compare import compare, duck
 from corpuslens.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries that have no rows at the smallest scale; elsewhere empty on both sides proves nothing and fails.
+EMPTY_AT_SMALLEST: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 def test_query(spark, con, name):
     if name in ORACLES:
         difference = compare(spark, con, name, QUERIES[name], ORACLES[name], SF)
-        assert difference is None or difference.startswith("EMPTY"), difference
+        assert difference is None or (difference.startswith("EMPTY") and name in EMPTY_AT_SMALLEST), difference
     else:
         assert QUERIES[name](spark, SF).limit(1).count() == 1
 

@@ -30,7 +30,7 @@ def test_ranking_equals_brute_force(spark):
     qs = ["Fix the login token!", "éa auth", "math", "no hit whatsoever zz"]
     queries = spark.createDataFrame([(i, "r", q) for i, q in enumerate(qs)], "query_id int, repo string, query string")
     path_df = lambda ps: spark.createDataFrame([("r", p) for p in ps], "repo string, path string")
-    got = H.rank_context(queries, files(spark, tree), path_df(pins), path_df(diffs)).orderBy("query_id", "rank").collect()
+    got = H.rank_context(queries, files(spark, tree), path_df(pins), path_df(diffs), 20).orderBy("query_id", "rank").collect()
     for i, q in enumerate(qs):
         assert [(r.path, r.score) for r in got if r.query_id == i] == brute(q, tree, pins, diffs), q
 
@@ -44,4 +44,4 @@ def test_disabled_falls_back_to_pins(spark):
 def test_search(spark):
     f = files(spark, {"src/a.ts": "one\n  Needle here  \n", "lib/b.ts": "needle\n", "src/c.ts": "needle\n" * 50})
     got = H.search_lines(f, "NEEDLE", "src").orderBy("path", "line_no").collect()
-    assert len(got) == 40 and got[0].snippet == "Needle here" and got[0].path == "src/a.ts"
+    assert len(got) == 51 and got[0].snippet == "Needle here" and got[0].path == "src/a.ts" and [r.position for r in got] == list(range(1, 52))

@@ -45,10 +45,11 @@ def landing(spark, tmp_path, rows, name):
     return str(tmp_path / name)
 
 
-def test_ingest_drops_repeated_content(spark, tmp_path):
-    folder = landing(spark, tmp_path, [("r", "a.ts", "x", "2024-01-01 00:00:00"), ("r", "b.ts", "x", "2024-01-01 00:01:00"), ("r", "c.ts", "y", "2024-01-01 00:02:00"), ("r", "node_modules/d.js", "z", "2024-01-01 00:02:00")], "in")
-    got, _ = run(S.ingest(S.read_files(spark, folder)), "ingested")
-    assert got.count() == 2 and {r["class"] for r in got.collect()} == {"source_text"}
+def test_ingest_keeps_every_path(spark, tmp_path):
+    rows = [("r", "a.ts", "x", "2024-01-01 00:00:00"), ("r", "b.ts", "x", "2024-01-01 00:01:00"), ("r", "a.ts", "x", "2024-01-01 00:02:00"), ("r", "a.ts", "y", "2024-01-01 00:03:00"),
+            ("r", ".env", "k", "2024-01-01 00:02:00"), ("r", "x.png", "p", "2024-01-01 00:02:00"), ("r", "node_modules/d.js", "z", "2024-01-01 00:02:00")]
+    got, _ = run(S.ingest(S.read_files(spark, landing(spark, tmp_path, rows, "in"))), "ingested")
+    assert sorted((r.path, r["class"]) for r in got.collect()) == [(".env", "credential_sensitive"), ("a.ts", "source_text"), ("a.ts", "source_text"), ("b.ts", "source_text"), ("x.png", "binary")]
 
 
 def test_alerts_staleness_progress(spark, tmp_path):
@@ -56,7 +57,7 @@ def test_alerts_staleness_progress(spark, tmp_path):
     q = S.secret_alerts(S.read_files(spark, folder), str(tmp_path / "alerts"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.rule for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == ["aws_access_key"]
-    refs = spark.createDataFrame([("r", "b.ts", "overview", "0" * 64), ("r", "zzz.ts", "overview", "0" * 64)], "repo string, path string, key string, content_hash string")
+    refs = spark.createDataFrame([("r", "b.ts", "overview", "0" * 64), ("r", "a.ts", "overview", None), ("r", "zzz.ts", "overview", "0" * 64)], "repo string, path string, key string, content_hash string")
     got, _ = run(S.staleness(S.read_files(spark, folder), refs), "stale")
     assert [(r.key, r.path) for r in got.collect()] == [("overview", "b.ts")]
     _, q = run(S.observed(S.read_files(spark, folder)), "seen")
@@ -72,12 +73,19 @@ def events_folder(spark, tmp_path, batches):
     return folder
 
 
-def test_approvals_expire_or_are_approved(spark, tmp_path):
-    rows = [[(1, "2024-01-01 00:00:00", 1, "purchase", 1.0, ""), (2, "2024-01-01 00:10:00", 1, "click", 1.0, ""), (3, "2024-01-01 00:20:00", 1, "purchase", 1.0, ""), (4, "2024-01-01 00:00:00", 2, "purchase", 1.0, "")],
-            [(5, "2024-01-01 05:00:00", 3, "view", 1.0, "")], [(6, "2024-01-01 06:00:00", 3, "view", 1.0, "")]]
+def test_approvals_follow_one_rule(spark, tmp_path):
+    rows = [[(1, "2024-01-01 00:00:00", 1, "purchase", 1.0, ""), (8, "2024-01-01 00:05:00", 1, "view", 1.0, ""), (2, "2024-01-01 00:10:00", 1, "click", 1.0, ""), (3, "2024-01-01 00:20:00", 1, "purchase", 1.0, ""),
+             (4, "2024-01-01 00:00:00", 2, "purchase", 1.0, ""), (7, "2024-01-01 00:55:00", 1, "click", 1.0, "")],
+            [(5, "2024-01-01 05:00:00", 3, "click", 1.0, "")], [(6, "2024-01-01 06:00:00", 3, "click", 1.0, "")]]
     folder = events_folder(spark, tmp_path, rows)
     got, _ = run(S.approval_ttl(S.read_events(spark, folder, files_per_trigger=1)), "ttl")
-    assert {(r.user_id, r.approval_id, r.state) for r in got.collect()} == {(1, 1, "approved"), (1, 3, "expired"), (2, 4, "expired")}
+    want = {(1, 1, "approved"), (1, 3, "expired"), (2, 4, "expired")}
+    assert {(r.user_id, r.approval_id, r.state) for r in got.collect()} == want and got.count() == 3
+    spark.read.parquet(folder).createOrReplaceTempView("events")
+    from corpuslens.sources.overlay import RUN_EVENTS
+
+    batch = L.approvals(spark.sql(RUN_EVENTS)).collect()
+    assert {(r.user_id, r.approval_id, "approved" if r.decided_ts else "expired") for r in batch} == want
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
