@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,6 +201,21 @@ def strategy_benchmark(inv: DataFrame, relevant: DataFrame) -> DataFrame:
     return c.select("repo", F.explode(rows).alias("s")).select("repo", "s.*")
 
 
+def strategy_cost(bundles: dict[str, DataFrame]) -> DataFrame:
+    """Bytes and tokens per repo of each strategy that sends a bundle."""
+    rows = [b.select("repo", F.lit(name).alias("strategy"), F.col("byte_len").alias("bytes"), "tokens") for name, b in bundles.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def map_cost(document: DataFrame, pinned: DataFrame) -> DataFrame:
+    """deterministic_map sends the context document (rows with ``line``), hybrid the pinned files behind it."""
+    size = document.groupBy("repo").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
+    size = size.withColumn("tokens", F.floor(F.col("bytes") / 4))
+    both = size.join(pinned.select("repo", F.col("byte_len").alias("b"), F.col("tokens").alias("t")), "repo", "left").na.fill(0, ["b", "t"])
+    hybrid = both.select("repo", F.lit("hybrid").alias("strategy"), (F.col("bytes") + F.col("b")).alias("bytes"), (F.col("tokens") + F.col("t")).alias("tokens"))
+    return size.select("repo", F.lit("deterministic_map").alias("strategy"), "bytes", "tokens").unionByName(hybrid)
+
+
 def tokens_avoided(runs: DataFrame, inv: DataFrame) -> DataFrame:
     """Repository estimate minus what a run sent, never below zero, and its share."""
     repo = inv.where("selectable").groupBy("repo").agg(F.floor(F.sum("size_bytes") / 4).alias("repository_tokens"))

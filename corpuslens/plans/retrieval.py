@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpuslens.operators import analyze as A
@@ -100,9 +102,30 @@ def strategy_benchmark(t):
     return H.strategy_benchmark(t.inv, relevant(t))
 
 
-@query("strategy_cost", sql("corpus_files", {**classified(), **BUNDLES}, "SELECT repo, 'raw_all' AS strategy, sbytes + strlen(pre) AS bytes, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens FROM bundles"))
+def _renamed(ctes: dict[str, str], prefix: str) -> dict[str, str]:
+    """The same CTEs under names of their own."""
+    names = re.compile(r"\b(FROM|JOIN) (" + "|".join(ctes) + r")\b")
+    return {prefix + k: names.sub(lambda m: f"{m[1]} {prefix}{m[2]}", v) for k, v in ctes.items()}
+
+
+_PINNED = _renamed({**BUNDLES, "chosen": "SELECT i.* FROM inv i WHERE selectable AND EXISTS (SELECT 1 FROM corpus_files c JOIN labels USING (doc_id) WHERE quality = 1 AND c.repo = i.repo AND c.path = i.path)"}, "pin_")
+
+
+@query("strategy_cost", sql("corpus_files", {**classified(), **BUNDLES, **_PINNED}, " UNION ALL ".join(
+    f"SELECT repo, '{s}' AS strategy, sbytes + strlen(pre) AS bytes, CAST(toks + strlen(pre)//4 AS BIGINT) AS tokens FROM {v}" for s, v in (("raw_all", "bundles"), ("user_pinned", "pin_bundles")))))
 def strategy_cost(t):
-    return R.bundle(chosen(t)).select("repo", F.lit("raw_all").alias("strategy"), F.col("byte_len").alias("bytes"), "tokens")
+    return H.strategy_cost({"raw_all": R.bundle(chosen(t)), "user_pinned": R.bundle(pinned_files(t))})
+
+
+def pinned_files(t):
+    return chosen(t).join(relevant(t).distinct(), ["repo", "path"], "left_semi")
+
+
+@query("strategy_cost_map")
+def strategy_cost_map(t):
+    """The two strategies that send the context document; its text has no SQL of its own."""
+    document = A.context_render(A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), t.inv.select("repo").distinct()), I.source_revision(t.inv))
+    return H.map_cost(document, R.bundle(pinned_files(t)))
 
 
 @query("missing_ground_truth", sql("corpus_files snap_worktree", {}, "SELECT repo, path FROM corpus_files JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars < 200 UNION SELECT source, 'docs/gone_'||doc_id||'.md' FROM labels JOIN documents USING (doc_id) WHERE toxic = 1"))
