@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import ordering, paths, text
-from corpuslens.policy import CLASS_LABELS, EXCLUSION_REASONS, OVERRIDE_CLASSES, INJECTION_PHRASES, Policy
+from corpuslens.policy import CLASS_LABELS, EXCLUSION_REASONS, IGNORE_SOURCES, INJECTION_PHRASES, OVERRIDE_CLASSES, Policy
 
 DEFAULT = Policy()
 
@@ -78,9 +80,10 @@ def exclusion(policy: Policy) -> Column:
     )
 
 
-def inventory(files: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Pruned and classified files."""
-    return classify(prune_skipped_dirs(files), policy)
+def inventory(files: DataFrame, policy: Policy = DEFAULT, rules: DataFrame | None = None) -> DataFrame:
+    """Pruned and classified files; with ``rules`` (see ``compile_rules``) also those that ignore rules exclude."""
+    inv = classify(prune_skipped_dirs(files), policy)
+    return inv if rules is None else with_ignores(inv, rules)
 
 
 def class_label(cls: Column) -> Column:
@@ -136,89 +139,126 @@ def language_mix(inv: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+_TOKEN = r"\\.|\[!?\]?[^\]]*\]|\*\*/|/\*\*\z|\*\*|\*|\?|[^\\\[*?/]+|/|."
+
+
 def rule_regex(pattern: Column) -> Column:
-    """An ignore rule (without its '!') as a regular expression on the relative path.
+    """An ignore rule (without its '!') as a regular expression on the path below the rule's base.
 
-    ``*`` and ``?`` stay inside one segment, ``**`` crosses, a slash inside
-    anchors the rule, and a directory match covers everything below it.
+    ``*``, ``?`` and classes stay inside one segment, ``**`` crosses, a backslash takes the next character as it is, and
+    a slash inside anchors the rule.
     """
     body = F.regexp_replace(pattern, r"/\z", "")
     anchored = body.contains("/")
-    p = F.regexp_replace(body, r"^/", "")
-    p = F.regexp_replace(p, r"([.+^$(){}|\[\]\\])", r"\\$1")
-    p = F.regexp_replace(p, r"\*\*/", "\u0001")
-    p = F.regexp_replace(p, r"\*\*", "\u0002")
-    p = F.regexp_replace(p, r"\*", "[^/]*")
-    p = F.regexp_replace(p, r"\?", "[^/]")
-    p = F.regexp_replace(p, "\u0001", "(?:.*/)?")
-    p = F.regexp_replace(p, "\u0002", ".*")
-    head = F.when(anchored, "^").otherwise("^(?:.*/)?")
-    tail = F.when(pattern.endswith("/"), "/.*").otherwise("(?:/.*)?")
-    return F.concat(head, p, tail, F.lit("$"))
+    quoted = lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
+    inside = lambda t: F.regexp_replace(F.substring(t, 2, 1_000_000), "^!", "^")
+    piece = lambda t: (
+        F.when(t == "**/", "(?:.*/)?").when(t == "/**", "/.*").when(t == "**", ".*").when(t == "*", "[^/]*").when(t == "?", "[^/]").when(t == "/", "/")
+        .when(t.startswith("\\"), quoted(F.substring(t, 2, 1))).when(t.startswith("[") & t.endswith("]"), F.concat(F.lit("(?!/)["), inside(t))).otherwise(quoted(t))
+    )
+    tokens = F.regexp_extract_all(F.regexp_replace(body, "^/", ""), F.lit(_TOKEN), F.lit(0))
+    return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), F.array_join(F.transform(tokens, piece), ""), F.lit("$"))
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """(repo, ordinal, source_rank, pattern) -> the same with negated and regex."""
+    """(repo, ordinal, source_rank, pattern[, base]) with what each rule means: negated, dir_only, regex, kind, valid.
+
+    ``base`` is the directory whose ignore file holds the rule, '' for the root. Kinds ``extension`` and ``name`` are
+    looked up by equality; only ``pattern`` rules are matched by their expression.
+    """
+    base = F.col("base") if "base" in rules.columns else F.lit("")
     bare = F.regexp_replace("pattern", "^!", "")
+    plain = r"[^*?\[\]\\/]+"
+    kind = F.when(bare.rlike(r"^\*\.[^*?\[\]\\/.]+/?$"), "extension").when(bare.rlike(rf"^{plain}/?$"), "name").otherwise("pattern")
+    unclosed = F.regexp_replace(F.regexp_replace(bare, r"\\.", ""), r"\[!?\]?[^\]]*\]", "").contains("[")
+    dangling = F.regexp_replace(bare, r"\\\\", "").endswith("\\")
     return rules.select(
-        "repo", "ordinal", "source_rank", "pattern",
-        F.col("pattern").startswith("!").alias("negated"),
-        rule_regex(bare).alias("regex"),
-    )
+        "repo", base.alias("base"), "ordinal", "source_rank", "pattern", F.col("pattern").startswith("!").alias("negated"),
+        bare.endswith("/").alias("dir_only"), rule_regex(bare).alias("regex"), kind.alias("kind"),
+        F.regexp_replace(F.regexp_replace(bare, "/$", ""), r"^\*\.", "").alias("word"), (~(unclosed | dangling) & (bare != "")).alias("valid"))
+
+
+def invalid_rules(rules: DataFrame) -> DataFrame:
+    """Rules that mean nothing: an open class, a backslash at the end, or nothing at all. They are not applied."""
+    return compile_rules(rules).where("NOT valid").select("repo", "base", "ordinal", "pattern")
+
 
+def _verdicts(units: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, path, is_dir, rule, source_rank, ignored): the strongest matching rule of each unit that has one.
 
-def rules_per_repo(rules: DataFrame) -> DataFrame:
-    """One row per repo with its rules as an array, weakest first (an ignore file is a short text)."""
-    item = F.struct("source_rank", "ordinal", "pattern", "negated", "regex")
-    return compile_rules(rules).groupBy("repo").agg(F.array_sort(F.collect_list(item)).alias("rules"))
+    Stronger is the higher source, then the deeper base, then the later line.
+    """
+    compiled = compile_rules(rules).where("valid").withColumn("depth", F.when(F.col("base") == "", 0).otherwise(F.size(F.split("base", "/"))))
+    name = F.substring_index("path", "/", -1)
+    u = units.select("repo", "path", "is_dir", name.alias("name"), F.when(name.contains("."), F.substring_index(name, ".", -1)).alias("ext"))
+    below = (F.col("base") == "") | F.startswith("path", F.concat("base", F.lit("/")))
+    fits = below & (F.col("is_dir") | ~F.col("dir_only"))
+    relative = F.when(F.col("base") == "", F.col("path")).otherwise(F.expr("substring(path, length(base) + 2)"))
+    of = lambda k: compiled.where(F.col("kind") == k)
+    hits = [
+        u.join(of("extension").withColumnRenamed("word", "ext"), ["repo", "ext"]).where(fits),
+        u.join(of("name").withColumnRenamed("word", "name"), ["repo", "name"]).where(fits),
+        u.join(of("pattern"), "repo").where(fits & F.rlike(relative, F.col("regex"))),
+    ]
+    rank = F.struct("source_rank", "depth", "ordinal")
+    every = reduce(DataFrame.unionByName, [h.select("repo", "path", "is_dir", rank.alias("rank"), "pattern", "negated") for h in hits])
+    best = every.groupBy("repo", "path", "is_dir").agg(F.max_by(F.struct("pattern", "negated", "rank"), "rank").alias("b"))
+    return best.select("repo", "path", "is_dir", F.col("b.pattern").alias("rule"), F.col("b.rank.source_rank").alias("source_rank"), (~F.col("b.negated")).alias("ignored"))
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The last matching rule by (source rank, position) decides; null when none matches.
+    """``files`` with rule, source_rank and ignored; rule is null where none matches.
 
-    Each file carries its repo's rule array, so nothing is multiplied by the number of rules.
+    A file below an ignored directory is ignored, whatever is said about it further down. Directories are judged once
+    each, and files meet the verdict on their own directory by equality.
     """
-    per_repo = rules_per_repo(rules)
-    hits = F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))
-    last = F.when(F.size(hits) > 0, F.element_at(hits, -1))
+    own = files.select("repo", paths.directory(F.col("path")).alias("own")).where("own <> ''").distinct()
+    chain = own.select("repo", "own", F.explode(paths.ancestors(F.concat("own", F.lit("/x")))).alias("path"))
+    units = chain.select("repo", "path").distinct().withColumn("is_dir", F.lit(True)).unionByName(files.select("repo", "path").distinct().withColumn("is_dir", F.lit(False)))
+    verdicts = _verdicts(units, rules)
+    shut = verdicts.where("is_dir AND ignored").select("repo", "path", "rule", "source_rank")
+    shut = chain.join(shut, ["repo", "path"]).groupBy("repo", "own").agg(F.min_by(F.struct("rule", "source_rank"), F.length("path")).alias("d"))
+    said = verdicts.where("NOT is_dir").select("repo", "path", F.struct("rule", "source_rank").alias("f"), F.col("ignored").alias("f_ignored"))
     return (
-        files.join(per_repo, "repo", "left")
-        .withColumn("_last", last)
-        .withColumn("rule", F.col("_last.pattern"))
-        .withColumn("ignored", F.coalesce(~F.col("_last.negated"), F.lit(False)))
-        .drop("_last", "rules")
+        files.withColumn("own", paths.directory(F.col("path"))).join(shut, ["repo", "own"], "left").join(said, ["repo", "path"], "left")
+        .withColumn("_v", F.coalesce("d", "f")).withColumn("rule", F.col("_v.rule")).withColumn("source_rank", F.col("_v.source_rank"))
+        .withColumn("ignored", F.col("d").isNotNull() | F.coalesce("f_ignored", F.lit(False))).drop("own", "d", "f", "f_ignored", "_v")
     )
 
 
-def ignore_preview(inv: DataFrame, rules: DataFrame) -> DataFrame:
-    """Effect of candidate rules on selectable files, per repo."""
-    chosen = inv.where("selectable").select("repo", "path")
-    effect = apply_ignore_rules(chosen, rules).groupBy("repo").agg(
-        F.count("*").alias("selectable_before"),
-        F.count_if("ignored").alias("newly_excluded"),
-    )
-    per_repo = rules_per_repo(rules)
-    matched = (
-        apply_ignore_rules(chosen, rules).where("ignored").select("repo", "path")
-        .join(per_repo, "repo")
-        .select("repo", "path", F.explode(
-            F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))).alias("r"))
-        .select("repo", F.col("r.pattern").alias("pattern"))
-        .distinct()
-    )
-    unmatched = (
-        compile_rules(rules).where("NOT negated").select("repo", "pattern")
-        .join(matched, ["repo", "pattern"], "left_anti")
-        .groupBy("repo")
-        .agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("unmatched_rules"))
-    )
-    return effect.join(unmatched, "repo", "left").select(
+def with_ignores(inv: DataFrame, rules: DataFrame) -> DataFrame:
+    """The inventory after ignore rules: an ignored file is not selectable, its exclusion names the source and the rule.
+
+    The policy still wins: a file that it excludes keeps that reason.
+    """
+    judged = inv.join(apply_ignore_rules(inv.select("repo", "path"), rules), ["repo", "path"], "left")
+    drop = F.col("ignored") & F.col("selectable")
+    source = F.array(*[F.lit(s) for s in IGNORE_SOURCES])[F.col("source_rank")]
+    reason = F.struct(source.alias("source"), F.lit("An ignore rule matches.").alias("reason"), F.col("rule").alias("rule"))
+    return judged.withColumn("exclusion", F.when(drop, reason).otherwise(F.col("exclusion"))).withColumn(
+        "selectable", F.col("selectable") & ~F.col("ignored")).drop("rule", "source_rank", "ignored")
+
+
+def ignore_preview(inv: DataFrame, rules: DataFrame, effect: DataFrame | None = None) -> DataFrame:
+    """Effect of candidate rules per repo: selectable files before and after, rules that hit none of them, invalid rules."""
+    effect = ignored_paths(inv, rules, all_paths=True) if effect is None else effect
+    counts = effect.groupBy("repo").agg(F.count("*").alias("selectable_before"), F.count_if("ignored").alias("newly_excluded"))
+    used = effect.where("ignored").select("repo", F.col("rule").alias("pattern")).distinct()
+    listed = lambda df, name: df.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias(name))
+    unmatched = listed(compile_rules(rules).where("NOT negated AND valid").join(used, ["repo", "pattern"], "left_anti"), "unmatched_rules")
+    return counts.join(unmatched, "repo", "left").join(listed(invalid_rules(rules), "invalid_rules"), "repo", "left").select(
         "repo", "selectable_before", "newly_excluded",
         (F.col("selectable_before") - F.col("newly_excluded")).alias("selectable_after"),
-        F.coalesce("unmatched_rules", F.lit("")).alias("unmatched_rules"),
+        F.coalesce("unmatched_rules", F.lit("")).alias("unmatched_rules"), F.coalesce("invalid_rules", F.lit("")).alias("invalid_rules"),
     )
 
 
+def ignored_paths(inv: DataFrame, rules: DataFrame, all_paths: bool = False) -> DataFrame:
+    """Selectable files that candidate rules would exclude, with the rule (``all_paths``: the others too)."""
+    judged = apply_ignore_rules(inv.where("selectable").select("repo", "path"), rules).select("repo", "path", "rule", "ignored")
+    return judged if all_paths else judged.where("ignored").drop("ignored")
+
+
 def path_search(files: DataFrame, term: str) -> DataFrame:
     return files.where(F.lower("path").contains(term.strip().lower())).select("repo", "path")
 

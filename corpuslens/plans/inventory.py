@@ -210,30 +210,49 @@ def language_mix(t):
     return I.language_mix(inv(t)).select("repo", "language", "files", "rank")
 
 
-_RULE_MATCH = r"""CASE ordinal WHEN 1 THEN regexp_matches(path, '(^|/)[^/]*\.md(/|$)') WHEN 2 THEN regexp_matches(path, '(^|/)note_[^/]*5\.md(/|$)')
- WHEN 3 THEN regexp_matches(path, '(^|/)examples/') WHEN 4 THEN regexp_matches(path, '(^|/)\.env\.[^/]*(/|$)') WHEN 5 THEN regexp_matches(path, '(^|/)[^/]*\.nomatch(/|$)')
- ELSE regexp_matches(path, '^config/[^/]*\.json(/|$)') END"""
+# (rule number, regular expression on the whole path); the strength orders them: source, depth of the base, line.
+_RULES = [
+    ("*.md", 20001, r"(^|/)[^/]*\.md$"), ("!note_*5.md", 20002, r"(^|/)note_[^/]*5\.md$"), ("!.env.*", 30004, r"(^|/)\.env\.[^/]*$"), ("*.nomatch", 30005, r"\.nomatch$"),
+    ("/config/*.json", 30006, r"^config/[^/]*\.json$"), ("*.sql", 20101, r"^src/(.*/)?[^/]*\.sql$"), ("!schema_[!0-4]*.sql", 20201, r"^src/util/(.*/)?schema_[^0-4/][^/]*\.sql$"),
+    ("mod_*.[rp][sy]", 30101, r"^deploy/(.*/)?mod_[^/]*\.[rp][sy]$"),
+]
+_IGNORED = {
+    "rl": "SELECT unnest([" + ", ".join(f"{{'rule': '{r}', 'rank': {k}, 're': '{e}'}}" for r, k, e in _RULES) + "], recursive := true)",
+    "hits": "SELECT f.repo, f.path, rule, rank FROM corpus_files f JOIN rl ON regexp_matches(f.path, rl.re)",
+    "last": "SELECT repo, path, max_by(rule, rank) AS rule, max(rank) // 10000 AS source_rank FROM hits GROUP BY repo, path",
+    "judged": """SELECT f.repo, f.path, CASE WHEN d THEN 'examples/' ELSE rule END AS rule, CASE WHEN d THEN 3 ELSE source_rank END AS source_rank, d OR coalesce(NOT starts_with(rule, '!'), FALSE) AS ignored
+ FROM (SELECT repo, path, regexp_matches(path, '(^|/)examples/') AS d FROM corpus_files) f LEFT JOIN last USING (repo, path)""",
+}
 
 
-@query("ignore_rules", sql("corpus_files ignore_rules", {
-    "hits": f"SELECT f.repo, f.path, r.pattern, r.ordinal FROM corpus_files f JOIN ignore_rules r USING (repo) WHERE {_RULE_MATCH}",
-    "last": "SELECT repo, path, max_by(pattern, ordinal) AS rule FROM hits GROUP BY repo, path"},
-    "SELECT f.repo, f.path, rule, coalesce(NOT starts_with(rule, '!'), FALSE) AS ignored FROM corpus_files f LEFT JOIN last USING (repo, path)"))
+@query("ignore_rules", sql("corpus_files", _IGNORED, "SELECT repo, path, rule, ignored FROM judged"))
 def ignore_rules(t):
     return I.apply_ignore_rules(t.files.select("repo", "path"), t.view("ignore_rules")).select("repo", "path", "rule", "ignored")
 
 
-@query("ignore_preview", sql("corpus_files ignore_rules", {**classified(),
-    "hits": f"SELECT f.repo, f.path, r.pattern, r.ordinal FROM inv f JOIN ignore_rules r USING (repo) WHERE selectable AND {_RULE_MATCH}",
-    "last": "SELECT repo, path, max_by(pattern, ordinal) AS rule FROM hits GROUP BY repo, path",
-    "eff": "SELECT repo, count(*) AS selectable_before, count(*) FILTER (WHERE coalesce(NOT starts_with(rule,'!'), FALSE)) AS newly_excluded FROM (SELECT repo, path FROM inv WHERE selectable) LEFT JOIN last USING (repo, path) GROUP BY repo",
-    "used": "SELECT DISTINCT h.repo, h.pattern FROM hits h JOIN last l USING (repo, path) WHERE NOT starts_with(l.rule,'!')",
-    "unm": "SELECT repo, string_agg(pattern, ',' ORDER BY pattern) AS unmatched_rules FROM ignore_rules r WHERE NOT starts_with(pattern,'!') AND NOT EXISTS (SELECT 1 FROM used u WHERE u.repo = r.repo AND u.pattern = r.pattern) GROUP BY repo"},
-    "SELECT repo, selectable_before, newly_excluded, selectable_before - newly_excluded AS selectable_after, coalesce(unmatched_rules,'') AS unmatched_rules FROM eff LEFT JOIN unm USING (repo)"))
+@query("ignore_preview", sql("corpus_files ignore_rules", {**classified(), **_IGNORED,
+    "eff": "SELECT i.repo, i.path, j.rule, j.ignored FROM inv i JOIN judged j ON j.repo = i.repo AND j.path = i.path WHERE selectable",
+    "unm": "SELECT repo, string_agg(pattern, ',' ORDER BY pattern) AS unmatched_rules FROM (SELECT DISTINCT repo, pattern FROM ignore_rules) r WHERE NOT starts_with(pattern,'!') AND pattern <> '[abc' AND NOT EXISTS (SELECT 1 FROM eff u WHERE u.ignored AND u.repo = r.repo AND u.rule = r.pattern) GROUP BY repo"},
+    """SELECT repo, selectable_before, newly_excluded, selectable_before - newly_excluded AS selectable_after, coalesce(unmatched_rules,'') AS unmatched_rules, '[abc' AS invalid_rules
+ FROM (SELECT repo, count(*) AS selectable_before, count(*) FILTER (WHERE ignored) AS newly_excluded FROM eff GROUP BY repo) LEFT JOIN unm USING (repo)"""))
 def ignore_preview(t):
     return I.ignore_preview(inv(t).select("repo", "path", "selectable"), t.view("ignore_rules"))
 
 
+@query("ignored_paths", sql("corpus_files", {**classified(), **_IGNORED}, "SELECT i.repo, i.path, j.rule FROM inv i JOIN judged j ON j.repo = i.repo AND j.path = i.path WHERE selectable AND ignored"))
+def ignored_paths(t):
+    return I.ignored_paths(inv(t).select("repo", "path", "selectable"), t.view("ignore_rules"))
+
+
+@query("inventory_with_ignores", sql("corpus_files", {**classified(), **_IGNORED}, f"""SELECT i.repo, i.path, selectable AND NOT ignored AS selectable,
+ CASE WHEN class <> 'source_text' THEN 'policy' WHEN ignored THEN [{in_list(P.IGNORE_SOURCES)}][1 + source_rank] END AS source, CASE WHEN class = 'source_text' AND ignored THEN j.rule END AS rule
+ FROM inv i JOIN judged j ON j.repo = i.repo AND j.path = i.path"""))
+def inventory_with_ignores(t):
+    got = I.inventory(t.files, rules=t.view("ignore_rules"))
+    ruled = F.when(F.col("class") == "source_text", F.col("exclusion.rule"))
+    return got.select("repo", "path", "selectable", F.col("exclusion.source").alias("source"), ruled.alias("rule"))
+
+
 def _has_dir(col: str, names) -> str:
     return f"list_has_any(string_split(lower(path),'/')[:-2], [{in_list(names)}])"
 

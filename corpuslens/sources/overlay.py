@@ -89,9 +89,10 @@ FROM corpus_files WHERE n_chars >= 200
 """
 
 IGNORE_RULES = """
-SELECT DISTINCT source AS repo, v.ordinal, v.source_rank, v.pattern FROM documents CROSS JOIN (
- SELECT 1 AS ordinal, 2 AS source_rank, '*.md' AS pattern UNION ALL SELECT 2, 2, '!note_*5.md' UNION ALL SELECT 3, 3, 'examples/'
- UNION ALL SELECT 4, 3, '!.env.*' UNION ALL SELECT 5, 3, '*.nomatch' UNION ALL SELECT 6, 3, '/config/*.json') v
+SELECT DISTINCT source AS repo, v.base, v.ordinal, v.source_rank, v.pattern FROM documents CROSS JOIN (
+ SELECT '' AS base, 1 AS ordinal, 2 AS source_rank, '*.md' AS pattern UNION ALL SELECT '', 2, 2, '!note_*5.md' UNION ALL SELECT '', 3, 3, 'examples/'
+ UNION ALL SELECT '', 4, 3, '!.env.*' UNION ALL SELECT '', 5, 3, '*.nomatch' UNION ALL SELECT '', 6, 3, '/config/*.json'
+ UNION ALL SELECT 'src', 1, 2, '*.sql' UNION ALL SELECT 'src/util', 1, 2, '!schema_[!0-4]*.sql' UNION ALL SELECT '', 7, 3, '[abc' UNION ALL SELECT 'deploy', 1, 3, 'mod_*.[rp][sy]') v
 """
 
 PHRASES = [

@@ -49,14 +49,36 @@ def test_skipped_dirs_only_as_directories(spark):
     assert {r.path for r in I.prune_skipped_dirs(df).collect()} == {"build", "a/target.ts"}
 
 
+def ignored(spark, paths, rules):
+    """rules: (base, ordinal, source rank, pattern)."""
+    files = as_files(spark, {p: "" for p in paths}).select("repo", "path")
+    df = spark.createDataFrame([("r", *r) for r in rules], "repo string, base string, ordinal int, source_rank int, pattern string")
+    return {r.path: r.ignored for r in I.apply_ignore_rules(files, df).collect()}, df
+
+
 def test_nested_ignore_with_negation(spark):
-    files = as_files(spark, {"keep.log": "", "drop.log": "", "sub/x.log": "", "docs/a.md": "", "a/docs/b.md": "", "top.txt": "", "sub/top.txt": ""}).select("repo", "path")
-    rules = spark.createDataFrame([("r", 1, 2, "*.log"), ("r", 2, 2, "!keep.log"), ("r", 3, 2, "docs/"), ("r", 4, 3, "/top.txt")],
-                                  "repo string, ordinal int, source_rank int, pattern string")
-    got = {r.path: r.ignored for r in I.apply_ignore_rules(files, rules).collect()}
+    got, _ = ignored(spark, ["keep.log", "drop.log", "sub/x.log", "docs/a.md", "a/docs/b.md", "top.txt", "sub/top.txt"],
+                     [("", 1, 2, "*.log"), ("", 2, 2, "!keep.log"), ("", 3, 2, "docs/"), ("", 4, 3, "/top.txt")])
     assert got == {"keep.log": False, "drop.log": True, "sub/x.log": True, "docs/a.md": True, "a/docs/b.md": True, "top.txt": True, "sub/top.txt": False}
 
 
+def test_ignore_bases_classes_escapes_and_parents(spark):
+    got, rules = ignored(
+        spark, ["a.tmp", "sub/a.tmp", "sub/deep/a.tmp", "f1.c", "f9.c", "fx.c", "#x", "q?.c", "qa.c", "out/keep.txt", "out/in/keep.txt", "lib/x/y/z.o", "lib/z.o", "w/lib/z.o"],
+        [("", 1, 2, "*.tmp"), ("sub", 1, 2, "!*.tmp"), ("sub/deep", 1, 2, "a.tmp"), ("", 2, 2, "f[0-8].c"), ("", 3, 2, "f[!0-9].c"), ("", 4, 2, r"\#x"), ("", 5, 2, r"q\?.c"),
+         ("", 6, 2, "out/"), ("", 7, 3, "!out/keep.txt"), ("", 8, 2, "lib/**/z.o"), ("", 9, 2, "[open"), ("", 10, 2, "end\\")])
+    assert got == {"a.tmp": True, "sub/a.tmp": False, "sub/deep/a.tmp": True, "f1.c": True, "f9.c": False, "fx.c": True, "#x": True, "q?.c": True, "qa.c": False,
+                   "out/keep.txt": True, "out/in/keep.txt": True, "lib/x/y/z.o": True, "lib/z.o": True, "w/lib/z.o": False}
+    assert {r.pattern for r in I.invalid_rules(rules).collect()} == {"[open", "end\\"}
+
+
+def test_inventory_names_the_source_of_an_exclusion(spark):
+    rules = spark.createDataFrame([("r", "", 1, 3, "*.ts"), ("r", "", 2, 3, "*.png")], "repo string, base string, ordinal int, source_rank int, pattern string")
+    inv = {r.path: r for r in I.inventory(as_files(spark, {"a.ts": "x", "b.png": "x", "c.md": "x"}), rules=rules).collect()}
+    assert (inv["a.ts"].selectable, inv["a.ts"].exclusion.source, inv["a.ts"].exclusion.rule) == (False, "ai_ignore", "*.ts")
+    assert inv["b.png"].exclusion.source == "policy" and inv["c.md"].selectable and inv["c.md"].exclusion is None
+
+
 def test_consequential_kinds(spark):
     want = {"Cargo.lock": "dependency lockfile", "package.json": "build or dependency configuration", "requirements-dev.txt": "build or dependency configuration",
             ".github/workflows/ci.yml": "CI configuration", "infra/main.tf": "deployment configuration", "db/migrations/1.sql": "database migration",
