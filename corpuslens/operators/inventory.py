@@ -98,9 +98,9 @@ def scan_issues(files: DataFrame) -> DataFrame:
     """Recoverable problems per path: content that is missing or not UTF-8, paths that leave the root."""
     raw_text = F.col("content").cast("string")
     message = (
-        F.when(paths.escapes_root(F.col("path")), "skipped: resolved outside the project root")
+        F.when(paths.escapes_root(F.col("path")), "left out: the path leaves the root")
         .when(F.col("content").isNull(), "no content could be read")
-        .when(~F.is_valid_utf8(raw_text), "stream did not contain valid UTF-8")
+        .when(~F.is_valid_utf8(raw_text), "not UTF-8")
     )
     return files.select("repo", "path", text.sanitize_message(message).alias("message")).where("message IS NOT NULL")
 

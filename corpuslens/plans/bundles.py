@@ -226,9 +226,9 @@ _TRUNC = {"trunc": f"""SELECT repo, path, n AS original_bytes, strlen(CASE WHEN
  FROM (SELECT i.repo, i.path, i.size_bytes AS n, encode({NORM}) AS b FROM inv i JOIN resolved r ON r.repo = i.repo AND r.path = i.path WHERE i.size_bytes > 4000))""",
     "miss": "SELECT DISTINCT repo, path FROM (SELECT w.repo, w.path FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo = w.repo AND i.path = w.path) UNION ALL SELECT s.repo, s.path FROM sp s WHERE s.kind = 'directory' AND NOT EXISTS (SELECT 1 FROM anc a WHERE a.repo = s.repo AND a.dir = rtrim(s.path,'/')))",
     "mrows": f"""SELECT repo, 'included' AS field, path, '' AS value FROM resolved UNION ALL SELECT repo, 'excluded', path, {_REASON} FROM picked WHERE NOT accepted
- UNION ALL SELECT repo, 'warning', path, path||' was truncated from '||original_bytes||' to '||included_bytes||' bytes' FROM trunc
- UNION ALL SELECT repo, 'warning', path, path||' is in the selection but no longer exists' FROM miss
- UNION ALL SELECT DISTINCT repo, 'warning', '', 'token value is a local estimate, not a provider count' FROM resolved"""}
+ UNION ALL SELECT repo, 'warning', path, path||' was cut from '||original_bytes||' to '||included_bytes||' bytes' FROM trunc
+ UNION ALL SELECT repo, 'warning', path, path||' was picked and is gone' FROM miss
+ UNION ALL SELECT DISTINCT repo, 'warning', '', 'tokens are estimated here' FROM resolved"""}
 
 
 def _manifest(t):

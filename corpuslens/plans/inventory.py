@@ -98,7 +98,7 @@ def prune(t):
 _PAGE_PATH = "CASE WHEN contains(url, '?') THEN replace(url, '?', '/../') ELSE regexp_extract(url, '^[a-z]+:/(.*)$', 1) END"
 
 
-@query("scan_issues", f"""SELECT 'pages' AS repo, {_PAGE_PATH}||'#'||page_id AS path, 'skipped: resolved outside the project root' AS message FROM pages WHERE contains(url, '?') OR starts_with({_PAGE_PATH}, '/')""")
+@query("scan_issues", f"""SELECT 'pages' AS repo, {_PAGE_PATH}||'#'||page_id AS path, 'left out: the path leaves the root' AS message FROM pages WHERE contains(url, '?') OR starts_with({_PAGE_PATH}, '/')""")
 def scan_issues(t):
     p = F.when(F.col("url").contains("?"), F.replace("url", F.lit("?"), F.lit("/../"))).otherwise(
         F.regexp_extract("url", "^[a-z]+:/(.*)$", 1))

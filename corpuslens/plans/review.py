@@ -62,13 +62,13 @@ def document_freshness(t):
 _SUB = "SELECT repo, key, CASE WHEN key = 'workflows' THEN '  ' ELSE 'text' END AS body, CASE WHEN key = 'overview' THEN 'deterministic' ELSE 'model' END AS generator FROM (SELECT DISTINCT source AS repo FROM documents) CROSS JOIN (SELECT unnest(['" + "','".join([*KEYS, "extra"]) + "']) AS key)"
 
 
-@query("citation_audit", _g("""SELECT repo, key, 'section is labelled deterministic but was submitted for model validation' AS problem FROM sub WHERE generator = 'deterministic'
- UNION ALL SELECT repo, key, 'model-written sections must cite at least one source file' FROM sub s WHERE NOT EXISTS (SELECT 1 FROM section_refs r WHERE r.repo = s.repo AND r.key = s.key)
+@query("citation_audit", _g("""SELECT repo, key, 'a deterministic section needs no model check' AS problem FROM sub WHERE generator = 'deterministic'
+ UNION ALL SELECT repo, key, 'a section written by a model cites no file' FROM sub s WHERE NOT EXISTS (SELECT 1 FROM section_refs r WHERE r.repo = s.repo AND r.key = s.key)
  UNION ALL SELECT repo, key, 'section body is empty' FROM sub WHERE trim(body) = ''
- UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` is not in the project' FROM section_refs r LEFT JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE i.path IS NULL
- UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` is not selectable source text' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE i.class <> 'source_text'
- UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` changed since the section was written' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE r.content_hash <> i.content_hash
- UNION ALL SELECT r.repo, r.key, 'citation for `'||r.path||'` has no content hash' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE r.content_hash IS NULL""", {"sub": _SUB}))
+ UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` is unknown here' FROM section_refs r LEFT JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE i.path IS NULL
+ UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` may not be cited' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE i.class <> 'source_text'
+ UNION ALL SELECT r.repo, r.key, 'cited file `'||r.path||'` has other content now' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE r.content_hash <> i.content_hash
+ UNION ALL SELECT r.repo, r.key, 'citation for `'||r.path||'` names no content' FROM section_refs r JOIN inv i ON r.repo = i.repo AND r.path = i.path WHERE r.content_hash IS NULL""", {"sub": _SUB}))
 def citation_audit(t):
     repos = t.driver("documents").select(F.col("source").alias("repo")).distinct()
     sub = repos.select("repo", F.explode(F.array(*[F.lit(k) for k in [*KEYS, "extra"]])).alias("key")).withColumn(
@@ -85,7 +85,7 @@ def citation_coverage(t):
 
 
 @query("context_citations", sql("snap_worktree selection_spec", {"wanted": "SELECT DISTINCT repo, path FROM selection_spec WHERE kind = 'file'"}, """SELECT w.repo, w.path, sha256(content) AS content_hash, CASE WHEN content IS NOT NULL THEN CAST(1 AS BIGINT) END AS line_start,
- greatest(length(content) - length(replace(content, chr(10), '')), 1) AS line_end0, strlen(content) // 4 AS est_tokens, CASE WHEN content IS NULL THEN w.path||': read error: not found' END AS omitted
+ greatest(length(content) - length(replace(content, chr(10), '')), 1) AS line_end0, strlen(content) // 4 AS est_tokens, CASE WHEN content IS NULL THEN w.path||': not found' END AS omitted
  FROM wanted w LEFT JOIN snap_worktree f ON f.repo = w.repo AND f.path = w.path""").replace("greatest(length(content) - length(replace(content, chr(10), '')), 1) AS line_end0", "CASE WHEN content IS NOT NULL THEN greatest(length(content) - length(replace(content, chr(10), '')), 1) END AS line_end"))
 def context_citations(t):
     wanted = t.view("selection_spec").where("kind = 'file'").select("repo", "path")
@@ -120,7 +120,7 @@ _BUD = {"ln": "SELECT repo, key, path AS pos, '- `'||path||'` '||coalesce(conten
     "first": "SELECT repo, min(item) AS stop FROM it3 WHERE (kind = 0 AND used >= 300) OR (kind = 1 AND used > 300) GROUP BY repo"}
 
 
-@query("budgeted_sections", _g("""SELECT i.repo, i.key, i.item, CASE WHEN i.item = f.stop THEN '… (truncated to fit the context budget; search or read files for detail)' ELSE rtrim(i.line, chr(10)) END AS line
+@query("budgeted_sections", _g("""SELECT i.repo, i.key, i.item, CASE WHEN i.item = f.stop THEN '… (the budget ends here)' ELSE rtrim(i.line, chr(10)) END AS line
  FROM it3 i LEFT JOIN first f USING (repo) WHERE f.stop IS NULL OR i.item < f.stop OR (i.item = f.stop AND i.kind = 1)""", _BUD))
 def budgeted_sections(t):
     lines = section_refs(t).select("repo", "key", F.col("path").alias("pos"), F.concat(F.lit("- `"), "path", F.lit("` "), F.coalesce("content_hash", F.lit(""))).alias("line"))
@@ -131,7 +131,7 @@ _SENSL = " OR ".join(f"regexp_matches(line, '{p}')" for _, c, p in _RULES_SQL if
 # The fixture holds no binary content behind a plain name.
 _WHY = "".join(f"WHEN i.class = '{k.removesuffix('_extension')}' THEN '{v}' " for k, v in EXCLUSION_REASONS.items())
 _BR = {**classified(), "rq": "SELECT f.doc_id AS request_id, f.repo, CASE WHEN toxic = 1 THEN f.path||'.gone' ELSE f.path END AS path, 1 + quality * 2 AS a, CASE WHEN n_chars > 2000 THEN 40 END AS b FROM corpus_files f JOIN labels l USING (doc_id)",
-    "rf": """SELECT r.*, i.class, i.selectable, i.content, CASE WHEN i.class IS NULL THEN 'not in the project index (ignored, generated or does not exist); use search to find files'
+    "rf": """SELECT r.*, i.class, i.selectable, i.content, CASE WHEN i.class IS NULL THEN 'no such file in the index'
  WHEN i.selectable THEN NULL """ + _WHY + """ END AS refused FROM rq r LEFT JOIN inv i ON i.repo = r.repo AND i.path = r.path""",
     "rl": f"SELECT *, CASE WHEN refused IS NULL THEN {LINES.format(x='content')} ELSE [] END AS ls FROM rf",
     "rr": "SELECT request_id, repo, path, refused, ls, len(ls) AS n, least(a, greatest(len(ls), 1)) AS s FROM rl",
@@ -143,7 +143,7 @@ _BR = {**classified(), "rq": "SELECT f.doc_id AS request_id, f.repo, CASE WHEN t
 
 
 @query("budgeted_read", sql("corpus_files", _BR, """SELECT request_id, repo, path, CASE WHEN refused IS NULL THEN s ELSE 0 END AS from_line, CASE WHEN refused IS NULL THEN coalesce(last, s - 1) ELSE 0 END AS to_line, coalesce(body_bytes, 0) AS body_bytes,
- coalesce(redacted_lines, 0) AS redacted_lines, body_hash, refused, CASE WHEN refused IS NULL AND coalesce(last, s-1) < e THEN '(truncated at line '||last||' of '||n||'; request startLine '||(last+1)||' to continue)' ELSE '' END AS note FROM rs LEFT JOIN got USING (request_id)"""))
+ coalesce(redacted_lines, 0) AS redacted_lines, body_hash, refused, CASE WHEN refused IS NULL AND coalesce(last, s-1) < e THEN '(stopped at line '||last||' of '||n||'; go on from line '||(last+1)||')' ELSE '' END AS note FROM rs LEFT JOIN got USING (request_id)"""))
 def budgeted_read(t):
     rq = _requests(t).select(
         F.col("doc_id").alias("request_id"), "repo", F.when(F.col("toxic") == 1, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
@@ -235,8 +235,12 @@ def proposal_validation(t):
     return J.proposal_validation(patches(t), section_refs(t).where("content_hash IS NOT NULL"))
 
 
-@query("reply_action_audit", sql("replies", {}, """SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN 'read_files' WHEN 1 THEN 'read_files' WHEN 2 THEN 'search' WHEN 3 THEN 'search' WHEN 4 THEN 'edit' WHEN 5 THEN 'edit' WHEN 6 THEN 'answer' END AS action,
- CASE (conv_id + turn) % 8 WHEN 1 THEN 'read_files needs at least one file' WHEN 3 THEN 'search query is too short' WHEN 5 THEN 'an edit to an existing file needs non-empty find and a replace' WHEN 7 THEN 'reply was not a valid action' END AS error FROM replies"""))
+@query("reply_action_audit", sql("replies", {
+    "s": r"SELECT conv_id, turn, regexp_replace(regexp_replace(reply, '(?s)<think>.*?(</think>|$)', '', 'g'), '^\s+|\s+$', '', 'g') AS r FROM replies",
+    "j": "SELECT conv_id, turn, CASE WHEN json_valid(r) AND starts_with(r, '{') THEN r::JSON END AS j FROM s"},
+    """SELECT conv_id, turn, j->>'$.action' AS action, CASE WHEN j IS NULL THEN 'no action in the reply'
+ WHEN j->>'$.action' = 'read_files' AND json_array_length(j, '$.files') = 0 THEN 'read_files names no file' WHEN j->>'$.action' = 'search' AND length(j->>'$.query') < 2 THEN 'the search is too short'
+ WHEN j->>'$.action' = 'edit' AND json_extract_string(j, '$.edits[0].find') IS NULL THEN 'an edit lacks its find or replace text' END AS error FROM j"""))
 def reply_action_audit(t):
     return J.reply_action_audit(t.view("replies"))
 
@@ -247,8 +251,9 @@ def strip_reasoning(t):
 
 
 # Commands are cut from the conversations: some are test runs, some carry a chain, a pipe or prose.
-_CMD = """SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'cargo test' WHEN 1 THEN 'cargo test --package p'||conv_id WHEN 2 THEN 'cargo test; rm -rf /' WHEN 3 THEN 'npm test | grep ok'
- WHEN 4 THEN 'sudo cargo test' WHEN 5 THEN 'pytest "tests/a b.py" -k t'||turn ELSE text END AS command FROM conversations"""
+_LINE = "replace(text, chr(10), ' ')"
+_CMD = f"""SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'cargo test '||{_LINE} WHEN 1 THEN 'cargo test --package p'||conv_id||' '||{_LINE} WHEN 2 THEN 'cargo test; rm -rf / '||{_LINE} WHEN 3 THEN 'npm test | grep ok '||{_LINE}
+ WHEN 4 THEN 'sudo cargo test '||{_LINE} WHEN 5 THEN 'pytest "tests/a b.py" -k t'||turn||' '||{_LINE} ELSE text END AS command FROM conversations"""
 ALLOW = ["cargo test", "npm test", "pytest"]
 
 
@@ -257,15 +262,15 @@ def _commands(t):
     return t.spark.sql(_CMD)
 
 
-_FORB = " ".join(f"WHEN contains(c, {ch}) THEN 'forbidden shell metacharacter '||{rep}||' in command'" for ch, rep in [
+_FORB = " ".join(f"WHEN contains(c, {ch}) THEN 'shell character '||{rep}" for ch, rep in [
     ("';'", "''';'''"), ("'&'", "'''&'''"), ("'|'", "'''|'''"), ("'>'", "'''>'''"), ("'<'", "'''<'''"), ("'$'", "'''$'''"), ("'`'", "'''`'''"),
     ("chr(92)", "chr(39)||chr(92)||chr(92)||chr(39)"), ("'('", "'''('''"), ("')'", "''')'''"), ("chr(10)", "chr(39)||chr(92)||'n'||chr(39)"), ("chr(13)", "chr(39)||chr(92)||'r'||chr(39)")])
-_DEST = " ".join(f"WHEN contains(lower(c), '{d}') THEN 'command contains dangerous/destructive pattern: {d}'" for d in J.DESTRUCTIVE)
+_DEST = " ".join(f"WHEN contains(lower(c), '{d}') THEN 'destructive: {d}'" for d in J.DESTRUCTIVE)
 
 
 @query("command_audit", sql("", {"cm": _CMD, "cs": r"SELECT *, regexp_replace(command, '^\s+|\s+$', '', 'g') AS c FROM cm"}, f"""SELECT conv_id, turn, command, CASE WHEN c = '' THEN 'command cannot be empty' {_FORB} {_DEST}
- WHEN length(regexp_replace(regexp_replace(c, '''[^'']*''|"[^"]*"', '', 'g'), '[^''"]', '', 'g')) > 0 THEN 'unmatched quote in command string'
- WHEN NOT (regexp_matches(c, '^cargo\\s+test(\\s|$)') OR regexp_matches(c, '^npm\\s+test(\\s|$)') OR regexp_matches(c, '^pytest(\\s|$)')) THEN 'command is not present in project command allowlist' END AS error FROM cs"""))
+ WHEN length(regexp_replace(regexp_replace(c, '''[^'']*''|"[^"]*"', '', 'g'), '[^''"]', '', 'g')) > 0 THEN 'a quote is left open'
+ WHEN NOT (regexp_matches(c, '^cargo\\s+test(\\s|$)') OR regexp_matches(c, '^npm\\s+test(\\s|$)') OR regexp_matches(c, '^pytest(\\s|$)')) THEN 'not on the list of allowed commands' END AS error FROM cs"""))
 def command_audit(t):
     return J.command_audit(_commands(t), ALLOW)
 
@@ -274,8 +279,8 @@ _TASK = """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 = 0 THEN '  ' EL
  CASE WHEN turn = 2 THEN 'src/../../etc' WHEN turn = 1 THEN '/abs' ELSE 'src/a.ts' END AS p FROM conversations"""
 
 
-@query("task_preflight", sql("", {"t": _TASK}, r"""SELECT conv_id, turn, CASE WHEN regexp_replace(objective, '\s+', '', 'g') = '' THEN 'task objective cannot be empty' WHEN max_tokens = 0 THEN 'task budget must have non-zero token and cost limits'
- WHEN starts_with(p, '/') OR contains(p, '..') THEN 'context file is outside the project root' END AS error FROM t"""))
+@query("task_preflight", sql("", {"t": _TASK}, r"""SELECT conv_id, turn, CASE WHEN regexp_replace(objective, '\s+', '', 'g') = '' THEN 'the task has no objective' WHEN max_tokens = 0 THEN 'the task has no budget'
+ WHEN starts_with(p, '/') OR contains(p, '..') THEN 'a context file lies outside' END AS error FROM t"""))
 def task_preflight(t):
     t._register(["conversations"])
     return J.task_preflight(t.spark.sql(_TASK).withColumn("paths", F.array("p"))).select("conv_id", "turn", "error")

@@ -109,15 +109,18 @@ PROMPTS = (
     + " ELSE '' END||text AS prompt FROM conversations WHERE role = 'user'"
 )
 
-REPLIES = """
+# The text of every reply is in it, as a JSON string where the reply is JSON.
+_JSON_TEXT = "replace(replace(replace(text, chr(92), chr(92)||chr(92)), '\"', chr(92)||'\"'), chr(10), chr(92)||'n')"
+
+REPLIES = f"""
 SELECT conv_id, turn, CASE (conv_id + turn) % 8
- WHEN 0 THEN '<think>look first</think>{"action":"read_files","files":[{"path":"src/mod_'||conv_id||'.ts","startLine":1}],"reason":"r"}'
- WHEN 1 THEN '{"action":"read_files","files":[]}'
- WHEN 2 THEN '{"action":"search","query":"token"}'
- WHEN 3 THEN '{"action":"search","query":"t"}'
- WHEN 4 THEN '{"action":"edit","summary":"s","edits":[{"path":"src/mod_'||conv_id||'.ts","find":"a","replace":"b"}]}'
- WHEN 5 THEN '{"action":"edit","summary":"s","edits":[{"path":"src/mod_'||conv_id||'.ts","replace":"b"}]}'
- WHEN 6 THEN '{"action":"answer","text":"done"}<think>unfinished'
+ WHEN 0 THEN '<think>look first</think>{{"action":"read_files","files":[{{"path":"src/mod_'||conv_id||'.ts","startLine":1}}],"reason":"'||{_JSON_TEXT}||'"}}'
+ WHEN 1 THEN '{{"action":"read_files","files":[],"reason":"'||{_JSON_TEXT}||'"}}'
+ WHEN 2 THEN '{{"action":"search","query":"token","pathPrefix":"'||{_JSON_TEXT}||'"}}'
+ WHEN 3 THEN '{{"action":"search","query":"t","pathPrefix":"'||{_JSON_TEXT}||'"}}'
+ WHEN 4 THEN '{{"action":"edit","summary":"'||{_JSON_TEXT}||'","edits":[{{"path":"src/mod_'||conv_id||'.ts","find":"a","replace":"b"}}]}}'
+ WHEN 5 THEN '{{"action":"edit","summary":"'||{_JSON_TEXT}||'","edits":[{{"path":"src/mod_'||conv_id||'.ts","replace":"b"}}]}}'
+ WHEN 6 THEN '{{"action":"answer","text":"'||{_JSON_TEXT}||'"}}<think>unfinished '||text
  ELSE text END AS reply FROM conversations WHERE role = 'assistant'
 """
 
