@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, gram_hashes, mix64, slices, table, utf8, with_copy, word_bounds, word_hashes
+from corpuslens.llm.common import components, gram_hashes, mix64, renewed, slices, table, utf8, with_copy, word_bounds, word_hashes
 
 #: Words of a shingle, the overlap that links, bands and rows: a pair at the threshold is met with probability 0.9999.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-#: Buckets of at most so many open members are compared pair by pair at once; larger ones leader by leader.
-SMALL = 32
+#: Estimated overlaps this far below the threshold are not checked on the texts: three standard deviations, so about
+#: one link in a thousand at the threshold itself is passed over (and rarely any that is clearly above it).
+DOUBT = 3.0
+#: Members of a bucket that are compared by signature in one task.
+BLOCK = 1024
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -124,22 +127,24 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text and its band keys (none where there are no words)."""
+    """doc_id, digest of the text, its band keys (none where there are no words) and one byte of each signature value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests, texts = batch.columns
             for i, j in slices(texts):
                 part = texts.slice(i, j - i)
                 row, hashes, count = bags(part)
-                keys = band_keys(signatures(j - i, row, hashes, count, bands * per_band), bands, per_band)
+                values = signatures(j - i, row, hashes, count, bands * per_band)
+                keys = band_keys(values, bands, per_band)
                 has = np.zeros(j - i, bool)
                 has[row] = True
                 offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
+                short = pa.array([v.tobytes() for v in values.astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(offsets, keys[has].ravel())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), digests.slice(i, j - i), lists], ["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), digests.slice(i, j - i), lists, short], ["doc_id", "digest", "bands", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest string, bands array<long>, sig binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -156,6 +161,41 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _likely(live: DataFrame, signed: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
+    """Pairs a-b of different components that share a bucket and whose signatures come near the threshold."""
+    sizes = live.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("key").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"), F.count("*").alias("comps")
+    ).where("comps > 1")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(signed, "node")
+    members = table(members.withColumn("outside", F.col("comp") != F.col("main")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig"]
+    left = members.where("outside").withColumn("i", own("n_out")).withColumn("j", every("n_all")).select(*names)
+    right = members.withColumn("j", own("n_all")).withColumn("i", every("n_out")).select(*names)
+    slots = bands * per_band
+    least = slots * (threshold - DOUBT * np.sqrt(threshold * (1 - threshold) / slots))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, slots) for t in (a, b))
+            (na, ca), (nb, cb) = ((t.column("node").to_numpy(), t.column("comp").to_numpy()) for t in (a, b))
+            both, band = b.column("outside").to_numpy(), a.column("band")[0].as_py()
+            for i in range(0, len(x), 32):
+                same = (x[i : i + 32, None, :] == y[None, :, :]).sum(axis=2)
+                p, q = np.nonzero((same >= least) & (ca[i : i + 32, None] != cb) & (~both | (na[i : i + 32, None] < nb)))
+                earlier = (x[p + i] == y[q]).reshape(len(p), bands, per_band).all(axis=2)[:, :band].any(axis=1)
+                p, q = p[~earlier] + i, q[~earlier]
+                found.append((np.minimum(na[p], nb[q]), np.maximum(na[p], nb[q])))
+        return pa.table({k: pa.array(np.concatenate([f[n] for f in found]) if found else [], pa.int64()) for n, k in enumerate("ab")})
+
+    keys = ["key", "i", "j"]
+    return left.groupBy(*keys).cogroup(renewed(right).groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """doc_id, digest, class_id and kept of each row of ``docs``: one class for texts linked directly or through others.
 
@@ -165,50 +205,38 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
     without words are classes of their own, class_id = doc_id, kept. A null doc_id counts as the largest. Extra
     columns are not read; an empty table gives no rows.
 
-    Band buckets are never expanded into all pairs: each round compares the members of a bucket with its smallest
-    node, links are closed to components, the leader leaves, and a bucket is done when its open members are one
-    component. Buckets of few open members are compared completely at once. Every pair that meets in a band is thus
-    compared or already in one class.
+    Band buckets are never expanded into all pairs. First the members of a bucket are compared with one of them, picked
+    by hash, and links are closed to components. What is still open in a bucket has a member outside its largest
+    component: those members are compared with all others by their signatures, in blocks of bounded size that return
+    only pairs which may reach the threshold, each in the first band they share. These are checked on the texts.
     """
     signed = table(sign(docs, bands, per_band))
     nodes = table(
-        signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
+        signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id())  # written once, so ids stay
     )
-    met = nodes.select("node", F.explode("bands").alias("key"))
+    met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    live = table(met.join(buckets.select("key"), "key").withColumn("comp", F.col("node")))
+    live = table(met.join(buckets.select("key"), "key"))
     wanted = live.select("node").distinct().join(nodes.select("node", "digest", "first_id"), "node")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     texts = table(
         source.join(wanted, (source["digest"] == wanted["digest"]) & source["doc_id"].eqNullSafe(wanted["first_id"]))
         .groupBy("node").agg(F.any_value("text").alias("text"))
     )
-    links, comps, turn = None, None, 0
-    while True:
-        state = live.groupBy("key").agg(F.min("node").alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-        state = table(state.where("low < high"))
-        if state.isEmpty():
-            break
-        open_ = live.join(state.select("key", "leader", "n"), "key")
-        small = F.lit(turn > 0) & (F.col("n") <= SMALL)
-        lead = open_.where("node = leader").select("key", F.col("comp").alias("lead_comp"))
-        pairs = open_.where(~small & (F.col("node") != F.col("leader"))).join(lead, "key").where("comp <> lead_comp").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        if turn:
-            few = open_.where(small)
-            other = few.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = pairs.unionByName(few.join(other, "key").where("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b"))
-        found = verified(pairs.distinct(), texts, threshold)
-        links = table(found if links is None else links.unionByName(found))
-        comps = components(links, "a", "b")
-        rest = open_.where(~small & (F.col("node") != F.col("leader"))).select("key", "node")
-        live = table(rest.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-        turn += 1
+    lead = live.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("a"))
+    pairs = live.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    comps = table(components(verified(pairs, texts, threshold), "a", "b"))
+    live = table(live.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp")))
+    likely = table(_likely(live, nodes.select("node", "sig"), threshold, bands, per_band))
+    found = verified(likely, texts, threshold)
+    by = comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    found = table(found.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    joined = table(components(found, "a", "b"))  # components that became one
+    merged = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("into")), "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+    comps = table(merged.unionByName(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
     named = nodes.select("node", "digest", "first_id")
-    if comps is None:
-        named = named.withColumn("comp", F.col("node"))
-    else:
-        named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "digest")
     best = named.groupBy("comp").agg(F.min(order).alias("best"))
     named = named.join(best, "comp").select("digest", F.col("best.first_id").alias("class_id"), F.col("best.digest").alias("best_digest"))
