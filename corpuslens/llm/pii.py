@@ -136,28 +136,36 @@ def disclosing_terms(docs: DataFrame) -> Flags:
     """Learns from all of ``docs`` which terms disclose a protected value.
 
     P(t) and P(e) are shares of documents, P(t, e) is the share of documents in which t stands within CONTEXT of e. A
-    term must share SUPPORT different contexts with the value, so the words round a value that occurs once, or that
-    only copies of one text repeat, are left alone. Counts cover all rows; all are folded before they are shuffled.
+    term must share SUPPORT different contexts with the value, and the value's contexts must not repeat each other: a
+    value of which half the documents share half their terms or more is known from copies of one text, which tell
+    nothing about its terms. Counts cover all rows; all are folded before they are shuffled.
     """
     found = base_spans(docs, []).withColumn("row", F.monotonically_increasing_id())
     every = F.concat(*map(_entities, KINDS))
     seen = found.where(F.size(F.concat(*[f"_{k}" for k in KINDS])) > 0).select("row", F.explode(every).alias("s")).select("row", F.sha2("s.e", 256).alias("e"), F.lower("s.c").alias("c"))
     seen = table(seen)
     terms = F.explode(F.array_distinct(_found(F.col("c"), F.lit(TERM))))
-    pairs = seen.select("row", "e", F.xxhash64("c").alias("h"), terms.alias("term")).groupBy("e", "term").agg(
-        F.countDistinct("row").alias("n_te"), F.countDistinct("h").alias("support")
+    pairs = table(
+        seen.select("row", "e", F.xxhash64("c").alias("h"), terms.alias("term")).groupBy("e", "term").agg(
+            F.countDistinct("row").alias("n_te"), F.countDistinct("h").alias("support")
+        )
     )
-    pairs = table(pairs.where(F.col("support") >= SUPPORT))
+    n_e = seen.groupBy("e").agg(F.countDistinct("row").alias("n_e"))
+    # Terms that half of a value's documents share, against the terms of a document: near copies share most of theirs.
+    shared = pairs.join(n_e, "e").groupBy("e").agg(
+        F.max("n_e").alias("n_e"), F.count_if(F.col("n_te") * 2 >= F.col("n_e")).alias("shared"), (F.sum("n_te") / F.max("n_e")).alias("mean")
+    )
+    told = shared.where((F.col("n_e") >= SUPPORT) & (F.col("shared") * 2 < F.col("mean"))).select("e", "n_e")
+    pairs = table(pairs.where(F.col("support") >= SUPPORT).join(told, "e"))
     slots = _slots(pairs)
     if slots is None:
         return Flags(None, None)
     words = F.array_distinct(_found(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM)))
     n_t = docs.select(F.explode(F.filter(words, lambda w: _passes(w, slots))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = seen.groupBy("e").agg(F.countDistinct("row").alias("n_e"))
     n = F.lit(float(docs.count()))
     known = F.log2(n / F.col("n_e"))
     score = F.when(known > 0, F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / known).otherwise(0.0)
-    scored = pairs.join(n_t, "term").join(n_e, "e").groupBy("term").agg(F.max(score).alias("score"))
+    scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(score).alias("score"))
     flagged = scored.where(F.col("score") >= GENERALISE).select("term", F.when(F.col("score") >= REMOVE, "removed").otherwise("general").alias("action"))
     flagged = table(flagged)
     return Flags(flagged, _slots(flagged))

@@ -63,26 +63,32 @@ def test_whole_table(spark):
     check(rows, texts)
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def telling(spark):
-    # 'zorblax' stands with one address in different contexts and nowhere else; 'common' is everywhere
+    # 'zorblax' and 'wrote' stand with one address in contexts that differ otherwise; 'common' is everywhere
+    rng = random.Random(2)
     rows = [(i, f"common words here {i}", None, "s", 0) for i in range(60)]
-    rows += [(100 + i, f"{w} zorblax wrote from eve@corp.example about {w} common", None, "s", 0) for i, w in enumerate("alpha beta gamma delta".split())]
+    rows += [(100 + i, f"{prose(rng, 6)} zorblax wrote eve@corp.example common {prose(rng, 6)}", None, "s", 0) for i in range(4)]
     rows += [(200, "Only Zorblax, no address", None, "s", 0), (201, None, None, "s", 0)]
+    one = prose(rng, 12).split()  # near copies of one text prove nothing
+    rows += [(300 + i, " ".join([*one[:6], "adam@corp.example", *one[6:i + 6], "other", *one[i + 7:]]), None, "s", 0) for i in range(5)]
     return spark.createDataFrame(rows, DOCS)
 
 
 def test_disclosing_terms(telling):
     flags = pii.disclosing_terms(telling)
     found = {r["term"]: r["action"] for r in flags.terms.collect()}
-    assert found["zorblax"] == "general"  # it also occurs once without the address
-    assert found["wrote"] == found["from"] == "removed" and "common" not in found and "alpha" not in found
+    assert found == {"zorblax": "general", "wrote": "removed"}  # the first also occurs once without the address
     rows = {r["doc_id"]: r for r in pii.find(telling, flags).collect()}
     assert rows[200]["n_general"] == 1 and rows[200]["spans"].startswith("general:5:12")
     assert rows[5]["n_general"] == rows[5]["n_removed"] == 0
     clean = {r["doc_id"]: r for r in pii.sanitised(telling, flags).collect()}
     assert "[EMAIL]" in clean[100]["text"] and "orblax" not in clean[200]["text"] and "[TERM]" in clean[200]["text"]
-    assert clean[201]["text"] is None and clean[5]["text"] == "common words here 5" and len(clean) == 66
+    assert clean[201]["text"] is None and clean[5]["text"] == "common words here 5" and len(clean) == 71
 
 
 def test_masks_leave_no_base_span(spark):
