@@ -16,6 +16,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 #: Estimated overlaps this far below the threshold are not checked on the texts: three standard deviations, so about
 #: one link in a thousand at the threshold itself is passed over (and rarely any that is clearly above it).
 DOUBT = 3.0
+#: In buckets of more members than LARGE, those outside the largest component meet so many more leaders out of it.
+LARGE, TURNS = 32, 2
 #: Members of a bucket that are compared by signature in one task.
 BLOCK = 1024
 
@@ -161,12 +163,26 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _likely(live: DataFrame, signed: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
-    """Pairs a-b of different components that share a bucket and whose signatures come near the threshold."""
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """``comps`` after the links a-b of ``found`` have joined some of its components."""
+    by = comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    found = table(found.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    joined = table(components(found, "a", "b"))
+    moved = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("into")), "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+    return table(moved.unionByName(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
+
+
+def _open(live: DataFrame) -> DataFrame:
+    """Buckets with members of several components: the largest one, members outside it, all members."""
     sizes = live.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("key").agg(
+    return sizes.groupBy("key").agg(
         F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"), F.count("*").alias("comps")
     ).where("comps > 1")
+
+
+def _likely(live: DataFrame, signed: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
+    """Pairs a-b of different components that share a bucket and whose signatures come near the threshold."""
+    open_ = _open(live)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(signed, "node")
     members = table(members.withColumn("outside", F.col("comp") != F.col("main")))
@@ -206,7 +222,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
     columns are not read; an empty table gives no rows.
 
     Band buckets are never expanded into all pairs. First the members of a bucket are compared with one of them, picked
-    by hash, and links are closed to components. What is still open in a bucket has a member outside its largest
+    by hash, and links are closed to components; in large buckets the members outside the largest component then meet
+    TURNS further members of it. What is still open in a bucket has a member outside its largest
     component: those members are compared with all others by their signatures, in blocks of bounded size that return
     only pairs which may reach the threshold, each in the first band they share. These are checked on the texts.
     """
@@ -227,14 +244,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
     lead = live.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("a"))
     pairs = live.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     comps = table(components(verified(pairs, texts, threshold), "a", "b"))
-    live = table(live.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp")))
+    named_ = lambda df: table(df.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp")))
+    live = named_(live)
+    for turn in range(TURNS):
+        open_ = _open(live).where(F.col("all") > LARGE).select("key", "main")
+        members = table(live.join(open_, "key"))
+        if members.isEmpty():
+            break
+        lead = members.where("comp = main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("a"))
+        pairs = members.where("comp <> main").join(lead, "key").select("a", F.col("node").alias("b")).distinct()
+        comps = _merged(comps, verified(pairs, texts, threshold))
+        live = named_(live.drop("comp"))
     likely = table(_likely(live, nodes.select("node", "sig"), threshold, bands, per_band))
-    found = verified(likely, texts, threshold)
-    by = comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    found = table(found.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
-    joined = table(components(found, "a", "b"))  # components that became one
-    merged = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("into")), "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
-    comps = table(merged.unionByName(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")))
+    comps = _merged(comps, verified(likely, texts, threshold))
     named = nodes.select("node", "digest", "first_id")
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "digest")
