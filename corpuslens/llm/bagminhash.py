@@ -180,15 +180,15 @@ def _open(live: DataFrame) -> DataFrame:
     ).where("comps > 1")
 
 
-def _likely(live: DataFrame, signed: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
-    """Pairs a-b of different components that share a bucket and whose signatures come near the threshold."""
+def _links_inside(live: DataFrame, known: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
+    """Links a-b between different components of a bucket, found by signature and checked on the texts in the same task."""
     open_ = _open(live)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(signed, "node")
+    members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(known, "node")
     members = table(members.withColumn("outside", F.col("comp") != F.col("main")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig"]
+    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig", "text"]
     left = members.where("outside").withColumn("i", own("n_out")).withColumn("j", every("n_all")).select(*names)
     right = members.withColumn("j", own("n_all")).withColumn("i", every("n_out")).select(*names)
     slots = bands * per_band
@@ -200,12 +200,16 @@ def _likely(live: DataFrame, signed: DataFrame, threshold: float, bands: int, pe
             x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, slots) for t in (a, b))
             (na, ca), (nb, cb) = ((t.column("node").to_numpy(), t.column("comp").to_numpy()) for t in (a, b))
             both, band = b.column("outside").to_numpy(), a.column("band")[0].as_py()
+            left_text, right_text = a.column("text"), b.column("text")
             for i in range(0, len(x), 32):
                 same = (x[i : i + 32, None, :] == y[None, :, :]).sum(axis=2)
                 p, q = np.nonzero((same >= least) & (ca[i : i + 32, None] != cb) & (~both | (na[i : i + 32, None] < nb)))
                 earlier = (x[p + i] == y[q]).reshape(len(p), bands, per_band).all(axis=2)[:, :band].any(axis=1)
                 p, q = p[~earlier] + i, q[~earlier]
-                found.append((np.minimum(na[p], nb[q]), np.maximum(na[p], nb[q])))
+                for at in range(0, len(p), 1024):
+                    pp, qq = p[at : at + 1024], q[at : at + 1024]
+                    link = overlap(left_text.take(pa.array(pp)), right_text.take(pa.array(qq))) >= threshold
+                    found.append((np.minimum(na[pp[link]], nb[qq[link]]), np.maximum(na[pp[link]], nb[qq[link]])))
         return pa.table({k: pa.array(np.concatenate([f[n] for f in found]) if found else [], pa.int64()) for n, k in enumerate("ab")})
 
     keys = ["key", "i", "j"]
@@ -223,9 +227,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
 
     Band buckets are never expanded into all pairs. First the members of a bucket are compared with one of them, picked
     by hash, and links are closed to components; in large buckets the members outside the largest component then meet
-    TURNS further members of it. What is still open in a bucket has a member outside its largest
-    component: those members are compared with all others by their signatures, in blocks of bounded size that return
-    only pairs which may reach the threshold, each in the first band they share. These are checked on the texts.
+    TURNS further members of it. What is still open in a bucket has a member outside its largest component: those
+    members are compared with all others by their signatures, in blocks of bounded size that return only links: a pair whose signatures may reach the threshold is checked on the texts, in the first band it shares.
     """
     signed = table(sign(docs, bands, per_band))
     nodes = table(
@@ -255,8 +258,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
         pairs = members.where("comp <> main").join(lead, "key").select("a", F.col("node").alias("b")).distinct()
         comps = _merged(comps, verified(pairs, texts, threshold))
         live = named_(live.drop("comp"))
-    likely = table(_likely(live, nodes.select("node", "sig"), threshold, bands, per_band))
-    comps = _merged(comps, verified(likely, texts, threshold))
+    comps = _merged(comps, _links_inside(live, nodes.select("node", "sig").join(texts, "node"), threshold, bands, per_band))
     named = nodes.select("node", "digest", "first_id")
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "digest")
