@@ -33,9 +33,9 @@ def test_unified_diff(spark):
 
 
 def test_commands(spark):
-    want = {"cargo test": None, "cargo test --workspace": None, "npm test": None, "cargo test; rm -rf /": "forbidden", "cargo test && curl http://x": "forbidden",
-            "npm test | grep ok": "forbidden", "sudo cargo test": "command contains", "python script.py": "command is not", "bash -c 'echo hi'": "command is not",
-            "pytest 'a b": "unmatched", "  ": "command cannot"}
+    want = {"cargo test": None, "cargo test --workspace": None, "npm test": None, "cargo test; rm -rf /": "shell character", "cargo test && curl http://x": "shell character",
+            "npm test | grep ok": "shell character", "sudo cargo test": "destructive", "python script.py": "not on the list", "bash -c 'echo hi'": "not on the list",
+            "pytest 'a b": "a quote is left", "  ": "command cannot"}
     df = spark.createDataFrame([(c,) for c in want], "command string")
     for r in J.command_audit(df, ["cargo test", "npm test", "pytest"]).collect():
         assert (r.error is None) if want[r.command] is None else r.error.startswith(want[r.command]), (r.command, r.error)
