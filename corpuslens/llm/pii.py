@@ -12,12 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import table
+from corpuslens.llm.common import components, table
 
 #: Code points on each side of a protected value in which terms count as occurring with it.
 CONTEXT = 64
 #: Different contexts that a term must share with a value, and the disclosures from which it is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Texts round a value are copies of one another if the sets of their terms, WIDE code points to each side, overlap by
+#: ALIKE or more; bands and rows of the signatures by which candidates meet (a pair at ALIKE: probability 0.9999).
+WIDE, ALIKE, BANDS, ROWS = 512, 0.8, 16, 3
 #: Slots of the filter by which documents without a term in question are passed over. It is of fixed size; where many
 #: terms are in question it lets more words through to the join that decides.
 SLOTS = 1 << 16
@@ -126,45 +129,64 @@ def _passes(term: Column, slots: bytearray) -> Column:
 
 
 def _entities(kind: str) -> Column:
-    """The kind's spans as protected values with their contexts."""
+    """The kind's spans as protected values with their contexts and the hashed terms of the text round them."""
+    def around(s):
+        at = F.greatest(s["start"] - WIDE, F.lit(0))
+        text = F.replace(F.col("_text").substr((at + 1).cast("int"), (s["end"] - at + WIDE).cast("int")), s["value"], F.lit(" "))
+        return F.array_sort(F.array_distinct(F.transform(_found(F.lower(text), F.lit(TERM)), lambda w: F.hash(w))))
+
     return F.transform(
-        f"_{kind}", lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("e"), F.concat_ws(" | ", s["before"], s["after"]).alias("c"))
+        f"_{kind}", lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("e"), F.concat_ws(" | ", s["before"], s["after"]).alias("c"), around(s).alias("w"))
     )
 
 
+def _near_copies(nodes: DataFrame) -> DataFrame:
+    """(node, class) of ``nodes`` (node, e, w): texts round one value whose term sets overlap by ALIKE, directly or
+    through others. In each band the texts of a bucket are compared with one of them, in full; no pairs are expanded."""
+    least = lambda i: F.array_min(F.transform("w", lambda x: F.hash(x, F.lit(i))))
+    keys = F.array(*[F.xxhash64("e", F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    met = table(nodes.select("node", F.explode(keys).alias("key")))
+    lead = met.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = met.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    one, two = (nodes.select(F.col("node").alias(c), F.col("e").alias(f"e_{c}"), F.col("w").alias(f"w_{c}")) for c in "ab")
+    alike = F.size(F.array_intersect("w_a", "w_b")) >= F.lit(ALIKE) * F.size(F.array_union("w_a", "w_b"))
+    links = pairs.join(two, "b").join(one, "a").where((F.col("e_a") == F.col("e_b")) & alike).select("a", "b")
+    comps = table(components(table(links), "a", "b"))
+    return nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("class"))
+
+
 def disclosing_terms(docs: DataFrame) -> Flags:
     """Learns from all of ``docs`` which terms disclose a protected value.
 
-    P(t) and P(e) are shares of documents, P(t, e) is the share of documents in which t stands within CONTEXT of e. A
-    term must share SUPPORT different contexts with the value, and the value's contexts must not repeat each other: a
-    value of which half the documents share half their terms or more is known from copies of one text, which tell
-    nothing about its terms. Counts cover all rows; all are folded before they are shuffled.
+    P(t) and P(e) are shares of documents, P(t, e) is the share of documents in which t stands within CONTEXT of e.
+    Occurrences of e in copies and near copies of one text are one class, and a class counts as its first document in
+    P(e), P(t, e) and, as far as t stands near e, in P(t); every value keeps its terms. A term must share SUPPORT
+    classes with the value. Counts cover all rows; all are folded before they are shuffled.
     """
     found = base_spans(docs, []).withColumn("row", F.monotonically_increasing_id())
     every = F.concat(*map(_entities, KINDS))
-    seen = found.where(F.size(F.concat(*[f"_{k}" for k in KINDS])) > 0).select("row", F.explode(every).alias("s")).select("row", F.sha2("s.e", 256).alias("e"), F.lower("s.c").alias("c"))
-    seen = table(seen)
+    seen = found.where(F.size(F.concat(*[f"_{k}" for k in KINDS])) > 0).select("row", F.explode(every).alias("s"))
+    seen = table(seen.select("row", F.sha2("s.e", 256).alias("e"), F.lower("s.c").alias("c"), "s.w", F.xxhash64("s.w").alias("h")))
+    several = seen.groupBy("e").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= SUPPORT).select("e")
+    nodes = table(seen.join(several, "e").groupBy("e", "h").agg(F.any_value("w").alias("w")).withColumn("node", F.monotonically_increasing_id()))
+    named = nodes.select("e", "h", "node").join(_near_copies(nodes), "node").select("e", "h", "class")
+    seen = table(seen.select("row", "e", "c", "h").join(named, ["e", "h"]).drop("h"))
+    seen = seen.join(seen.groupBy("class").agg(F.min("row").alias("first")), "class")
+    n_e = seen.groupBy("e").agg(F.countDistinct("row").alias("all_e"), F.countDistinct("first").alias("n_e"), F.countDistinct("class").alias("classes"))
+    n_e = table(n_e.where(F.col("classes") >= SUPPORT).drop("classes"))
     terms = F.explode(F.array_distinct(_found(F.col("c"), F.lit(TERM))))
-    pairs = table(
-        seen.select("row", "e", F.xxhash64("c").alias("h"), terms.alias("term")).groupBy("e", "term").agg(
-            F.countDistinct("row").alias("n_te"), F.countDistinct("h").alias("support")
-        )
-    )
-    n_e = seen.groupBy("e").agg(F.countDistinct("row").alias("n_e"))
-    # Terms that half of a value's documents share, against the terms of a document: near copies share most of theirs.
-    shared = pairs.join(n_e, "e").groupBy("e").agg(
-        F.max("n_e").alias("n_e"), F.count_if(F.col("n_te") * 2 >= F.col("n_e")).alias("shared"), (F.sum("n_te") / F.max("n_e")).alias("mean")
+    pairs = seen.join(n_e.select("e"), "e").select("row", "e", "class", "first", terms.alias("term")).groupBy("e", "term").agg(
+        F.countDistinct("row").alias("all_te"), F.countDistinct("first").alias("n_te"), F.countDistinct("class").alias("support")
     )
-    told = shared.where((F.col("n_e") >= SUPPORT) & (F.col("shared") * 2 < F.col("mean"))).select("e", "n_e")
-    pairs = table(pairs.where(F.col("support") >= SUPPORT).join(told, "e"))
+    pairs = table(pairs.where(F.col("support") >= SUPPORT).join(n_e, "e"))
     slots = _slots(pairs)
     if slots is None:
         return Flags(None, None)
     words = F.array_distinct(_found(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM)))
     n_t = docs.select(F.explode(F.filter(words, lambda w: _passes(w, slots))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(docs.count()))
+    n = F.lit(float(docs.count())) - F.col("all_e") + F.col("n_e")
     known = F.log2(n / F.col("n_e"))
-    score = F.when(known > 0, F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / known).otherwise(0.0)
+    score = F.when(known > 0, F.log2(F.col("n_te") * n / ((F.col("n_t") - F.col("all_te") + F.col("n_te")) * F.col("n_e"))) / known).otherwise(0.0)
     scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(score).alias("score"))
     flagged = scored.where(F.col("score") >= GENERALISE).select("term", F.when(F.col("score") >= REMOVE, "removed").otherwise("general").alias("action"))
     flagged = table(flagged)

@@ -91,6 +91,37 @@ def test_disclosing_terms(telling):
     assert clean[201]["text"] is None and clean[5]["text"] == "common words here 5" and len(clean) == 71
 
 
+def found_in(spark, rows):
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(rows)], DOCS)
+    terms = pii.disclosing_terms(docs).terms
+    return {r["term"]: r["action"] for r in terms.collect()} if terms is not None else {}
+
+
+def test_alike_contexts_disclose(spark):
+    rows = [f"common words here {i}" for i in range(60)]
+    rows += [f"{w} zorblax wrote from eve@corp.example about {w} common" for w in "alpha beta gamma delta".split()] + ["Only Zorblax, no address"]
+    found = found_in(spark, rows)
+    assert found["zorblax"] == "general"  # it also occurs once without the address
+    assert found["wrote"] == found["from"] == "removed" and "common" not in found and "alpha" not in found
+
+
+def test_signature_line_discloses(spark):
+    rng = random.Random(4)
+    rows = [prose(rng, 40) for _ in range(200)]
+    rows += [f"{prose(rng, 40)} Regards Zorblax Quux tel off Lane mail eve@corp.example Acme Road" for _ in range(50)]
+    found = found_in(spark, rows)
+    assert found["zorblax"] == found["quux"] == found["acme"] == "removed"
+
+
+def test_copies_do_not_hide_independent_contexts(spark):
+    rng = random.Random(6)
+    one = prose(rng, 30).split()
+    copy = lambda i: " ".join([*one[:15], "zorblax", "eve@corp.example", *one[15 : 15 + i % 15], f"x{prose(rng, 1)}", *one[16 + i % 15 :]])
+    rows = [prose(rng, 30) for _ in range(300)] + [copy(i) for i in range(50)] + [copy(0)] * 50
+    rows += [f"{prose(rng, 12)} zorblax eve@corp.example {prose(rng, 12)}" for _ in range(90)]
+    assert found_in(spark, rows) == {"zorblax": "removed"}  # the words of the copied text count once
+
+
 def test_masks_leave_no_base_span(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     clean = pii.sanitised(docs)
