@@ -127,8 +127,20 @@ def _text(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
+def _drop_links(parent: Node, stays: Node) -> None:
+    """Takes out the children of ``parent`` that are mostly links. Inline ones are judged with the text they run in."""
+    kids = [p for p in parent.parts if isinstance(p, Node) and not p.drop and p is not stays]
+    inline = [k for k in kids if k.tag not in BLOCK]
+    run = sum(len(p.strip()) for p in parent.parts if isinstance(p, str)) + sum(k.chars for k in inline)
+    listed = 2 * sum(k.linked for k in inline) > run
+    for k in kids:
+        if 2 * k.linked > k.chars and (k.tag in BLOCK or listed):
+            k.drop = True
+
+
 def main_text(page: str | None) -> str:
-    """Text of the best container and of those siblings that score like it.
+    """Text of the article, main or body next above the best container, without what is mostly links beside the
+    container or its ancestors. Beside an article, other articles and what scores like the container stay.
 
     A paragraph passes 1 point, 1 for each comma and 1 for each 100 characters (3 at most) to its parent, half of it
     to the next ancestor and a third to the one after; an element's points are discounted by the share of its
@@ -165,16 +177,21 @@ def main_text(page: str | None) -> str:
                 best, most = node, node.score
     if best is None:
         return _text(root)
-    if best.tag == "body" or best.parent is None:
-        return _text(best)
-    bar, kept = max(10.0, most * 0.2), []
-    for sibling in best.parent.parts:
-        if isinstance(sibling, str) or sibling.drop:
-            continue
-        links = sibling.linked / max(sibling.chars, 1)
-        if sibling is best or sibling.scored and sibling.score >= bar or sibling.tag == "p" and links < 0.25 and sibling.chars > 80:
-            kept.append(_text(sibling))
-    return " ".join(t for t in kept if t)
+    top = best
+    while top.tag not in ("article", "main", "body") and top.parent is not None:
+        at, top = top, top.parent
+        _drop_links(top, at)
+    kept, bar = [top], max(10.0, most * 0.2)
+    if top.tag == "article":  # a page of several articles
+        kept = []
+        for sibling in top.parent.parts:
+            if isinstance(sibling, str) or sibling.drop:
+                continue
+            links = sibling.linked / max(sibling.chars, 1)
+            like = sibling.scored and sibling.score >= bar or sibling.tag == "p" and links < 0.25 and sibling.chars > 80
+            if sibling is top or like or sibling.tag == "article" and links <= 0.5:
+                kept.append(sibling)
+    return " ".join(t for t in map(_text, kept) if t)
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:

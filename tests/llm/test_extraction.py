@@ -27,6 +27,19 @@ def test_siblings_that_score_are_kept():
     assert main_text(f"<body><div>{part}{part}</div></body>").count("This is") == 14
 
 
+def test_all_of_the_article_stays():
+    beside = "<h2>Head</h2><ul><li>one<li>two</ul><blockquote>Quote</blockquote><table><tr><td>cell</table><figure><figcaption>Caption</figcaption></figure>bare text"
+    links = "<ul>" + "<li><a href=x>link to it</a>" * 5 + "</ul>"
+    for n in (1, 3, 12, 60):
+        body = f"<div class=body>{f'<p>{PARA}</p>' * n}</div>"
+        for tag in ("article", "main", "div"):
+            page = f"<body><nav>menu</nav><{tag}><h1>Title</h1><p>short standfirst</p>{body}{beside}<section><p>Short section</p></section>{links}</{tag}></body>"
+            want = f"Title short standfirst {PARA * n} Head one two Quote cell Caption bare text Short section"
+            assert main_text(page).replace(" " + "link to it " * 4 + "link to it", "") == " ".join(want.split()), (n, tag)
+    two = f"<body><main><article><p>{PARA * 9}</p></article><article><p>Short second</p></article></main></body>"
+    assert main_text(two).endswith("Short second")
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("plain text") == "plain text"
