@@ -33,6 +33,8 @@ DROP_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments commentlist reply replies disqus respond share sharing social related "
     "recommended recommendations toolbar pager pagination search copyright disclaimer legal alert skip hidden".split()
 )
+#: Compounds that tell of another element or of print.
+ABOUT = re.compile(r"^(?:has|no|with|without)[-_]|[-_]print$")
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 NEVER_DROP = frozenset("html body article main".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -41,28 +43,31 @@ START = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "td": 3.0, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "score", "chars", "linked", "scored")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "score", "chars", "linked", "scored")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.parts: list = []  # texts and elements in page order
         self.score, self.chars, self.linked, self.scored = 0.0, 0, 0, False
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _dropped(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element goes, and whether only its names speak for that."""
     if tag in DROP_TAGS:
-        return True
+        return True, False
     if not attrs or attrs.isspace():
-        return False
+        return False, False
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return True, False
     if tag in NEVER_DROP and not (tag == "article" and "comment" in found.get("class", "").lower()):
-        return False
+        return False, False
     if DROP_ROLES & set(found.get("role", "").lower().split()):
-        return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not DROP_WORDS.isdisjoint(re.split(r"[^a-z]+", names))
+        return True, False
+    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
+    names = [n for n in names if not ABOUT.search(n)]
+    named = not DROP_WORDS.isdisjoint(re.split(r"[^a-z]+", " ".join(names)))
+    return named, named and tag != "article"
 
 
 def parse(page: str) -> Node:
@@ -94,7 +99,7 @@ def parse(page: str) -> Node:
                     up = up.parent
                 if last is not None:
                     at = last.parent
-            node = Node(tag, at, _dropped(tag, m["attrs"]))
+            node = Node(tag, at, *_dropped(tag, m["attrs"]))
             at.parts.append(node)
             if tag in RAW_END:
                 pos = RAW_END[tag].search(page, pos).end()
@@ -112,6 +117,33 @@ def _walk(root: Node) -> Iterator[Node]:
         stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.drop)
 
 
+def _spare(root: Node) -> None:
+    """Takes back elements that went by name only but wrap the page's text: they hold the largest article or main, or
+    more than half of the text outside links that no other rule drops. If all text went by name, it comes back."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(p for p in node.parts if isinstance(p, Node) and (not p.drop or p.named))
+    if not any(n.named for n in order):
+        return
+    plain: dict[Node, int] = {}
+    for node in reversed(order):  # children before parents
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        plain[node] = 0 if node.tag == "a" else own + sum(plain.get(p, 0) for p in node.parts if isinstance(p, Node))
+    article = max((n for n in order if n.tag in ("article", "main") and plain[n]), key=plain.__getitem__, default=None)
+    while article is not None:
+        if article.named:
+            article.drop = False
+        article = article.parent
+    for node in order:
+        if node.named and 2 * plain[node] > plain[root]:
+            node.drop = False
+    if plain[root] and not _text(root):
+        for node in order:
+            node.drop = node.drop and not node.named
+
+
 def _text(node: Node) -> str:
     out: list[str] = []
     stack: list = [node]
@@ -149,6 +181,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _spare(root)
     order = list(_walk(root))
     for node in reversed(order):  # children before parents
         own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))

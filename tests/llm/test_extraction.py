@@ -40,6 +40,17 @@ def test_all_of_the_article_stays():
     assert main_text(two).endswith("Short second")
 
 
+def test_wrappers_with_dropped_words_stay():
+    text = f"<h1>Title</h1><p>{PARA * 3}</p><p>{PARA * 3}</p>"
+    want = " ".join(f"Title {PARA * 6}".split())
+    side = f"<div class=sidebar><p>{PARA}</p></div><div class='comments'><p>{PARA}</p></div>"
+    for tag in ("div", "section"):
+        for names in ("no-sidebar", "content has-sidebar", "hidden-print", "with-header", "widget-area-content", "legal"):
+            for inner in (text, f"<article>{text}</article>", f"<div id=search>{text}</div>"):
+                assert main_text(f"<body><nav>menu</nav><{tag} id=page class='{names}'>{inner}{side}</{tag}>{side}</body>") == want, (tag, names, inner)
+    assert main_text(f"<body><div class=promo><p>{PARA}</p></div><div class=legal><p>{PARA}</p></div></body>").count("This is") == 2
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("plain text") == "plain text"
