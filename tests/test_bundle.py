@@ -1,4 +1,4 @@
-from conftest import SMALL_APP, as_files
+from support import SMALL_APP, as_files
 
 from corpuslens.operators import analyze as A
 from corpuslens.operators import render as R

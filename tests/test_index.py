@@ -1,4 +1,4 @@
-from conftest import as_files
+from support import as_files
 
 from corpuslens.operators import analyze as A
 from corpuslens.operators import impact as G

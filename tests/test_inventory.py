@@ -1,4 +1,4 @@
-from conftest import as_files
+from support import as_files
 
 from corpuslens.functions import paths, text
 from corpuslens.operators import inventory as I

@@ -1,6 +1,6 @@
 import math
 
-from conftest import as_files
+from support import as_files
 
 from corpuslens.operators import retrieve as H
 from corpuslens.operators.inventory import inventory

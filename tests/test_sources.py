@@ -1,6 +1,6 @@
 import os
 
-from conftest import SMALL_APP
+from support import SMALL_APP
 
 from corpuslens.functions import plugins
 from corpuslens.operators import inventory as I
