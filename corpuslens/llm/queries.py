@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, bagminhash, extraction, langid, mixing, packing, pii, sharding, substring, vectors
+from corpuslens.llm import ann, audit, bagminhash, codes, extraction, langid, mixing, packing, pii, sharding, substring, vectors, windows
 from corpuslens.llm.common import read
 
 
@@ -54,6 +54,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(read(spark, sf_dir, "embeddings"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return windows.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(windows.TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -65,5 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_window_packing": op13_window_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": audit.AUDIT_SQL, "op12_vector_codes": codes.CODES_SQL}
