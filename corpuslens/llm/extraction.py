@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,11 @@ DROP_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments commentlist reply replies disqus respond share sharing social related "
     "recommended recommendations toolbar pager pagination search copyright disclaimer legal alert skip hidden".split()
 )
+#: Of these, names that an article's own parts bear as well: inside it they go only if they are links or no sentences.
+SOFT_WORDS = frozenset("header masthead widget widgets legal alert disclaimer search skip toolbar aside modal overlay signup login hidden respond".split())
+#: Elements that wrap a page's or an article's own text as often as something beside it.
+WRAPPERS = frozenset(["form", "header"])
+SENTENCE = re.compile(r"[.!?…。！？]")
 #: Compounds that tell of another element or of print.
 ABOUT = re.compile(r"^(?:has|no|with|without)[-_]|[-_]print$")
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
@@ -43,68 +49,90 @@ START = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "td": 3.0, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "named", "score", "chars", "linked", "scored")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "soft", "score", "chars", "linked", "scored")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool, named: bool = False):
-        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
+    def __init__(self, tag: str, parent: "Node | None", drop: bool, named: bool = False, soft: bool = False):
+        self.tag, self.parent, self.drop, self.named, self.soft = tag, parent, drop, named, soft
         self.parts: list = []  # texts and elements in page order
         self.score, self.chars, self.linked, self.scored = 0.0, 0, 0, False
 
 
-def _dropped(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element goes, and whether only its names speak for that."""
-    if tag in DROP_TAGS:
-        return True, False
-    if not attrs or attrs.isspace():
-        return False, False
+def _dropped(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the element goes, whether it may wrap the page's text all the same, and whether an article may have such a part."""
+    if (not attrs or attrs.isspace()) and tag not in DROP_TAGS:
+        return False, False, False
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, False
+        return True, False, False
+    if tag in DROP_TAGS and tag not in WRAPPERS:
+        return True, False, False
     if tag in NEVER_DROP and not (tag == "article" and "comment" in found.get("class", "").lower()):
-        return False, False
+        return False, False, False
     if DROP_ROLES & set(found.get("role", "").lower().split()):
-        return True, False
+        return True, False, False
     names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
-    names = [n for n in names if not ABOUT.search(n)]
-    named = not DROP_WORDS.isdisjoint(re.split(r"[^a-z]+", " ".join(names)))
-    return named, named and tag != "article"
+    words = set(re.split(r"[^a-z]+", " ".join(n for n in names if not ABOUT.search(n)))) & DROP_WORDS
+    if tag in WRAPPERS:
+        return True, True, tag == "header" and words <= SOFT_WORDS
+    return bool(words), bool(words) and tag != "article", bool(words) and words <= SOFT_WORDS
+
+
+class Open:
+    """The elements that are open, by tag and by kind, so that a tag finds what it ends without a walk."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: the innermost element of that name closes; one without a partner does nothing."""
+        if own := self.of.get(tag):
+            if tag in BLOCK or not self.blocks or self.blocks[-1] < own[-1]:  # an inline end tag does not end a block
+                self.cut(own[-1])
+
+    def ends_before(self, ended: set[str]) -> None:
+        """A start tag that ends elements: the outermost of ``ended`` closes, up to the nearest barrier."""
+        wall = max((at[-1] for t in BARRIER if t not in ended and (at := self.of.get(t))), default=0)
+        first = [at[i] for t in ended if (at := self.of.get(t)) and (i := bisect_right(at, wall)) < len(at)]
+        if first:
+            self.cut(min(first))
 
 
 def parse(page: str) -> Node:
     """The element tree. Unclosed and crossing tags end where their container ends; raw text is skipped whole."""
     root = Node("#root", None, False)
-    at, pos = root, 0
+    opened, pos = Open(root), 0
     while m := TOKEN.match(page, pos):
         pos = m.end()
         if (text := m["text"]) is not None or (text := m["cdata"]) is not None:
-            at.parts.append(entities.unescape(text))
+            opened.stack[-1].parts.append(entities.unescape(text))
         elif m["tag"]:
             tag = m["tag"].lower()
             if m["close"]:
-                up = at
-                while up is not root and up.tag != tag:
-                    if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag does not end a block
-                        up = root
-                        break
-                    up = up.parent
-                if up is not root:
-                    at = up.parent
+                opened.end(tag)
                 continue
             if tag in CLOSES_P or tag in ENDS:
-                ended = {"p"} if tag not in ENDS else ENDS[tag] | {"p"}
-                up, last = at, None
-                while up is not root and (up.tag not in BARRIER or up.tag in ended):
-                    if up.tag in ended:
-                        last = up
-                    up = up.parent
-                if last is not None:
-                    at = last.parent
+                opened.ends_before(ENDS[tag] | {"p"} if tag in ENDS else {"p"})
+            at = opened.stack[-1]
             node = Node(tag, at, *_dropped(tag, m["attrs"]))
             at.parts.append(node)
             if tag in RAW_END:
                 pos = RAW_END[tag].search(page, pos).end()
             elif tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK):
-                at = node
+                opened.push(node)
     return root
 
 
@@ -118,8 +146,8 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def _spare(root: Node) -> None:
-    """Takes back elements that went by name only but wrap the page's text: they hold the largest article or main, or
-    more than half of the text outside links that no other rule drops. If all text went by name, it comes back."""
+    """Takes back elements that went by name, and forms and headers, where they wrap the page's text: they hold the largest article or main, or
+    more than half of the text outside links that no other rule drops. If all text went so, it comes back."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -144,6 +172,28 @@ def _spare(root: Node) -> None:
             node.drop = node.drop and not node.named
 
 
+def _take_back(top: Node) -> None:
+    """Inside the article, parts that only a soft name speaks against stay: those with sentences that are not mostly
+    links, and its header."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.drop:
+            plain, linked, within = [], 0, [(node, False)]
+            while within:
+                x, link = within.pop()
+                for part in x.parts:
+                    if isinstance(part, str):
+                        linked += len(part.strip()) if link else 0
+                        plain += [] if link else [part.strip()]
+                    elif not part.drop or part.soft:
+                        within.append((part, link or part.tag == "a"))
+            own = sum(map(len, plain))
+            node.drop = linked > own or not own or not (node.tag == "header" or any(map(SENTENCE.search, plain)))
+        if not node.drop:
+            stack.extend(p for p in node.parts if isinstance(p, Node) and (not p.drop or p.soft))
+
+
 def _text(node: Node) -> str:
     out: list[str] = []
     stack: list = [node]
@@ -172,7 +222,8 @@ def _drop_links(parent: Node, stays: Node) -> None:
 
 def main_text(page: str | None) -> str:
     """Text of the article, main or body next above the best container, without what is mostly links beside the
-    container or its ancestors. Beside an article, other articles and what scores like the container stay.
+    container or its ancestors. A form or header that wraps the text stays, and so does an article's own header; inside
+    the article a name such as legal or alert drops only what has no sentences or is mostly links. Beside an article, other articles and what scores like the container stay.
 
     A paragraph passes 1 point, 1 for each comma and 1 for each 100 characters (3 at most) to its parent, half of it
     to the next ancestor and a third to the one after; an element's points are discounted by the share of its
@@ -214,6 +265,7 @@ def main_text(page: str | None) -> str:
     while top.tag not in ("article", "main", "body") and top.parent is not None:
         at, top = top, top.parent
         _drop_links(top, at)
+    _take_back(top if top.tag in ("article", "main") else best)
     kept, bar = [top], max(10.0, most * 0.2)
     if top.tag == "article":  # a page of several articles
         kept = []

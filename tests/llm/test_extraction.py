@@ -1,7 +1,8 @@
 import re
+import time
 from html import unescape
 
-from corpuslens.llm.extraction import extract, main_text
+from corpuslens.llm.extraction import extract, main_text, parse
 from llm_support import SF
 from pyspark.sql import functions as F
 
@@ -51,6 +52,44 @@ def test_wrappers_with_dropped_words_stay():
     assert main_text(f"<body><div class=promo><p>{PARA}</p></div><div class=legal><p>{PARA}</p></div></body>").count("This is") == 2
 
 
+def test_forms_and_headers_that_wrap_text_stay():
+    text = f"<h1>Title</h1><p>{PARA * 3}</p><p>{PARA * 3}</p>"
+    want = " ".join(f"Title {PARA * 6}".split())
+    nav = "<nav>menu</nav><div class=sidebar><p>" + PARA + "</p></div>"
+    for inner in (text, f"<article>{text}</article>", f"<div class=content>{text}</div>"):
+        assert main_text(f"<body><form id='aspnetForm' action='/x'><input type=hidden value=1>{nav}{inner}<button>Go</button></form><footer>f</footer></body>") == want
+    assert main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p class=byline>By A. Writer</p></header><p>{PARA * 6}</p></article></body>") == " ".join(f"Title By A. Writer {PARA * 6}".split())
+    assert main_text(f"<body><article><header><a href=/>Home</a> <a href=/x>All news</a></header>{text}<form><p>{PARA}</p><label>Mail</label></form></article></body>") == want
+
+
+def test_soft_names_inside_the_article():
+    text = f"<h1>Title</h1><p>{PARA * 6}</p>"
+    for tag, name in (("section", "legal"), ("p", "alert"), ("div", "disclaimer"), ("div", "masthead"), ("div", "widget legal")):
+        for wrap in ("article", "main", "div"):
+            got = main_text(f"<body><nav>menu</nav><{wrap}>{text}<{tag} class='{name}'>The law says so, and it is part of this.</{tag}></{wrap}></body>")
+            assert got == " ".join(f"Title {PARA * 6} The law says so, and it is part of this.".split()), (tag, name, wrap)
+    for part in ("<div class=alert>Menu</div>", "<div class=legal><a href=x>All our terms, here.</a></div>", f"<div class='ad'><p>{PARA}</p></div>", f"<section class='legal comments'><p>{PARA}</p></section>",
+                 f"<div class=newsletter><p>{PARA}</p></div>", f"<div class='cookie alert'><p>{PARA}</p></div>", f"<div hidden class=legal><p>{PARA}</p></div>"):
+        assert main_text(f"<body><article>{text}{part}</article></body>") == " ".join(f"Title {PARA * 6}".split()), part
+    assert main_text(f"<body><div class=legal><p>All rights are reserved, of course.</p></div><article>{text}</article></body>") == " ".join(f"Title {PARA * 6}".split())
+
+
+def test_parsing_takes_linear_time():
+    def spent(page):
+        begin = time.process_time()
+        main_text(page + "x")
+        return time.process_time() - begin
+
+    for make in (
+        lambda n: "<div>" * n + "</p>" * n, lambda n: "<b>" * n + "<p>" * n, lambda n: "<ul><li><ul>" + "<b>" * n + "<li>" * n, lambda n: "<table><tr><td>" * n + "<p>" * n,
+        lambda n: "<div>" * n + "</b>" * n, lambda n: "<i>" * n + "</div>" * n, lambda n: "<li><p>" * n,
+    ):
+        assert spent(make(40_000)) < 9 * spent(make(10_000)) + 0.5, make(1)  # four times the tags; a walk per tag takes 16 times as long
+    begin = time.process_time()
+    parse("<div>" * 100_000 + "</p>" * 100_000)
+    assert time.process_time() - begin < 4
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") .replace("<", "") == ""
     assert main_text("plain text") == "plain text"
