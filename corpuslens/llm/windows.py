@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +185,7 @@ def tokenised(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
     schema = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokens(path)
+        model = Tokens.of_worker(path)
         for whole in batches:
             for begin, stop in slices(whole.column(2)):
                 batch = whole.slice(begin, stop - begin)
@@ -214,7 +216,13 @@ class Tokens:
 
     #: Fixed value: the split pattern of tokenizers whose units are known.
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    HELD = 1 << 18  # units whose ids are kept from batch to batch
+    HELD = 1 << 18  # units, about, whose ids are kept from batch to batch
+
+    @staticmethod
+    def of_worker(path: str) -> Tokens:
+        """The tokenizer as this Python process has loaded it: a worker runs many tasks, and what it has met stays."""
+        held = sys.modules.setdefault("_token_units", types.ModuleType("_token_units")).__dict__
+        return held.get(path) or held.setdefault(path, Tokens(path))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -226,8 +234,9 @@ class Tokens:
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         before = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [s["type"] for s in (made.get("normalizer") or {}).get("normalizers", [])]
-        self.words = steps == ["NFC", "Replace", "Lowercase"] and before[0].get("pattern") == {"Regex": self.WORDS} and before[0].get("behavior") == "Removed"
-        self.known: dict[str, list[int]] = {}
+        split = before[0].get("pattern") == {"Regex": self.WORDS} and before[0].get("behavior") == "Removed"
+        self.words = steps == ["NFC", "Replace", "Lowercase"] and split and [s.get("type") for s in before[1:]] == ["ByteLevel"]
+        self.known, self.sizes, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         code = np.arange(256)
         self.lower = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint8)
         letter, digit = ((code | 32) >= 97) & ((code | 32) <= 122), (code >= 48) & (code <= 57)
@@ -239,6 +248,14 @@ class Tokens:
             cut[a, b] = True
         self.cut = cut.ravel()
 
+    def encoded(self, units: list[str]) -> Iterator[list[int]]:
+        """The ids of each unit. ASCII letters are a single word as they stand and go to the merges directly."""
+        plain = [self.words and u.isascii() and u.isalpha() for u in units]
+        other = iter(self.model.encode_batch_fast([u for u, p in zip(units, plain) if not p], add_special_tokens=False))
+        merge = self.model.model.tokenize
+        for unit, p in zip(units, plain):
+            yield [t.id for t in merge(unit)] if p else next(other).ids
+
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes of all units, ends of the units in them with 0 before, number of units before each text and in all)."""
         data, at = utf8(column)
@@ -262,23 +279,29 @@ class Tokens:
     def ids(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as one array, ``end`` after each text, and where each text's ids begin (one more entry)."""
         letters, ends, first = self.units(column)
-        units = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())]).dictionary_encode()
-        different = units.dictionary.to_pylist()
-        fresh = [u for u in different if u not in self.known]
-        if len(self.known) + len(fresh) > self.HELD:
-            self.known, fresh = {}, different
-        for unit, encoded in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[unit] = encoded.ids
-        pools = [*map(self.known.__getitem__, different), [end]]
-        sizes = np.fromiter(map(len, pools), np.int64, len(pools))
-        pool = np.fromiter(chain.from_iterable(pools), np.uint32, int(sizes.sum()))
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        used = np.insert(units.indices.to_numpy().astype(np.int64), first[1:], len(pools) - 1)  # the end mark after each text
+        units = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+        at = pc.index_in(units.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        missing = units.dictionary.take(pa.array(np.flatnonzero(at < 0)))
+        more, more_sizes = array("I"), array("q")
+        for ids in self.encoded(missing.to_pylist()):
+            more.extend(ids)
+            more_sizes.append(len(ids))
+        at[at < 0] = len(self.sizes) + np.arange(len(missing))
+        all_sizes = np.concatenate([self.sizes, np.frombuffer(more_sizes, np.int64), [1]])
+        pool = np.concatenate([self.pool, np.frombuffer(more, np.uint32), np.array([end], np.uint32)])
+        all_begins = np.cumsum(all_sizes) - all_sizes
+        at = np.append(at, len(all_sizes) - 1)
+        sizes, begins = all_sizes[at], all_begins[at]
+        if len(self.known) < self.HELD:  # the units met first are the frequent ones
+            self.known, self.sizes, self.pool = pa.concat_arrays([self.known, missing]), all_sizes[:-1], pool[:-1]
+        used = np.insert(units.indices.to_numpy(), first[1:], len(at) - 1)  # the end mark after each text
         texts = np.arange(len(first)) + first  # in ``used``, where each text begins
         length = sizes[used]
-        before = np.concatenate([[0], np.cumsum(length)])
-        places = np.arange(before[-1]) + np.repeat(begins[used] - before[:-1], length)
-        return pool[places].astype("<u4"), before[texts]
+        before = np.zeros(len(used) + 1, np.int64)
+        np.cumsum(length, out=before[1:])
+        places = np.repeat(begins[used] - before[:-1], length)
+        places += np.arange(len(places))
+        return pool[places].astype("<u4", copy=False), before[texts]
 
 
 # ---------------------------------------------------------------- the operator
