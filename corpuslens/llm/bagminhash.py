@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, gram_hashes, mix64, renewed, slices, table, utf8, with_copy, word_bounds, word_hashes
+from corpuslens.llm.common import boxed, components, gram_hashes, mix64, renewed, slices, table, utf8, with_copy, word_bounds, word_hashes
 
 #: Words of a shingle, the overlap that links, bands and rows: a pair at the threshold is met with probability 0.9999.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-#: Estimated overlaps this far below the threshold are not checked on the texts: three standard deviations, so about
-#: one link in a thousand at the threshold itself is passed over (and rarely any that is clearly above it).
-DOUBT = 3.0
+#: Pairs whose estimated overlap lies this many standard deviations below the threshold are not looked up in the texts.
+#: At six, a pair at the threshold itself is passed over once in some hundred million.
+DOUBT = 6.0
 #: In buckets of more members than LARGE, those outside the largest component meet so many more leaders out of it.
 LARGE, TURNS = 32, 2
-#: Members of a bucket that are compared by signature in one task.
-BLOCK = 1024
+#: Members of a bucket that are compared by signature in one task, and pairs of them looked up in the texts at once.
+BLOCK, PAIRS = 1024, 128
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -188,7 +188,7 @@ def _links_inside(live: DataFrame, known: DataFrame, threshold: float, bands: in
     members = table(members.withColumn("outside", F.col("comp") != F.col("main")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig", "text"]
+    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig", "bands", "text"]
     left = members.where("outside").withColumn("i", own("n_out")).withColumn("j", every("n_all")).select(*names)
     right = members.withColumn("j", own("n_all")).withColumn("i", every("n_out")).select(*names)
     slots = bands * per_band
@@ -198,18 +198,31 @@ def _links_inside(live: DataFrame, known: DataFrame, threshold: float, bands: in
         found = []
         if a.num_rows and b.num_rows:
             x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, slots) for t in (a, b))
-            (na, ca), (nb, cb) = ((t.column("node").to_numpy(), t.column("comp").to_numpy()) for t in (a, b))
+            met_x, met_y = (t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, bands) for t in (a, b))
+            na, nb = (t.column("node").to_numpy() for t in (a, b))
+            names, label = np.unique(np.concatenate([t.column("comp").to_numpy() for t in (a, b)]), return_inverse=True)
+            into = np.arange(len(names))  # components that links found here have joined
+            ca, cb = label[: len(na)], label[len(na) :]
             both, band = b.column("outside").to_numpy(), a.column("band")[0].as_py()
             left_text, right_text = a.column("text"), b.column("text")
             for i in range(0, len(x), 32):
                 same = (x[i : i + 32, None, :] == y[None, :, :]).sum(axis=2)
-                p, q = np.nonzero((same >= least) & (ca[i : i + 32, None] != cb) & (~both | (na[i : i + 32, None] < nb)))
-                earlier = (x[p + i] == y[q]).reshape(len(p), bands, per_band).all(axis=2)[:, :band].any(axis=1)
-                p, q = p[~earlier] + i, q[~earlier]
-                for at in range(0, len(p), 1024):
-                    pp, qq = p[at : at + 1024], q[at : at + 1024]
+                p, q = np.nonzero((same >= least) & (into[ca[i : i + 32, None]] != into[cb]) & (~both | (na[i : i + 32, None] < nb)))
+                p, order = p + i, np.argsort(-same[p, q], kind="stable")  # likely links first: they settle many of the others
+                p, q = p[order], q[order]
+                earlier = (met_x[p, :band] == met_y[q, :band]).any(axis=1)  # the pair is compared where it first meets
+                p, q = p[~earlier], q[~earlier]
+                while len(p):
+                    pp, qq = p[:PAIRS], q[:PAIRS]
                     link = overlap(left_text.take(pa.array(pp)), right_text.take(pa.array(qq))) >= threshold
                     found.append((np.minimum(na[pp[link]], nb[qq[link]]), np.maximum(na[pp[link]], nb[qq[link]])))
+                    for u, v in zip(ca[pp[link]], cb[qq[link]]):
+                        u, v = into[u], into[v]
+                        if u != v:
+                            into[into == max(u, v)] = min(u, v)
+                    p, q = p[PAIRS:], q[PAIRS:]
+                    open_ = into[ca[p]] != into[cb[q]]
+                    p, q = p[open_], q[open_]
         return pa.table({k: pa.array(np.concatenate([f[n] for f in found]) if found else [], pa.int64()) for n, k in enumerate("ab")})
 
     keys = ["key", "i", "j"]
@@ -228,7 +241,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
     Band buckets are never expanded into all pairs. First the members of a bucket are compared with one of them, picked
     by hash, and links are closed to components; in large buckets the members outside the largest component then meet
     TURNS further members of it. What is still open in a bucket has a member outside its largest component: those
-    members are compared with all others by their signatures, in blocks of bounded size that return only links: a pair whose signatures may reach the threshold is checked on the texts, in the first band it shares.
+    members are compared with all others by their signatures, in blocks of bounded size that return only links: a pair
+    whose signatures may reach the threshold is checked on the texts, in the first band it shares, unless links found
+    before have joined its components.
     """
     signed = table(sign(docs, bands, per_band))
     nodes = table(
@@ -258,7 +273,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
         pairs = members.where("comp <> main").join(lead, "key").select("a", F.col("node").alias("b")).distinct()
         comps = _merged(comps, verified(pairs, texts, threshold))
         live = named_(live.drop("comp"))
-    comps = _merged(comps, _links_inside(live, nodes.select("node", "sig").join(texts, "node"), threshold, bands, per_band))
+    comps = _merged(comps, _links_inside(live, nodes.select("node", "sig", "bands").join(texts, "node"), threshold, bands, per_band))
     named = nodes.select("node", "digest", "first_id")
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "digest")
@@ -273,7 +288,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: its smallest doc_id, of repeated rows the first. Nulls and empty texts stay."""
+    docs, unboxed = boxed(docs, ["doc_id", "text"])
     kept = classes(docs).where(F.col("kept") & F.col("digest").isNotNull()).select(F.col("doc_id").alias("_kid"), F.col("digest").alias("_kd")).distinct()
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": F.md5(F.col("text").cast("binary"))})
     rows = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_digest") == F.col("_kd")), "left_semi")
-    return with_copy(rows, ["_id", "_digest"]).where("_copy = 1").select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
+    return unboxed(with_copy(rows, ["_id", "_digest"]).where("_copy = 1").select(*docs.columns).unionByName(docs.where(F.col("text").isNull())))

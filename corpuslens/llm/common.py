@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -33,6 +34,19 @@ def renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def boxed(docs: DataFrame, needed: list[str]):
+    """(``docs`` with the ``needed`` columns and all others in one struct, a function that brings a result to the old columns).
+
+    An operator's own columns cannot clash with what a table happens to carry along.
+    """
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    own = {c.lower() for c in needed}
+    others = [c for c in docs.columns if c.lower() not in own]
+    rest = F.struct(*map(name, others)) if others else F.lit(None).cast("string")
+    packed = docs.select(*[name(c) for c in docs.columns if c.lower() in own], rest.alias("_rest"))
+    return packed, lambda df: df.select(*[name(c) if c.lower() in own else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,13 +109,20 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, at)
 
 
+#: Words of more bytes are hashed one by one: polynomials modulo 2**64 have known collisions among long words.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums of a polynomial: no loop over words."""
+    """A 64-bit hash of each word's bytes, from prefix sums of a polynomial: no loop over words but the few long ones."""
     power, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        return mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        out = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -92,3 +92,25 @@ def test_hard_rows(spark):
     kept = B.kept_documents(docs).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "4", "5", "7", "8", "None", "None"]
     assert B.classes(docs.limit(0)).count() == 0
+
+
+def test_long_words_of_one_pattern_differ(spark):
+    # Thue-Morse words: every polynomial hash modulo 2**64 takes the two for equal
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in B.classes(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_templates_that_share_every_bucket(spark):
+    # families of texts that share most of a template: each bucket holds members of several classes
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for family in range(12):
+        base = [w if rng.random() > 0.16 else f"f{family}_{i}" for i, w in enumerate(template)]
+        for k in range(14):
+            text = [w if rng.random() > 0.02 else f"x{family}_{k}_{i}" for i, w in enumerate(base)]
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in B.classes(df).collect()} == brute(rows)
