@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.ordering import global_positions
-from corpuslens.llm.common import mix64, n_words, shuffle_parts, table, with_copy
+from corpuslens.llm.common import boxed, mix64, n_words, shuffle_parts, table, with_copy
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -221,6 +221,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "digest", "source", "copy"]
     runs = pieces.groupBy(*keys, "turn").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))  # a turn has each block once
     names = docs.columns
+    docs, unboxed = boxed(docs, ["doc_id", "text", "source", "n_chars"])
     keyed = with_copy(
         docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": F.md5(F.coalesce("text", F.lit("")).cast("binary"))}), ["_id", "_digest", "source"], "_copy"
     )
@@ -232,4 +233,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = keyed.join(runs, same).withColumn("_words", words).withColumn("text", F.when(covered == F.size("_words"), F.col("text")).otherwise(cut))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+    return unboxed(out)

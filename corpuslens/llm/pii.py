@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, table
+from corpuslens.llm.common import boxed, components, table
 
 #: Code points on each side of a protected value in which terms count as occurring with it.
 CONTEXT = 64
@@ -256,6 +256,7 @@ def sanitised(docs: DataFrame, flags: Flags | None = None) -> DataFrame:
     """
     flags = disclosing_terms(docs) if flags is None else flags
     names = docs.columns
+    docs, unboxed = boxed(docs, ["text", "n_chars"])
     df = _with_terms(docs, flags)
     for kind in KINDS:
         df = df.withColumn("_m", _found(F.col("text"), F.lit(PATTERNS[kind])))
@@ -269,4 +270,4 @@ def sanitised(docs: DataFrame, flags: Flags | None = None) -> DataFrame:
             df = df.withColumn("text", F.when(F.col(f"_{action}").isNotNull(), F.regexp_replace(F.col("text"), F.col(f"_{action}"), F.lit(put))).otherwise(F.col("text")))
     if "n_chars" in names:
         df = df.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return df.select(*names)
+    return unboxed(df)
