@@ -86,10 +86,10 @@ class Model:
         self.langs = sorted(k for k, v in texts.items() if v)
         alphabet = sorted({c for k in self.langs for c in texts[k]})
         self.symbols = {c: i + 1 for i, c in enumerate(alphabet)}
-        self.codes = np.full(1 << 16, 0, np.uint8 if len(alphabet) < 255 else np.uint16)
+        # one code for each code point up to the last learned one, and one for all that lie above
+        self.codes = np.zeros(ord(alphabet[-1]) + 2 if alphabet else 1, np.uint8 if len(alphabet) < 255 else np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
         for c, i in self.symbols.items():
-            if ord(c) < 1 << 16:
-                self.codes[ord(c)] = i
+            self.codes[ord(c)] = i
         self.automata = [Automaton(texts[k], self.symbols) for k in self.langs]
         self.weight = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
 
@@ -99,7 +99,7 @@ class Model:
             return np.zeros((len(texts), 0))
         at = np.cumsum([0, *map(len, texts)])
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.codes[np.minimum(points, (1 << 16) - 1)]
+        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
         owner = np.repeat(np.arange(len(texts)), -(-np.diff(at) // PIECE))
         piece = np.arange(len(owner)) - np.searchsorted(owner, owner)
         start = at[owner] + piece * PIECE
@@ -140,12 +140,13 @@ def train(docs: DataFrame) -> Model:
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("m"))
-    ids = sorted({r[0] for r in picked.select("m.doc_id").collect()})
+    picked = picked.select(F.col("lang").alias("of"), F.col("m.doc_id").alias("id"))
+    head = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)
+    # rows that repeat an id fold to one, so that what comes to the driver is bounded by the languages
+    rows = usable.join(picked, (F.col("lang") == F.col("of")) & (F.col("doc_id") == F.col("id"))).groupBy("lang", "doc_id").agg(F.min(head).alias("text"))
     texts: dict[str, str] = {}
-    if ids:
-        rows = usable.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        for lang, _, text in sorted(set(map(tuple, rows.collect())), key=lambda r: (r[0], r[1], r[2] or "")):
-            texts[lang] = f"{texts.get(lang, '')} {letters(text or '')}".strip()
+    for lang, _, text in sorted(map(tuple, rows.collect())):
+        texts[lang] = f"{texts.get(lang, '')} {letters(text)}".strip()
     return Model(texts)
 
 

@@ -19,7 +19,9 @@ def hard_docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(hard_rows(), DOCS)
-    names = "size score bits key node comp digest bands copy block shard slot words row term position chunk kept spans start end _copy2".split()
+    names = "size score bits key node comp digest bands copy block shard slot words row term position chunk kept spans start end _copy2 "
+    names += "_id _digest _copy _m _g _r _hits _words _kid _kd _general _removed _text _rest _s _source turn runs first rest"
+    names = names.split()
     return df.withColumns({n: F.lit("x") for n in names})
 
 

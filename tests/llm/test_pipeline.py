@@ -46,5 +46,28 @@ def test_stages_take_hard_and_empty_tables(spark):
         corpus_pipeline.STAGES[-1][1](spark, table, SF).count()
 
 
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    docs = documents(spark)
+    short = spark.createDataFrame([(900_001, "A.", "en", "a", 2), (900_002, "12 !!", "en", "a", 5), (900_003, None, None, "a", 0), (900_004, "\U0001e922\U0001e923 \U0001e924", None, "a", 4)], docs.schema)
+    kept = {r["doc_id"] for r in stage(spark, docs.unionByName(short), SF).collect()}
+    assert {900_001, 900_004} <= kept and not {900_002, 900_003} & kept
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(short.withColumn("lang", F.lit(None).cast("string")))
+    kept = {r["doc_id"] for r in stage(spark, unlabelled, SF).collect()}
+    assert kept == {r["doc_id"] for r in unlabelled.where(F.col("text").rlike(r"\p{L}")).collect()}
+
+
+def test_other_columns_come_through_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    docs = hard_docs(spark)
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.count() > 0 and out.where(F.array(*[F.col(c) for c in extra]) != F.array_repeat(F.lit("x"), len(extra))).count() == 0, name
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
