@@ -349,7 +349,8 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, depth: int = D
     """
     pieces, rows = _planned(docs, tokenizer, window, depth, end)
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    whole, cut = rows.where("ids_crc32 is not null"), rows.where("ids_crc32 is null")
+    whole = rows.where("ids_crc32 is not null")
+    cut = table(rows.where("ids_crc32 is null"))  # a table of its own: where it is small, its size says so and no ids are shuffled
     source = pieces.select(F.col("row").alias("of_row"), F.col("start").alias("of_start"), "ids")
     joined = cut.join(source, (F.col("row") == F.col("of_row")) & (F.col("piece_start") == F.col("of_start")))
     own = F.col("ids").substr((F.col("start") - F.col("piece_start")).cast("int") * 4 + 1, F.col("length").cast("int") * 4)
