@@ -10,7 +10,8 @@ from corpuslens.operators import retrieve as H
 from corpuslens.plans.inventory import TESTP, GENERATED
 from corpuslens.plans.registry import query, sql
 from corpuslens.plans.retrieval import STRATEGY_SQL, relevant
-from corpuslens.sources import tree
+from corpuslens.session import fresh_folder
+from corpuslens.sources import store, tree
 
 
 def _l(body: str, extra: dict[str, str] | None = None) -> str:
@@ -63,6 +64,31 @@ def forget_project(t):
     return L.forget_project(t.scan.select("repo", "path"), runs(t), events(t))
 
 
+_GONE = "regexp_matches({x}, '[37]$')"
+
+
+@query("forget_project_removed", sql("corpus_files run_events runs", {
+    "p": "SELECT DISTINCT source AS repo FROM documents",
+    "rows": f"""SELECT 'projects' AS table_name, {_GONE.format(x='repo')} AS gone FROM p UNION ALL SELECT 'files', {_GONE.format(x='repo')} FROM corpus_files
+ UNION ALL SELECT 'runs', {_GONE.format(x='repo')} AND repo IN (SELECT repo FROM p) FROM runs
+ UNION ALL SELECT 'events', run_id IN (SELECT run_id FROM runs WHERE {_GONE.format(x='repo')} AND repo IN (SELECT repo FROM p)) FROM run_events"""},
+    "SELECT table_name, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE NOT gone) AS kept, CAST(0 AS BIGINT) AS dependents_left FROM rows GROUP BY table_name"))
+def forget_project_removed(t):
+    """Projects whose name ends in 3 or 7 are removed from a store of the whole ledger; what is left is read back."""
+    root = f"{fresh_folder(t.spark, 'store')}/ledger"
+    projects = t.driver("documents").select(F.col("source").alias("repo")).distinct()
+    store.write_store({"projects": projects, "files": t.scan.select("repo", "path", "size_bytes", "class", "content_hash"), "runs": runs(t), "events": events(t)}, root, buckets=16)
+    gone = projects.where(F.col("repo").rlike("[37]$"))
+    runs_gone = runs(t).join(gone, "repo", "left_semi").select("run_id")
+    report = store.forget(t.spark, root, gone)
+    left = None
+    for dep in store.LEDGER:
+        keys = runs_gone if dep.key == "run_id" else gone
+        n = store.read_table(t.spark, root, dep.name).join(keys, dep.key, "left_semi").agg(F.count("*").alias("dependents_left")).withColumn("table_name", F.lit(dep.name))
+        left = n if left is None else left.unionByName(n)
+    return report.select("table_name", "removed", "kept").join(left, "table_name")
+
+
 _APP = {"app": """SELECT e.sequence AS approval_id, e.run_id, e.user_id, e.ts AS created_ts, e.ts + INTERVAL 30 MINUTE AS expires_ts, min(d.ts) AS decided_ts FROM run_events e
  LEFT JOIN run_events d ON d.user_id = e.user_id AND d.event_type = 'search' AND (d.ts > e.ts OR (d.ts = e.ts AND d.sequence > e.sequence)) AND d.ts < e.ts + INTERVAL 30 MINUTE WHERE e.event_type = 'edit' GROUP BY ALL"""}
 

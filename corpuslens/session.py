@@ -74,6 +74,20 @@ def stored_path(spark: SparkSession, key: str, build) -> str:
     return _STORED[(app, key)]
 
 
+def fingerprint(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """A short name of the files that the named tables of a folder consist of: paths, sizes, modification times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for name in names:
+        top = path(folder, name)
+        if not fs.exists(top):
+            continue
+        for f in [fs.getFileStatus(top)] if fs.getFileStatus(top).isFile() else fs.listStatus(top):
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for the output and the checkpoint of one stream run."""
     return f"{shared_dir(spark)}/streams/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

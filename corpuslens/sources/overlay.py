@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import in_skipped_dir
 from corpuslens.operators.inventory import classify
-from corpuslens.session import stored, stored_path
+from corpuslens.session import fingerprint, stored, stored_path
 
 _NL = "||chr(10)||"
 
@@ -196,6 +196,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._version: str | None = None
 
     def driver(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
@@ -212,17 +213,23 @@ class Tables:
         files = files.select(F.inline(F.array(F.struct(*files.columns))))
         return classify(files).withColumn("skipped", in_skipped_dir(F.col("path")))
 
+    def _key(self, name: str) -> str:
+        """What is stored belongs to the input files as they are now: a table that is written anew is read anew."""
+        if self._version is None:
+            self._version = fingerprint(self.spark, self.dir, [f"{t}.parquet" for t in DRIVER_TABLES])
+        return f"{self.dir}/{self._version}/{name}"
+
     @property
     def scan(self) -> DataFrame:
-        return stored(self.spark, f"{self.dir}/scan", self._build_scan)
+        return stored(self.spark, self._key("scan"), self._build_scan)
 
     @property
     def scan_path(self) -> str:
-        return stored_path(self.spark, f"{self.dir}/scan", self._build_scan)
+        return stored_path(self.spark, self._key("scan"), self._build_scan)
 
     def table(self, name: str, build) -> DataFrame:
-        """An intermediate result that several queries read, stored once per session."""
-        return stored(self.spark, f"{self.dir}/{name}", build)
+        """An intermediate result that several queries read, stored once per session and input version."""
+        return stored(self.spark, self._key(name), build)
 
     @property
     def files(self) -> DataFrame:
