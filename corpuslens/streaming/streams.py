@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import inventory, ledger, secrets
 from corpuslens.session import fresh_folder
+from corpuslens.streaming.approvals import OpenApprovals
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 FILE_SCHEMA = "repo string, path string, content string, landed_ts timestamp"
@@ -54,18 +55,21 @@ def run_sessions(events: DataFrame, gap: str = "120 minutes", delay: str = "30 m
 def approval_ttl(events: DataFrame, ttl_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
     """Approvals asked by edits: approved by the user's first search within the time to live, else expired.
 
-    Windows of twice the time to live overlap by half, so each edit lies in the first half of one that also holds
-    all that may decide it. A state is what one user did in one such window; the watermark closes it.
+    One state per user, with event-time timers: the approvals that are still open, and the searches that a late edit
+    may still need, as stretches without a pause of the time to live. An edit inside a stretch is decided by the
+    search that follows it; before a stretch only its first search matters. So a state has one stretch per time to
+    live of the delay, however many searches there are. An approval is reported when its search comes in, whichever
+    of the two comes first, and expires when the watermark has passed all that could decide it. Timers need the
+    RocksDB state store; the session is asked for it.
     """
-    ttl = F.make_dt_interval(mins=F.lit(ttl_minutes))
-    kept = events.withWatermark("ts", delay).where(F.col("event_type").isin("edit", "search"))
-    seen = kept.groupBy(F.window("ts", f"{2 * ttl_minutes} minutes", f"{ttl_minutes} minutes").alias("w"), "user_id").agg(
-        F.collect_list(F.struct("ts", "sequence", "event_type")).alias("all"))
-    edits = seen.select("user_id", "w", "all", F.explode(F.filter("all", lambda e: e["event_type"] == "edit")).alias("e")).where(
-        F.col("e.ts") < F.col("w.start") + ttl)
-    decided = F.exists("all", lambda s: (s["event_type"] == "search") & (s["ts"] < F.col("e.ts") + ttl) & (
-        (s["ts"] > F.col("e.ts")) | ((s["ts"] == F.col("e.ts")) & (s["sequence"] > F.col("e.sequence")))))
-    return edits.select("user_id", F.col("e.sequence").alias("approval_id"), F.when(decided, "approved").otherwise("expired").alias("state"))
+    spark = events.sparkSession
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = events.withWatermark("ts", delay).where(F.col("event_type").isin("edit", "search")).select(
+        "user_id", "ts", F.unix_micros("ts").alias("at"), "sequence", "event_type")
+    return kept.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=OpenApprovals(ttl_minutes * 60_000_000), outputStructType="user_id long, approval_id long, state string", outputMode="append", timeMode="eventTime"
+    )
 
 
 def secret_alerts(files: DataFrame, sink: str, checkpoint: str):
@@ -95,6 +99,66 @@ def observed(files: DataFrame, name: str = "scan") -> DataFrame:
     return files.observe(name, F.count(F.lit(1)).alias("files_seen"), F.sum(size).alias("bytes_seen"))
 
 
+def counted(files: DataFrame, folder: str, checkpoint: str):
+    """Files and bytes of every micro-batch, kept as one small row per batch in ``folder``.
+
+    Progress records are a ring of the last hundred; these rows stay however many batches there are, also over
+    restarts. A batch that is run again replaces its row.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.agg(F.count(F.lit(1)).alias("files_seen"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes_seen"))
+        seen.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def count_to_end(files: DataFrame, name: str = "progress") -> DataFrame:
+    """(batch, files_seen, bytes_seen) of every micro-batch over all that has landed."""
+    folder = fresh_folder(files.sparkSession, name)
+    counted(files, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return files.sparkSession.read.schema("files_seen long, bytes_seen long, batch long").parquet(f"{folder}/out")
+
+
+def late_split(events: DataFrame, folder: str, checkpoint: str, width: str = "10 minutes", delay: str = "30 minutes"):
+    """Every event with its window and whether it came behind the watermark, in ``folder``/rows.
+
+    The watermark of a micro-batch is the latest event time of the batches before it less ``delay``; an event is
+    late if its window had been closed by then. A windowed aggregate drops such rows and tells only a number of
+    dropped partial groups; here they are a branch of their own and can be counted, looked at or merged. Each batch
+    leaves its latest time in ``folder``/marks; a batch that is run again replaces its rows and its mark.
+    """
+    spark, marks = events.sparkSession, "high timestamp, batch long"
+    # a first mark without a time, so that there is always something to read
+    spark.createDataFrame([(None,)], "high timestamp").coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        high = spark.read.schema(marks).parquet(f"{folder}/marks").where(F.col("batch") < batch_id).agg((F.max("high") - F.expr(f"INTERVAL {delay}")).alias("watermark"))
+        watermark = high.first()["watermark"]
+        closed = F.coalesce(F.col("w.end") <= F.lit(watermark).cast("timestamp"), F.lit(False))
+        rows = batch.withColumn("w", F.window("ts", width))
+        rows = rows.select("*", F.col("w.start").alias("window_start"), closed.alias("late")).drop("w")
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        done = spark.read.parquet(f"{folder}/rows/batch={batch_id}")
+        done.agg(F.max("ts").alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def late_counts(rows: DataFrame) -> DataFrame:
+    """Per window and type: what came in time and what came late, with its tokens."""
+    return rows.groupBy("window_start", "event_type").agg(
+        F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"), F.coalesce(F.sum(F.when(F.col("late"), F.col("tokens"))), F.lit(0)).alias("late_tokens"))
+
+
+def split_to_end(events: DataFrame, name: str = "late", **options) -> DataFrame:
+    """``late_split`` over all that has landed: its rows."""
+    folder = fresh_folder(events.sparkSession, name)
+    late_split(events, folder, f"{folder}/checkpoint", **options).trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.parquet(f"{folder}/rows")
+
+
 def dropped_by_watermark(progress: list) -> int:
     """Late rows a query dropped, summed over its progress records."""
     total = 0
@@ -110,7 +174,7 @@ def run_to_end(df: DataFrame, name: str) -> DataFrame:
 
 
 def run_recorded(df: DataFrame, name: str) -> tuple[DataFrame, list]:
-    """``run_to_end`` with the progress records of the run."""
+    """``run_to_end`` with the progress records of the run, the last hundred of them (``counted`` keeps all)."""
     folder = fresh_folder(df.sparkSession, name)
     q = (df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
