@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import strip_of
+
 INTENTS = ["CODE_EDIT", "BUG_FIX", "REFACTOR", "EXPLANATION", "CREATIVE_WRITING", "GENERAL_QA", "RESEARCH",
            "SUMMARIZATION", "ARCHITECTURE", "OTHER"]
 MODIFYING = ["CODE_EDIT", "BUG_FIX", "REFACTOR"]
@@ -124,7 +126,7 @@ def split_identifier(identifier: Column) -> Column:
 def code_artifacts(prompt: Column) -> Column:
     """Sorted distinct tokens that look like paths, files, calls or identifiers."""
     raw = F.filter(F.split(prompt, r"\s+"), lambda w: w != "")
-    pair = F.transform(raw, lambda r: F.struct(r.alias("raw"), F.regexp_replace(r, r"^[,;:\"'()?!.]+|[,;:\"'()?!.]+\z", "").alias("t")))
+    pair = F.transform(raw, lambda r: F.struct(r.alias("raw"), strip_of(r, r",;:\"'()?!.").alias("t")))
     ext = "(?i)(?:" + "|".join(e.replace(".", r"\.") for e in CODE_EXTENSIONS) + r")\z"
 
     def looks_like_code(x: Column) -> Column:
@@ -136,7 +138,7 @@ def code_artifacts(prompt: Column) -> Column:
             | (t.rlike(r"^.+\p{Lu}") & t.rlike(r"\p{Ll}") & name)
             | (t.contains("_") & name))
 
-    found = F.transform(F.filter(pair, looks_like_code), lambda x: F.regexp_replace(x["t"], r"^`+|`+\z", ""))
+    found = F.transform(F.filter(pair, looks_like_code), lambda x: strip_of(x["t"], "`"))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -146,7 +148,7 @@ def operation_count(lower: Column) -> Column:
     for b in CLAUSE_BREAKS:
         text = F.replace(text, F.lit(b), F.lit(","))
     verbs = lit_array(ACTION_VERBS)
-    trimmed = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))
+    trimmed = lambda c: F.transform(F.split(c, r"\s+"), lambda w: strip_of(w, r"^\p{L}\p{N}"))
     clauses = F.filter(F.split(text, ","), lambda c: F.arrays_overlap(trimmed(c), verbs))
     return F.greatest(F.size(clauses), F.lit(1))
 

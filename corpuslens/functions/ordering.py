@@ -55,6 +55,31 @@ def global_positions(
     )
 
 
+def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, since: str, payload: Sequence[str], width: int) -> DataFrame:
+    """Each row of ``left`` with the ``payload`` of the latest row of ``right`` of its keys with ``since <= at``; nulls without one.
+
+    Time (whole numbers) is cut into spans of ``width``. A span's rows are ordered among themselves; what stood when it
+    began is the latest row of the spans before it, found on one row per span. So a key that holds a third of all rows
+    is spread over its spans. Rows that share a ``since`` are told apart by the largest payload. Rows with a null key or
+    time find nothing and are found by nothing.
+    """
+    keys, payload = list(keys), list(payload)
+    span = lambda c: F.floor(F.col(c) / F.lit(width))
+    events = right.select(*keys, F.col(since).alias("_t"), F.struct(F.col(since).alias("_since"), *payload).alias("_seen")).where(F.col("_t").isNotNull())
+    events = events.select(*keys, span("_t").alias("_span"), "_t", "_seen")
+    asked = left.select(*keys, F.col(at).alias("_t")).where(F.col("_t").isNotNull()).distinct().withColumn("_span", span("_t"))
+    newest = events.groupBy(*keys, "_span").agg(F.max("_seen").alias("_newest"))
+    spans = newest.unionByName(asked.select(*keys, "_span").distinct(), allowMissingColumns=True).groupBy(*keys, "_span").agg(F.max("_newest").alias("_newest"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*keys, "_span", F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+    none = F.lit(None).cast(events.schema["_seen"].dataType)
+    both = events.withColumn("_asks", F.lit(0)).unionByName(asked.select(*keys, "_span", "_t", none.alias("_seen"), F.lit(1).alias("_asks")))
+    inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_asks", "_seen").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = both.withColumn("_latest", F.last("_seen", ignorenulls=True).over(inside)).where("_asks = 1")
+    found = latest.join(carried, [*keys, "_span"]).select(*keys, F.col("_t").alias(at), F.coalesce("_latest", "_carried").alias("_found"))
+    return left.join(found, [*keys, at], "left").select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in payload])
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Spark trims each input partition to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

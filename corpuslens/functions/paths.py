@@ -32,7 +32,8 @@ def file_name(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Parent directory, '' at the top."""
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    above = F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+    return F.when(F.contains(path, F.lit("/")), above).when(path.isNotNull(), "")
 
 
 def extension(path: Column) -> Column:
@@ -154,7 +155,7 @@ def in_skipped_dir(path: Column) -> Column:
 
 def consequential_kind(path: Column) -> Column:
     """Why a change to this path matters beyond the file itself; null when it does not."""
-    norm = slashes(F.regexp_replace(F.trim(path), r"^(?:\./)+", ""))
+    norm = slashes(F.regexp_replace(F.trim(path), r"^(?:\./)++", ""))
     low = F.lower(norm)
     name = F.substring_index(low, "/", -1)
     parts = F.split(low, "/")

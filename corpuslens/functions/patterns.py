@@ -42,7 +42,7 @@ GO = [
     ("interface", rf"^type\s+([A-Za-z_]{_W}*)\s+interface"),
 ]
 JVM = [
-    ("class", _JPUB + rf"(?:final\s+|abstract\s+|static\s+)*class\s+([A-Za-z_]{_W}*)"),
+    ("class", _JPUB + r"(?:final\s+|abstract\s+|static\s+){0,8}" + rf"class\s+([A-Za-z_]{_W}*)"),
     ("interface", _JPUB + rf"interface\s+([A-Za-z_]{_W}*)"),
     ("enum", _JPUB + rf"enum\s+([A-Za-z_]{_W}*)"),
 ]
@@ -58,8 +58,8 @@ EXTRACTORS = [
 EXTRACTED_LANGUAGES = [lang for langs, *_ in EXTRACTORS for lang in langs]
 
 IMPORTS = [
-    r"^\s*import\s+(?:.+\s+from\s+)?['\"]([^'\"]+)['\"]",
-    r"^\s*(?:const|let|var)\s+.+=\s*require\(['\"]([^'\"]+)['\"]\)",
+    r"^\s*import\s+(?:\S.*\sfrom\s+)?['\"]([^'\"]+)['\"]",
+    r"^\s*(?:const|let|var)\s+\S.*=\s*require\(['\"]([^'\"]+)['\"]\)",
     rf"^\s*from\s+({_W_DOT}+)\s+import\s",
     rf"^\s*import\s+({_W_DOT}+)",
     rf"^\s*use\s+([A-Za-z_]{_W_COLON}*)",

@@ -13,8 +13,16 @@ def byte_len(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without leading and trailing whitespace of any kind (``trim`` alone only drops blanks)."""
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    """Without leading and trailing whitespace of any kind (``trim`` alone only drops blanks).
+
+    Looks at both ends only; a pattern for the trailing run would start anew at every inner blank.
+    """
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def strip_of(text: Column, chars: str) -> Column:
+    """Without leading and trailing characters of a class. A trailing run is tried where it starts, not at each of its characters."""
+    return F.regexp_replace(text, rf"^[{chars}]++|(?<![{chars}])[{chars}]++\z", "")
 
 
 def human_bytes(size: Column) -> Column:

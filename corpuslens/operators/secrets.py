@@ -37,12 +37,11 @@ def redact_lines(files: DataFrame) -> DataFrame:
 
     Works inside the row: nothing is shuffled and no text is rebuilt by an aggregate.
     """
-    bad = lambda l: secrets.rule_of(l).isin([r for r, c, _ in secrets.RULES if c != "low"])
-    lines = text.line_array(F.col("content"))
-    shown = F.transform(lines, lambda l: F.when(F.coalesce(bad(l), F.lit(False)), F.lit(LINE_MARKER)).otherwise(l))
     hit = secrets.may_hold_secret(F.col("content"))
-    plain = F.array_join(lines, "\n")
-    redacted = F.when(hit, F.array_join(shown, "\n")).otherwise(plain)
-    n = (F.length(redacted) - F.length(F.replace(redacted, F.lit(LINE_MARKER), F.lit("")))) / len(LINE_MARKER)
-    already = (F.length("content") - F.length(F.replace("content", F.lit(LINE_MARKER), F.lit("")))) / len(LINE_MARKER)
-    return files.select("repo", "path", redacted.alias("text"), (n - already).cast("long").alias("redacted_lines"))
+    bad = lambda l: secrets.rule_of(l).isin([r for r, c, _ in secrets.RULES if c != "low"])
+    flagged = F.transform(text.line_array(F.col("content")), lambda l: F.struct(l.alias("line"), F.coalesce(bad(l), F.lit(False)).alias("bad")))
+    plain = F.transform(text.line_array(F.col("content")), lambda l: F.struct(l.alias("line"), F.lit(False).alias("bad")))
+    # the generator keeps the flags computed once for the text and for the count
+    once = files.select("repo", "path", F.inline(F.array(F.struct(F.when(hit, flagged).otherwise(plain).alias("lines")))))
+    shown = F.transform("lines", lambda l: F.when(l["bad"], F.lit(LINE_MARKER)).otherwise(l["line"]))
+    return once.select("repo", "path", F.array_join(shown, "\n").alias("text"), F.size(F.filter("lines", lambda l: l["bad"])).cast("long").alias("redacted_lines"))

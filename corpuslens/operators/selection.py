@@ -22,7 +22,7 @@ def _kind(spec: DataFrame, kind: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 def _directories(spec: DataFrame, by: tuple[str, ...]) -> DataFrame:
     d = _kind(spec, "directory", by)
-    return d.select(*by, "repo", F.col("path").alias("asked"), F.regexp_replace("path", r"/+\z", "").alias("dir"))
+    return d.select(*by, "repo", F.col("path").alias("asked"), F.rtrim("path", F.lit("/")).alias("dir"))
 
 
 def _chain(directory: Column) -> Column:
