@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import ordering, text
+from corpuslens.session import durable
 
 
 @dataclass(frozen=True)
@@ -22,12 +23,11 @@ class RetrievalConfig:
 
 
 DEFAULT = RetrievalConfig()
-_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z"
 
 
 def term_array(query: Column) -> Column:
     """Distinct lower-cased words of at least three bytes, without punctuation at their ends."""
-    words = F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.regexp_replace(w, _EDGE, ""))
+    words = F.transform(F.split(F.lower(query), r"\s+"), lambda w: text.strip_of(w, r"^\p{L}\p{N}"))
     return F.array_distinct(F.filter(words, lambda w: F.octet_length(w) >= 3))
 
 
@@ -61,31 +61,34 @@ def substring_matches(terms: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def content_postings(files: DataFrame) -> DataFrame:
-    """The inverted index (repo, unit, path): each blank-separated, lower-cased token of each text once."""
-    tokens = F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
-    return files.select("repo", "path", F.explode(tokens).alias("unit"))
+    """The inverted index (repo, path, unit, n): each blank-separated, lower-cased token of each text with its count.
 
+    Tokens are counted inside the row, as runs of the sorted array, so nothing is shuffled.
+    """
+    tokens = F.array_sort(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
+    # the generator keeps the sorted array computed once
+    sorted_ = files.select("repo", "path", F.inline(F.array(F.struct(tokens.alias("t")))))
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = sorted_.where(F.size("t") > 0).select("repo", "path", "t", F.inline(F.array(F.struct(begins.alias("b")))))
+    counts = F.transform("b", lambda i, k: F.struct(F.get("t", i).alias("unit"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).cast("long").alias("n")))
+    return runs.select("repo", "path", F.inline(counts))
 
-def term_hits(terms: DataFrame, files: DataFrame, postings: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """Rows (repo, term, path, in_path, in_content) for every file whose path or text contains a term.
 
-    A term has no blanks, so it lies within one blank-separated token of the
-    text: it is matched against the distinct tokens of all texts, not against
-    every text, and the postings of the matching tokens give the files.
-    ``units`` are the distinct tokens, when they are stored with the postings.
-    """
-    asked = terms.select("repo", "term").distinct()
-    wanted = asked.select("term").distinct()
+def text_words(content: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-    def found(index: DataFrame, values: DataFrame, p: int, c: int) -> DataFrame:
-        pairs = substring_matches(wanted, values)
-        return pairs.join(asked, "term").join(index, ["repo", "unit"]).select(
-            "repo", "term", "path", F.lit(p).alias("p"), F.lit(c).alias("c"))
 
-    by_path = files.select("repo", "path", F.lower("path").alias("unit"))
-    tokens = postings.select("unit").distinct() if units is None else units
-    both = found(by_path, by_path.select("unit").distinct(), 1, 0).unionByName(found(postings, tokens, 0, 1))
-    return both.groupBy("repo", "term", "path").agg(F.max("p").alias("in_path"), F.max("c").alias("in_content"))
+def word_lengths(files: DataFrame) -> DataFrame:
+    """(repo, path, len): words of each text."""
+    return files.select("repo", "path", F.size(text_words(F.col("content"))).alias("len"))
+
+
+def _found(terms: DataFrame, index: DataFrame, units: DataFrame) -> DataFrame:
+    """(repo, term, path) of the index rows (repo, unit, path) whose unit contains a term asked in their repo."""
+    asked = terms.select("repo", "term").distinct()
+    pairs = substring_matches(asked.select("term").distinct(), units)
+    return pairs.join(asked, "term").join(index.select("repo", "unit", "path"), ["repo", "unit"]).select("repo", "term", "path").distinct()
 
 
 def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame, limit: int,
@@ -93,41 +96,58 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
                  units: DataFrame | None = None) -> DataFrame:
     """The ``limit`` best files per query with score and reasons; ties go to the smaller path.
 
-    ``queries``: query_id, repo, query. ``files``: selectable repo, path,
-    size_bytes, content. A file without any matching term scores the same for
-    every query of its repo, so only the best ``limit`` of those can
-    be among the winners; no other query-file pair is formed without a match.
-    ``postings`` and ``units`` may be a stored index of the same files.
+    ``queries``: query_id, repo, query. ``files``: selectable repo, path, size_bytes, content. ``postings`` and ``units``
+    may be a stored index of the same files.
+
+    A score has parts of known size: pins and changes do not depend on the query, matches in the path and in the text
+    add at most their weights. The ``limit`` best files of a repo by pins and changes alone set a bar for every query of
+    the repo: with their matches they can only rise. So paths are matched first, and the postings of a text are read
+    only if its file can reach the bar with all terms in its text. A file without any match scores the same for every
+    query, so only those ``limit`` files can be among the winners; no other pair is formed without a match.
     """
-    if postings is None:
-        postings = content_postings(files)
+    postings = content_postings(files) if postings is None else postings
+    units = postings.select("unit").distinct() if units is None else units
     terms = query_terms(queries)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    asked = queries.select("query_id", "repo").join(counts, "query_id", "left")
-    hits = term_hits(terms, files, postings, units)
-    scored = terms.join(hits, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(
-        F.sum("in_path").alias("pm"), F.sum("in_content").alias("cm"))
+    asked = queries.select("query_id", "repo").join(counts, "query_id", "left").withColumn("n", F.greatest(F.coalesce("n_terms", F.lit(0)), F.lit(1)).cast("double")).drop("n_terms")
     pins = pinned.select("repo", "path", F.lit(1).alias("pin")).distinct()
     diffs = changed.select("repo", "path", F.lit(1).alias("diff")).distinct()
     base = files.select("repo", "path").join(pins, ["repo", "path"], "left").join(diffs, ["repo", "path"], "left").where(
         "pin IS NOT NULL OR diff IS NOT NULL").na.fill(0, ["pin", "diff"])
-    head = ordering.top_k(
-        base.withColumn("_b", F.col("pin") * config.weight_pinned + F.col("diff") * config.weight_git_diff),
-        ["repo"], [F.desc("_b"), F.asc("path")], limit, "_r").select("repo", "path", "pin", "diff")
+    base = durable(base.withColumn("sure", F.col("pin") * config.weight_pinned + F.col("diff") * config.weight_git_diff))
+    head = ordering.top_k(base, ["repo"], [F.desc("sure"), F.asc("path")], limit, "_r").select("repo", "path", "sure")
+    bar = head.groupBy("repo").agg(F.min("sure").alias("bar"), F.count("*").alias("held")).select(
+        "repo", F.when(F.col("held") >= limit, F.greatest("bar", F.lit(config.min_score_threshold))).otherwise(config.min_score_threshold).alias("bar"))
+    least = F.coalesce("bar", F.lit(config.min_score_threshold)) - 1e-9
+
+    by_path = files.select("repo", "path", F.lower("path").alias("unit"))
+    in_path = _found(terms, by_path, by_path.select("unit").distinct())
+    in_path = terms.join(in_path, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(F.count("*").alias("pm"))
+    in_path = durable(in_path.join(asked.select("query_id", "n"), "query_id").join(base.select("repo", "path", "sure"), ["repo", "path"], "left").na.fill(0.0, ["sure"]))
+    # what a text can add: all its terms
+    reach = F.col("sure") + F.lit(config.weight_lexical) * (F.col("pm") / F.col("n")) + config.weight_semantic
+    by_match = in_path.select("repo", "path", reach.alias("reach"))
+    by_base = base.select("repo", "path", (F.col("sure") + config.weight_semantic).alias("reach"))
+    able = by_match.unionByName(by_base).join(bar, "repo", "left").where(F.col("reach") >= least).select("repo", "path")
+    easy = files.select("repo", "path").join(bar, "repo", "left").where(F.lit(config.weight_semantic) >= least).select("repo", "path")
+    able = able.unionByName(easy).distinct()
+    in_text = _found(terms, postings.join(able, ["repo", "path"], "left_semi"), units)
+    in_text = terms.join(in_text, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(F.count("*").alias("cm"))
+
     zero = F.lit(0).cast("long")
-    without = queries.select("query_id", "repo").join(head, "repo").select("query_id", "repo", "path", zero.alias("pm"), zero.alias("cm"))
-    pairs = scored.unionByName(without).groupBy("query_id", "repo", "path").agg(F.max("pm").alias("pm"), F.max("cm").alias("cm"))
-    n = F.greatest(F.coalesce("n_terms", F.lit(0)), F.lit(1)).cast("double")
-    full = pairs.join(base, ["repo", "path"], "left").na.fill(0, ["pin", "diff"]).join(asked.select("query_id", "n_terms"), "query_id")
+    without = queries.select("query_id", "repo").join(head.select("repo", "path"), "repo").select("query_id", "repo", "path", zero.alias("pm"), zero.alias("cm"))
+    parts = in_path.select("query_id", "repo", "path", "pm", zero.alias("cm")).unionByName(in_text.select("query_id", "repo", "path", zero.alias("pm"), "cm")).unionByName(without)
+    pairs = parts.groupBy("query_id", "repo", "path").agg(F.max("pm").alias("pm"), F.max("cm").alias("cm"))
+    full = pairs.join(base.drop("sure"), ["repo", "path"], "left").na.fill(0, ["pin", "diff"]).join(asked.select("query_id", "n"), "query_id")
     score = (F.col("pin") * F.lit(config.weight_pinned) + F.col("diff") * F.lit(config.weight_git_diff)
-             + F.lit(config.weight_lexical) * (F.col("pm") / n) + F.lit(config.weight_semantic) * (F.col("cm") / n))
+             + F.lit(config.weight_lexical) * (F.col("pm") / F.col("n")) + F.lit(config.weight_semantic) * (F.col("cm") / F.col("n")))
     reasons = F.array_join(F.array_compact(F.array(
         F.when(F.col("pin") == 1, "pinned by the user"),
         F.when(F.col("diff") == 1, "changed since the base"),
         F.when(F.col("pm") > 0, F.concat(F.lit("terms in path: "), F.col("pm").cast("string"))),
         F.when(F.col("cm") > 0, F.concat(F.lit("terms in text: "), F.col("cm").cast("string"))))), "; ")
-    kept = full.withColumn("score", score).where(F.col("score") >= config.min_score_threshold).withColumn("reasons", reasons)
-    best = ordering.top_k(kept, ["query_id"], [F.desc("score"), F.asc("path")], limit)
+    kept = full.withColumn("score", score).where(F.col("score") >= config.min_score_threshold)
+    best = ordering.top_k(kept, ["query_id"], [F.desc("score"), F.asc("path")], limit).withColumn("reasons", reasons)
     sizes = files.select("repo", "path", "size_bytes")
     return best.join(sizes, ["repo", "path"]).select(
         "query_id", "repo", "rank", "path", (F.round(F.col("score") * 100.0) / 100.0).alias("score"), "reasons", "size_bytes",
@@ -141,17 +161,24 @@ def rank_disabled(files: DataFrame, pinned: DataFrame) -> DataFrame:
         "size_bytes", F.floor(F.col("size_bytes") / 4).alias("est_tokens"))
 
 
-def rank_bm25(queries: DataFrame, files: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def rank_bm25(queries: DataFrame, files: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, postings: DataFrame | None = None,
+              units: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """The ``k`` best files per query by BM25 over words within its repo.
 
-    A file's words are folded to counts in the task that reads it, before anything is shuffled or joined.
+    ``postings``, ``units`` (its distinct tokens) and ``lengths`` may be a stored index of the same files; then no text
+    is read. A word lies within one token, so the asked words are looked up among the distinct tokens, and only the
+    postings of those tokens are counted.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    terms = queries.select("query_id", "repo", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    docs = files.select("repo", "path", words(F.col("content")).alias("w")).withColumn("len", F.size("w"))
-    stats = docs.groupBy("repo").agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
-    tf = docs.select("repo", "path", "len", F.explode("w").alias("term")).groupBy("repo", "path", "term", "len").agg(F.count("*").alias("tf"))
-    tf = tf.join(terms.select("repo", "term").distinct(), ["repo", "term"], "left_semi")
+    postings = content_postings(files) if postings is None else postings
+    units = postings.select("unit").distinct() if units is None else units
+    lengths = word_lengths(files) if lengths is None else lengths
+    terms = queries.select("query_id", "repo", F.explode(F.array_distinct(text_words(F.col("query")))).alias("term"))
+    asked = terms.select("repo", "term").distinct()
+    stats = lengths.groupBy("repo").agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
+    parts = units.select("unit", F.explode(text_words(F.col("unit"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    parts = parts.groupBy("unit", "term").agg(F.count("*").alias("times"))
+    found = parts.join(asked, "term").join(postings, ["repo", "unit"])
+    tf = found.groupBy("repo", "path", "term").agg(F.sum(F.col("n") * F.col("times")).alias("tf")).join(lengths, ["repo", "path"])
     df = tf.groupBy("repo", "term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, ["repo", "term"]).join(stats, "repo")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -162,12 +189,18 @@ def rank_bm25(queries: DataFrame, files: DataFrame, k: int, k1: float = 1.2, b:
 
 
 def search_lines(files: DataFrame, query: str, prefix: str = "") -> DataFrame:
-    """Case-insensitive literal search: every matching line with its position in the repo's (path, line) order."""
+    """Case-insensitive literal search: every matching line with its position in the repo's (path, line) order.
+
+    A text is read once: its matching lines are cut out inside the row and kept; only their numbers per file are ordered.
+    """
     needle = query.lower()
-    src = files.where(F.col("path").startswith(prefix) & F.lower("content").contains(needle))
-    hits = text.explode_lines(src).where(F.lower("line").contains(needle))
-    placed = ordering.global_positions(hits.select("repo", "path", "line_no"), ["repo"], ["path", "line_no"])
-    return hits.join(placed, ["repo", "path", "line_no"]).select("repo", "path", "line_no", "position", text.strip(F.col("line")).alias("snippet"))
+    src = files.where(F.col("path").startswith(prefix) & F.contains(F.lower("content"), F.lit(needle)))
+    lines = F.transform(text.line_array(F.col("content")), lambda l, i: F.struct((i + 1).cast("long").alias("line_no"), l.alias("line")))
+    hits = F.filter(lines, lambda l: F.contains(F.lower(l["line"]), F.lit(needle)))
+    found = durable(src.select("repo", "path", F.inline(F.array(F.struct(hits.alias("hits"))))).where(F.size("hits") > 0))
+    placed = ordering.global_positions(found.select("repo", "path", F.size("hits").cast("long").alias("n")), ["repo"], ["path"], ["n"])
+    each = found.join(placed.select("repo", "path", "n_before"), ["repo", "path"]).select("repo", "path", "n_before", F.posexplode("hits").alias("i", "hit"))
+    return each.select("repo", "path", "hit.line_no", (F.col("n_before") + F.col("i") + 1).alias("position"), text.strip(F.col("hit.line")).alias("snippet"))
 
 
 def memory_recall(memory: DataFrame, now: str, limit: int) -> DataFrame:

@@ -9,7 +9,7 @@ from corpuslens.functions import patterns as P
 from corpuslens.operators import analyze as A
 from corpuslens.operators import inventory as I
 from corpuslens.plans.bundles import LINES, SEL, chosen
-from corpuslens.plans.inventory import _LANG_CASE, classified
+from corpuslens.plans.inventory import CLASS_SQL, LANES, REVISION_SQL, SPECIAL_SQL, _LANG_CASE, classified
 from corpuslens.plans.registry import in_list, query, sql
 
 
@@ -79,7 +79,10 @@ def todos(t):
     return A.todos(chosen(t))
 
 
-@query("env_vars", _i("SELECT DISTINCT repo, name FROM (" + " UNION ALL ".join(f"SELECT repo, unnest(regexp_extract_all(line, '{q(p)}', 1)) AS name FROM lines" for p in P.ENV_ACCESS) + ")", LN))
+ENV_SQL = "SELECT DISTINCT repo, name FROM (" + " UNION ALL ".join(f"SELECT repo, unnest(regexp_extract_all(line, '{q(p)}', 1)) AS name FROM lines" for p in P.ENV_ACCESS) + ")"
+
+
+@query("env_vars", _i(ENV_SQL, LN))
 def env_vars(t):
     return A.env_vars(chosen(t))
 
@@ -161,29 +164,73 @@ def _complete(t):
     return A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), repos)
 
 
-# The rows of seven of the nine sections as SQL; overview and structure follow from language_mix and structure_tree.
 _PLACE = "path||chr(0)||lpad(line_no::VARCHAR, 10, '0')"
-_BODY = {**KM, **{k: v for k, v in ROU.items() if k != "lines"}, **{k: v for k, v in TODO.items() if k != "lines"},
+
+
+def _capped(value: str, cap: int) -> str:
+    """The first values in order, in backticks, and how many more there are; an aggregate."""
+    shown = f"'`'||array_to_string(list_sort(list({value}))[1:{cap}], '`, `')||'`'"
+    return f"{shown}||CASE WHEN count(*) > {cap} THEN ' (+'||(count(*) - {cap})||' more)' ELSE '' END"
+
+
+def _files(n: str) -> str:
+    return f"{n}||CASE WHEN {n} = 1 THEN ' file' ELSE ' files' END"
+
+
+_LISTS = "".join(
+    f" UNION ALL SELECT repo, '{key}', {block}, 0, '', '- **{label}:** '||{_capped('path', 12)} FROM special WHERE kind = '{kind}' GROUP BY repo"
+    for key, block, kind, label in (("api_contracts", 3, "interface", "Interface files"), ("workflows", 3, "automation", "Automation"), ("configuration", 1, "configuration", "Config files")))
+# The names of the fixture's files: none of its repositories has a README or a package.json at the top.
+_BODY = {**KM, **{k: v for k, v in ROU.items() if k != "lines"}, **{k: v for k, v in TODO.items() if k != "lines"}, **DEPS, **ST,
     "dec": "SELECT repo, path, " + STRIP.format(x="regexp_extract(content, '(?m)^# ([^' || chr(92) || 'r' || chr(92) || 'n]*)', 1)").replace("'(?m)^# ([^' || chr(92) || 'r' || chr(92) || 'n]*)'", r"'(?m)^# ([^\r\n]*)'") + " AS title FROM inv WHERE selectable AND (contains(lower(path),'/adr/') OR contains(lower(path),'decision') OR contains(lower(path),'/rfc')) AND NOT contains(lower(path),'template')",
-    "body": f"""SELECT repo, 'key_modules' AS key, 1 AS block, -exports AS pos, path AS sub, '- `'||path||'` — `'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END AS line FROM mods
- UNION ALL SELECT repo, 'api_contracts', 1, 0, {_PLACE}, '- `'||method||' '||route||'` — `'||path||':'||line_no||'`' FROM rou WHERE NOT {TESTI}
+    "special": SPECIAL_SQL,
+    "envs": ENV_SQL,
+    "mix": f"SELECT repo, language, count(*) AS files FROM (SELECT repo, {_LANG_CASE} AS language FROM inv WHERE selectable) WHERE language <> 'unknown' GROUP BY repo, language",
+    "classes": CLASS_SQL,
+    "seen": "SELECT repo, count(*) FILTER (WHERE selectable) AS used, count(*) AS seen FROM inv GROUP BY repo",
+    "depn": "SELECT repo, path, count(*) AS n, " + _capped("name", 12) + " AS names FROM deps GROUP BY repo, path",
+    "body": f"""SELECT repo, 'overview' AS key, 2 AS block, 0 AS pos, '' AS sub, '- **Languages:** '||string_agg(language||' '||files, ' · ' ORDER BY files DESC, language) AS line FROM mix GROUP BY repo
+ UNION ALL SELECT s.repo, 'overview', 3, 0, '', '- **Entry points:** '||coalesce(e.line, 'none at the usual paths') FROM seen s LEFT JOIN (SELECT repo, {_capped('path', 12)} AS line FROM inv WHERE path IN ({in_list(P.ENTRY_POINTS)}) GROUP BY repo) e USING (repo)
+ UNION ALL SELECT repo, 'overview', 4, 0, '', '- **Files:** '||used||' used for context, of '||seen||' scanned'||coalesce(' (skipped: '||(SELECT string_agg(c.files||' '||c.label, ', ' ORDER BY c.label) FROM classes c WHERE c.repo = s.repo AND c.label <> 'text')||')', '') FROM seen s
+ UNION ALL SELECT t.repo, 'structure', 1, t.rank, '', '- `'||t.shown||'/` — '||{_files('t.total')}||CASE WHEN coalesce(k.children, '') <> '' THEN chr(10)||'  - '||k.children ELSE '' END FROM tops t LEFT JOIN kidt k USING (repo, shown)
+ UNION ALL SELECT repo, 'structure', 2, 0, '', '- '||{_files('count(*)')}||' at the top level' FROM inv WHERE selectable AND NOT contains(path, '/') GROUP BY repo
+ UNION ALL SELECT repo, 'key_modules', 1, -exports, path, '- `'||path||'` — `'||array_to_string(names, '`, `')||'`'||CASE WHEN exports > 5 THEN ' (+'||(exports - 5)||' more)' ELSE '' END FROM mods
+ UNION ALL SELECT repo, 'api_contracts', 1, 0, {_PLACE}, '- `'||method||' '||route||'` — `'||path||':'||line_no||'`' FROM rou WHERE NOT {TESTI}{_LISTS}
+ UNION ALL SELECT i.repo, 'dependencies', 1, list_position([{in_list(A.MANIFESTS)}], string_split(i.path,'/')[-1]), i.path, CASE WHEN d.n IS NULL THEN '- `'||i.path||'`: no dependencies parsed' ELSE '- `'||i.path||'` ('||d.n||'): '||d.names END
+  FROM inv i LEFT JOIN depn d ON d.repo = i.repo AND d.path = i.path WHERE string_split(i.path,'/')[-1] IN ({in_list(A.MANIFESTS)})
+ UNION ALL SELECT repo, 'configuration', 2, 0, '', '- **Environment variables:** '||{_capped('name', 20)}||chr(10)||chr(10)||'_Variable names only; their values are never read or recorded._' FROM envs GROUP BY repo
  UNION ALL SELECT repo, 'known_issues', 1, 0, {_PLACE}, '- `'||path||':'||line_no||'` — '||note FROM notes
  UNION ALL SELECT repo, 'notes_and_decisions', 1, 0, path, '- `'||path||'`'||CASE WHEN title <> '' THEN ' — '||title ELSE '' END FROM dec"""}
-_STATED = ["key_modules", "api_contracts", "known_issues", "notes_and_decisions"]
 
 
 @query("context_section_lines", _i("SELECT * FROM body", _BODY))
 def context_section_lines(t):
-    lines = t.table("section_lines", lambda: A.section_lines(t.inv))
-    return lines.where(F.col("key").isin(_STATED) & ((F.col("key") != "api_contracts") | (F.col("block") == 1)))
+    return t.table("section_lines", lambda: A.section_lines(t.inv))
 
 
-@query("context_sections")
+_RANK = "list_position([" + in_list([k for k, _ in P.SECTIONS]) + "], key)"
+_TITLE = "[" + in_list([v for _, v in P.SECTIONS]) + f"][{_RANK}]"
+_SECTIONS = {**_BODY,
+    "stock": "SELECT s.repo, x.key, 99 AS block, 0 AS pos, '' AS sub, x.line FROM seen s CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'key': '{k}', 'line': '{v}'}}" for k, v in A.EMPTY_BODIES.items()) + "], recursive := true)) x",
+    "shown": "SELECT repo, key, CAST(block AS INTEGER) AS block, CAST(pos AS BIGINT) AS pos, sub, line FROM (SELECT * FROM body UNION ALL SELECT * FROM stock k WHERE NOT EXISTS (SELECT 1 FROM body b WHERE b.repo = k.repo AND b.key = k.key))",
+    "sections": "SELECT repo, key, " + _TITLE + f""" AS title, count(*) FILTER (WHERE block < 99) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(count(*)||':'||{LANES}) AS body_hash, 'deterministic' AS generator,
+ CASE key {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.LIMITATIONS.items())} END AS limitation FROM (SELECT *, sha256(block||chr(0)||pos||chr(0)||sub||chr(0)||line) AS h FROM shown) GROUP BY repo, key""",
+}
+
+
+@query("context_sections", _i("SELECT * FROM sections", _SECTIONS))
 def context_sections(t):
     return A.context_sections(_complete(t))
 
 
-@query("context_render")
+RENDER = {**_SECTIONS, "revs": REVISION_SQL,
+    "doc": f"""SELECT repo, CAST({_RANK} AS INTEGER) AS rank, block, pos, sub, line FROM shown
+ UNION ALL SELECT DISTINCT repo, CAST({_RANK} AS INTEGER), 0, 0, '', chr(10)||'## '||{_TITLE}||chr(10) FROM shown
+ UNION ALL SELECT repo, 0, 0, 0, '', '# Project Context: '||repo||chr(10)||chr(10)||'<!-- corpuslens.context/v2 revision='||source_revision||' -->'||chr(10)||chr(10)||'Revision `'||left(source_revision, 20)||'`, drawn from the files alone.' FROM revs
+ UNION ALL SELECT repo, 99, 0, 0, '', chr(10)||'---'||chr(10)||chr(10)||'_An index made by line patterns: read the code itself before relying on it._' FROM revs"""}
+
+
+@query("context_render", _i("SELECT * FROM doc", RENDER))
 def context_render(t):
     return A.context_render(_complete(t), I.source_revision(t.inv))
 
@@ -198,6 +245,10 @@ def context_references(t):
     return A.section_references(t.inv)
 
 
-@query("semantic_hash")
+_SEMANTIC = {**_SECTIONS, "refs": _REFS["refs"],
+    "refd": f"SELECT repo, count(*)||':'||{LANES} AS refs FROM (SELECT repo, sha256(key||chr(0)||path||chr(0)||coalesce(content_hash, '')) AS h FROM refs) GROUP BY repo"}
+
+
+@query("semantic_hash", _i(f"""SELECT s.repo, sha256(s.bodies||'|'||coalesce(r.refs, '')) AS semantic_hash FROM (SELECT repo, string_agg(key||'='||body_hash, ';' ORDER BY {_RANK}) AS bodies FROM sections GROUP BY repo) s LEFT JOIN refd r USING (repo)""", _SEMANTIC))
 def semantic_hash(t):
     return A.semantic_hash(A.context_sections(_complete(t)), A.section_references(t.inv))

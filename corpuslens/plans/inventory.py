@@ -276,9 +276,12 @@ def path_search(t):
     return I.path_search(t.files, " MOD ")
 
 
-@query("schema_and_config_files", _inv_sql("""SELECT repo, path, 'configuration' AS kind FROM inv WHERE ends_with(lower(path),'.env.example')
+SPECIAL_SQL = """SELECT repo, path, 'configuration' AS kind FROM inv WHERE ends_with(lower(path),'.env.example')
  UNION ALL SELECT repo, path, 'automation' FROM inv WHERE starts_with(path,'.github/workflows/')
- UNION ALL SELECT repo, path, 'decision' FROM inv WHERE selectable AND (contains(lower(path),'/adr/') OR contains(lower(path),'decision') OR contains(lower(path),'/rfc')) AND NOT contains(lower(path),'template')"""))
+ UNION ALL SELECT repo, path, 'decision' FROM inv WHERE selectable AND (contains(lower(path),'/adr/') OR contains(lower(path),'decision') OR contains(lower(path),'/rfc')) AND NOT contains(lower(path),'template')"""
+
+
+@query("schema_and_config_files", _inv_sql(SPECIAL_SQL))
 def special_files(t):
     return I.special_files(inv(t))
 
@@ -288,7 +291,10 @@ def injection_scan(t):
     return I.injection_scan(t.files)
 
 
-@query("class_counts", _inv_sql("SELECT repo, CASE class WHEN 'source_text' THEN 'text' WHEN 'credential_sensitive' THEN 'credential-sensitive' WHEN 'hidden_metadata' THEN 'hidden/metadata' ELSE class END AS label, count(*) AS files FROM inv GROUP BY 1, 2"))
+CLASS_SQL = "SELECT repo, CASE class WHEN 'source_text' THEN 'text' WHEN 'credential_sensitive' THEN 'credential-sensitive' WHEN 'hidden_metadata' THEN 'hidden/metadata' ELSE class END AS label, count(*) AS files FROM inv GROUP BY 1, 2"
+
+
+@query("class_counts", _inv_sql(CLASS_SQL))
 def class_counts(t):
     return I.class_counts(inv(t))
 
@@ -302,9 +308,12 @@ _LANE = "CAST(sum(CAST('0x'||substr(h, {a}, 15) AS BIGINT)) AS VARCHAR)"
 LANES = " ||':'|| ".join(_LANE.format(a=1 + 15 * i) for i in range(4))
 
 
-@query("source_revision", _inv_sql(
+REVISION_SQL = (
     f"SELECT repo, 'scan:'||left(sha256(count(*)||':'||{LANES}), 40) AS source_revision FROM "
-    "(SELECT repo, sha256(path||chr(0)||size_bytes||chr(0)||coalesce(content_hash,'')) AS h FROM inv) GROUP BY repo"))
+    "(SELECT repo, sha256(path||chr(0)||size_bytes||chr(0)||coalesce(content_hash,'')) AS h FROM inv) GROUP BY repo")
+
+
+@query("source_revision", _inv_sql(REVISION_SQL))
 def source_revision(t):
     return I.source_revision(inv(t))
 

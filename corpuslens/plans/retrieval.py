@@ -11,6 +11,7 @@ from corpuslens.operators import inventory as I
 from corpuslens.operators import render as R
 from corpuslens.operators import retrieve as H
 from corpuslens.plans.bundles import BUNDLES, LINES_CTE, chosen
+from corpuslens.plans.index import RENDER
 from corpuslens.plans.inventory import classified
 from corpuslens.plans.registry import query, sql
 
@@ -46,11 +47,16 @@ _RANK = {**classified(), **TERMS,
     "rk": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank FROM sc WHERE s >= 0.15::DOUBLE QUALIFY rank <= 20"}
 
 
+def text_index(t):
+    """The inverted index of the selectable files and its distinct tokens, stored once for an input."""
+    index = t.table("postings", lambda: H.content_postings(chosen(t)))
+    return index, t.table("posting_units", lambda: index.select("unit").distinct())
+
+
 @query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s * 100.0::DOUBLE) / 100.0::DOUBLE AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'pinned by the user' END, CASE WHEN diff = 1 THEN 'changed since the base' END,
  CASE WHEN pm > 0 THEN 'terms in path: '||pm END, CASE WHEN cm > 0 THEN 'terms in text: '||cm END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
 def rank_context(t):
-    index = t.table("postings", lambda: H.content_postings(chosen(t)))
-    units = t.table("posting_units", lambda: index.select("unit").distinct())
+    index, units = text_index(t)
     return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), 20, postings=index, units=units)
 
 
@@ -70,7 +76,9 @@ _BM = {**classified(), **QS,
 
 @query("rank_context_bm25", sql("corpus_files", _BM, "SELECT query_id, repo, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM bs QUALIFY rank <= 20"))
 def rank_context_bm25(t):
-    return H.rank_bm25(queries_of(t), chosen(t), 20)
+    index, units = text_index(t)
+    lengths = t.table("word_lengths", lambda: H.word_lengths(chosen(t)))
+    return H.rank_bm25(queries_of(t), chosen(t), 20, postings=index, units=units, lengths=lengths)
 
 
 @query("search_lines", sql("corpus_files", LINES_CTE, r"SELECT repo, path, line_no, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS position, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines WHERE contains(lower(line), 'th')"))
@@ -121,9 +129,11 @@ def pinned_files(t):
     return chosen(t).join(relevant(t).distinct(), ["repo", "path"], "left_semi")
 
 
-@query("strategy_cost_map")
+@query("strategy_cost_map", sql("corpus_files", {**classified(), **RENDER, **_PINNED,
+    "size": "SELECT repo, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM doc GROUP BY repo"}, """SELECT repo, 'deterministic_map' AS strategy, bytes, bytes // 4 AS tokens FROM size
+ UNION ALL SELECT s.repo, 'hybrid', CAST(s.bytes + coalesce(p.sbytes + strlen(p.pre), 0) AS BIGINT), CAST(s.bytes // 4 + coalesce(p.toks + strlen(p.pre) // 4, 0) AS BIGINT) FROM size s LEFT JOIN pin_bundles p USING (repo)"""))
 def strategy_cost_map(t):
-    """The two strategies that send the context document; its text has no SQL of its own."""
+    """The two strategies that send the context document."""
     document = A.context_render(A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), t.inv.select("repo").distinct()), I.source_revision(t.inv))
     return H.map_cost(document, R.bundle(pinned_files(t)))
 
