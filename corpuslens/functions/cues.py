@@ -107,14 +107,26 @@ def stems(lower: Column) -> Column:
     return F.array_distinct(F.concat(words, F.flatten(cut)))
 
 
-def hits(stem_col: Column, lower: Column, phrases: list[str]) -> Column:
-    """How many of ``phrases`` occur: phrases with a blank, '-' or ';' as substrings, words by stem."""
-    plain = [p for p in phrases if not any(c in p for c in " -;")]
-    other = [p for p in phrases if p not in plain]
-    n = F.size(F.array_intersect(stem_col, lit_array(plain))) if plain else F.lit(0)
-    for p in other:
-        n = n + F.when(F.contains(lower, F.lit(p)), 1).otherwise(0)
-    return n
+def is_plain(phrase: str) -> bool:
+    return not any(c in phrase for c in " -;")
+
+
+def found_cues(stem_col: Column, lower: Column, phrases: list[str]) -> Column:
+    """Those of ``phrases`` that occur, once each: phrases with a blank, '-' or ';' as substrings, words by stem."""
+    plain = [p for p in phrases if is_plain(p)]
+    other = [p for p in phrases if not is_plain(p)]
+    return F.concat(F.array_intersect(stem_col, lit_array(plain)), F.filter(lit_array(other), lambda p: F.contains(lower, p)))
+
+
+def hits(cues: Column, phrases: list[str]) -> Column:
+    """How many of ``phrases`` are among the found ones."""
+    return F.size(F.array_intersect(cues, lit_array(phrases)))
+
+
+def every_phrase() -> list[str]:
+    """All phrases that any score asks for."""
+    lists = [p for _, _, p in INTENT_CUES] + [p for _, p in DOMAIN_TERMS + RISK_TERMS] + [HARD_REASONING, ["architecture"]]
+    return list(dict.fromkeys(p for phrases in lists for p in phrases))
 
 
 def split_identifier(identifier: Column) -> Column:
@@ -142,22 +154,45 @@ def code_artifacts(prompt: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def operation_count(lower: Column) -> Column:
-    """Clauses that carry an action verb, at least one."""
+def clause_marks(lower: Column) -> Column:
+    """For each clause, whether it carries an action verb."""
     text = lower
     for b in CLAUSE_BREAKS:
         text = F.replace(text, F.lit(b), F.lit(","))
     verbs = lit_array(ACTION_VERBS)
     trimmed = lambda c: F.transform(F.split(c, r"\s+"), lambda w: strip_of(w, r"^\p{L}\p{N}"))
-    clauses = F.filter(F.split(text, ","), lambda c: F.arrays_overlap(trimmed(c), verbs))
-    return F.greatest(F.size(clauses), F.lit(1))
+    return F.transform(F.split(text, ","), lambda c: F.arrays_overlap(trimmed(c), verbs))
+
+
+def operation_count(marks: Column) -> Column:
+    """Clauses that carry an action verb, at least one."""
+    return F.greatest(F.size(F.filter(marks, lambda m: m)), F.lit(1))
+
+
+def _det(w: Column) -> Column:
+    return F.array_contains(lit_array(DEICTIC), w)
+
+
+def _noun(w: Column) -> Column:
+    return F.array_contains(lit_array(CODE_NOUNS), w)
 
 
 def deictic_refs(words: Column) -> Column:
     """A determiner followed by a code noun one or two words on; the two- and three-word windows both count."""
     n = F.size(words)
-    noun = lambda i: F.array_contains(lit_array(CODE_NOUNS), F.element_at(words, i))
-    det = lambda i: F.array_contains(lit_array(DEICTIC), F.element_at(words, i))
-    three = F.when(n >= 3, F.size(F.filter(F.sequence(F.lit(1), n - 2), lambda i: det(i) & (noun(i + 1) | noun(i + 2))))).otherwise(0)
-    two = F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: det(i) & noun(i + 1)))).otherwise(0)
+    at = lambda i: F.element_at(words, i)
+    three = F.when(n >= 3, F.size(F.filter(F.sequence(F.lit(1), n - 2), lambda i: _det(at(i)) & (_noun(at(i + 1)) | _noun(at(i + 2)))))).otherwise(0)
+    two = F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: _det(at(i)) & _noun(at(i + 1))))).otherwise(0)
+    return three + two
+
+
+def deictic_across(tail: Column, head: Column) -> Column:
+    """What ``deictic_refs`` counts of windows that begin in the last words of one text and end in the first of the next.
+
+    ``tail`` and ``head`` hold up to two words each.
+    """
+    both, t = F.concat(tail, head), F.size(tail)
+    at = lambda i: F.get(both, i)
+    three = F.size(F.filter(F.sequence(F.lit(0), F.lit(1)), lambda p: (p < t) & (p + 2 < F.size(both)) & _det(at(p)) & (_noun(at(p + 1)) | _noun(at(p + 2)))))
+    two = F.when((t > 0) & (F.size(head) > 0) & _det(at(t - 1)) & _noun(at(t)), 1).otherwise(0)
     return three + two
