@@ -8,7 +8,7 @@ from corpuslens.functions import ordering
 from corpuslens.functions import patterns as P
 from corpuslens.operators import analyze as A
 from corpuslens.operators import inventory as I
-from corpuslens.plans.bundles import LINES, SEL, chosen
+from corpuslens.plans.bundles import FOUND, LINES, SEL, chosen
 from corpuslens.plans.inventory import CLASS_SQL, LANES, REVISION_SQL, SPECIAL_SQL, _LANG_CASE, classified
 from corpuslens.plans.registry import in_list, query, sql
 
@@ -159,9 +159,30 @@ def unsupported_languages(t):
     return A.unsupported_languages(t.inv)
 
 
+def extracts(t):
+    """What the lines of the selectable files give, from one pass over the texts."""
+    return t.table("extracts", lambda: A.line_extracts(chosen(t)))
+
+
+def section_rows(t):
+    return t.table("section_lines", lambda: A.section_lines(t.inv, extracts=extracts(t)))
+
+
 def _complete(t):
     repos = t.inv.select("repo").distinct()
-    return A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), repos)
+    return A.complete_sections(section_rows(t), repos)
+
+
+_FIND = {**SYM, **{k: v for k, v in IMP.items() if k != "lines"}, **{k: v for k, v in ROU.items() if k != "lines"}, **{k: v for k, v in TODO.items() if k != "lines"},
+    "hits": "SELECT repo, path, line_no, 'symbol' AS what, name, kind AS detail, exported FROM syms UNION ALL SELECT repo, path, line_no, 'route', route, method, NULL FROM rou UNION ALL SELECT repo, path, line_no, 'todo', note, NULL, NULL FROM notes"
+    + " UNION ALL SELECT repo, path, line_no, 'import', module, NULL, NULL FROM (SELECT repo, path, line_no, coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{q(p)}', 1), '')" for p in P.IMPORTS) + ") AS module FROM lines) WHERE module IS NOT NULL"
+    + "".join(f" UNION ALL SELECT repo, path, line_no, 'env', unnest(regexp_extract_all(line, '{q(p)}', 1)), NULL, NULL FROM lines" for p in P.ENV_ACCESS)
+    + " UNION ALL SELECT repo, path, line_no, 'secret', rule, redacted_excerpt, NULL FROM found WHERE EXISTS (SELECT 1 FROM inv i WHERE i.repo = found.repo AND i.path = found.path AND i.selectable)"}
+
+
+@query("line_extracts", _i("SELECT * FROM hits", {"all_lines": FOUND["lines"], **{k: v.replace("FROM lines", "FROM all_lines") for k, v in FOUND.items() if k != "lines"}, **_FIND}))
+def line_extracts(t):
+    return extracts(t).drop("language")
 
 
 _PLACE = "path||chr(0)||lpad(line_no::VARCHAR, 10, '0')"
@@ -205,7 +226,7 @@ _BODY = {**KM, **{k: v for k, v in ROU.items() if k != "lines"}, **{k: v for k,
 
 @query("context_section_lines", _i("SELECT * FROM body", _BODY))
 def context_section_lines(t):
-    return t.table("section_lines", lambda: A.section_lines(t.inv))
+    return section_rows(t)
 
 
 _RANK = "list_position([" + in_list([k for k, _ in P.SECTIONS]) + "], key)"
@@ -242,7 +263,7 @@ _REFS = {**_BODY, "refs": f"""SELECT DISTINCT x.repo, x.key, x.path, i.content_h
 
 @query("context_references", _i("SELECT * FROM refs", _REFS))
 def context_references(t):
-    return A.section_references(t.inv)
+    return A.section_references(t.inv, extracts(t))
 
 
 _SEMANTIC = {**_SECTIONS, "refs": _REFS["refs"],
@@ -251,4 +272,4 @@ _SEMANTIC = {**_SECTIONS, "refs": _REFS["refs"],
 
 @query("semantic_hash", _i(f"""SELECT s.repo, sha256(s.bodies||'|'||coalesce(r.refs, '')) AS semantic_hash FROM (SELECT repo, string_agg(key||'='||body_hash, ';' ORDER BY {_RANK}) AS bodies FROM sections GROUP BY repo) s LEFT JOIN refd r USING (repo)""", _SEMANTIC))
 def semantic_hash(t):
-    return A.semantic_hash(A.context_sections(_complete(t)), A.section_references(t.inv))
+    return A.semantic_hash(A.context_sections(_complete(t)), A.section_references(t.inv, extracts(t)))

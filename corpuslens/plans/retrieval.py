@@ -11,7 +11,7 @@ from corpuslens.operators import inventory as I
 from corpuslens.operators import render as R
 from corpuslens.operators import retrieve as H
 from corpuslens.plans.bundles import BUNDLES, LINES_CTE, chosen
-from corpuslens.plans.index import RENDER
+from corpuslens.plans.index import RENDER, section_rows
 from corpuslens.plans.inventory import classified
 from corpuslens.plans.registry import query, sql
 
@@ -134,7 +134,7 @@ def pinned_files(t):
  UNION ALL SELECT s.repo, 'hybrid', CAST(s.bytes + coalesce(p.sbytes + strlen(p.pre), 0) AS BIGINT), CAST(s.bytes // 4 + coalesce(p.toks + strlen(p.pre) // 4, 0) AS BIGINT) FROM size s LEFT JOIN pin_bundles p USING (repo)"""))
 def strategy_cost_map(t):
     """The two strategies that send the context document."""
-    document = A.context_render(A.complete_sections(t.table("section_lines", lambda: A.section_lines(t.inv)), t.inv.select("repo").distinct()), I.source_revision(t.inv))
+    document = A.context_render(A.complete_sections(section_rows(t), t.inv.select("repo").distinct()), I.source_revision(t.inv))
     return H.map_cost(document, R.bundle(pinned_files(t)))
 
 

@@ -98,3 +98,41 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         time.sleep(1.1)
     _, q = run(S.run_tumbling(S.read_events(spark, folder, files_per_trigger=1)), "late")
     assert S.dropped_by_watermark(q.recentProgress) >= 1
+
+
+def test_approvals_out_of_order(spark, tmp_path):
+    # the search lands before the edit it decides, and an edit lands after later ones of its user
+    rows = [[(2, "2024-01-01 00:10:00", 1, "click", 1.0, ""), (9, "2024-01-01 00:12:00", 2, "purchase", 1.0, "")],
+            [(1, "2024-01-01 00:05:00", 1, "purchase", 1.0, ""), (3, "2024-01-01 00:11:00", 1, "purchase", 1.0, ""), (10, "2024-01-01 00:03:00", 2, "purchase", 1.0, "")],
+            [(4, "2024-01-01 00:13:00", 2, "click", 1.0, ""), (11, "2024-01-01 00:14:00", 1, "purchase", 1.0, "")],
+            [(5, "2024-01-01 05:00:00", 3, "click", 1.0, "")], [(6, "2024-01-01 06:00:00", 3, "click", 1.0, "")]]
+    folder = events_folder(spark, tmp_path, rows)
+    got, _ = run(S.approval_ttl(S.read_events(spark, folder, files_per_trigger=1)), "ttl_order")
+    spark.read.parquet(folder).createOrReplaceTempView("events")
+    from corpuslens.sources.overlay import RUN_EVENTS
+
+    batch = {(r.user_id, r.approval_id, "approved" if r.decided_ts else "expired") for r in L.approvals(spark.sql(RUN_EVENTS)).collect()}
+    assert {(r.user_id, r.approval_id, r.state) for r in got.collect()} == batch and got.count() == len(batch) == 5
+
+
+def test_progress_of_150_micro_batches(spark, tmp_path):
+    spark.range(150).selectExpr("'r' as repo", "cast(id as string) as path", "repeat('x', cast(id as int)) as content", "timestamp'2024-01-01' as landed_ts").repartition(150, "path").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "in"))
+    seen = S.count_to_end(S.read_files(spark, str(tmp_path / "in"), files_per_trigger=1)).collect()
+    assert len(seen) == len({r.batch for r in seen}) >= 150  # more than a progress record holds
+    assert sum(r.files_seen for r in seen) == 150 and sum(r.bytes_seen for r in seen) == sum(range(150))
+
+
+def test_late_rows_are_a_branch_of_their_own(spark, tmp_path):
+    import time
+
+    folder = str(tmp_path / "ev")
+    batches = [["10:00:00", "10:01:00"], ["12:00:00"], ["11:25:00", "11:29:59", "11:31:00", "10:05:00", "12:10:00"]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(10 * i + k, f"2024-01-01 {ts}", 1, "view", 1.0, "") for k, ts in enumerate(rows)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    rows = S.split_to_end(S.read_events(spark, folder, files_per_trigger=1))
+    # the watermark of the third batch is 11:30; the windows that end then or before are closed
+    assert {r.sequence for r in rows.where("late").collect()} == {20, 21, 23} and rows.count() == 8
+    counts = {str(r.window_start)[11:16]: (r.on_time, r.late, r.late_tokens) for r in S.late_counts(rows).collect()}
+    assert counts["11:20"] == (0, 2, 200) and counts["10:00"] == (2, 1, 100) and counts["11:30"] == (1, 0, 0)
