@@ -13,13 +13,10 @@ from corpuslens.llm.common import boxed, components, gram_hashes, mix64, renewed
 
 #: Words of a shingle, the overlap that links, bands and rows: a pair at the threshold is met with probability 0.9999.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-#: Pairs whose estimated overlap lies this many standard deviations below the threshold are not looked up in the texts.
-#: At six, a pair at the threshold itself is passed over once in some hundred million.
-DOUBT = 6.0
 #: In buckets of more members than LARGE, those outside the largest component meet so many more leaders out of it.
 LARGE, TURNS = 32, 2
-#: Members of a bucket that are compared by signature in one task, and pairs of them looked up in the texts at once.
-BLOCK, PAIRS = 1024, 128
+#: Members of a bucket that are compared in one task, bytes of their texts at a time, shingles of a matrix.
+BLOCK, PART, COLUMNS = 1024, 1 << 22, 4096
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -129,7 +126,7 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text, its band keys (none where there are no words) and one byte of each signature value."""
+    """doc_id, digest of the text and its band keys (none where there are no words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests, texts = batch.columns
@@ -141,12 +138,11 @@ def sign(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame
                 has = np.zeros(j - i, bool)
                 has[row] = True
                 offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
-                short = pa.array([v.tobytes() for v in values.astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(offsets, keys[has].ravel())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), digests.slice(i, j - i), lists, short], ["doc_id", "digest", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), digests.slice(i, j - i), lists], ["doc_id", "digest", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest string, bands array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, digest string, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -180,50 +176,76 @@ def _open(live: DataFrame) -> DataFrame:
     ).where("comps > 1")
 
 
-def _links_inside(live: DataFrame, known: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
-    """Links a-b between different components of a bucket, found by signature and checked on the texts in the same task."""
+def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, elements of each row): a row's shingles, one that occurs n times as n different elements.
+
+    The overlap of two multisets is the overlap of their sets of elements.
+    """
+    row, hashes, count = bags(column)
+    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        element = mix64(np.repeat(hashes, count) + turn.astype(np.uint64) * _C[1])
+    row = np.repeat(row, count)
+    return row, element, np.bincount(row, minlength=len(column))
+
+
+def shared_elements(a: tuple, b: tuple) -> np.ndarray:
+    """(rows of a x rows of b) numbers of common elements, by products of 0/1 matrices over the elements both sides have."""
+    common = np.intersect1d(a[1], b[1])
+    both = np.zeros((len(a[2]), len(b[2])), np.float32)  # whole numbers, far below what a float holds exactly
+    sides = []
+    for row, element, _ in (a, b):
+        at = np.minimum(np.searchsorted(common, element), max(len(common) - 1, 0))
+        own = common[at] == element if len(common) else np.zeros(len(element), bool)
+        order = np.argsort(at[own], kind="stable")
+        sides.append((row[own][order], at[own][order]))
+    for begin in range(0, len(common), COLUMNS):
+        parts = []
+        for (row, at), n in zip(sides, both.shape):
+            i, j = np.searchsorted(at, (begin, begin + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[row[i:j], at[i:j] - begin] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both
+
+
+def _links_inside(live: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links a-b between different components of a bucket: its members outside the largest component against all others.
+
+    Both sides are cut into blocks of bounded size. A task counts the common shingles of all pairs of two blocks at
+    once and returns only links that join components, so a block returns fewer links than it has members.
+    """
     open_ = _open(live)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(known, "node")
+    members = live.join(open_.select("key", "main", blocks("outside").alias("n_out"), blocks("all").alias("n_all")), "key").join(texts, "node")
     members = table(members.withColumn("outside", F.col("comp") != F.col("main")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    names = ["key", "i", "j", "band", "node", "comp", "outside", "sig", "bands", "text"]
+    names = ["key", "i", "j", "node", "comp", "outside", "text"]
     left = members.where("outside").withColumn("i", own("n_out")).withColumn("j", every("n_all")).select(*names)
     right = members.withColumn("j", own("n_all")).withColumn("i", every("n_out")).select(*names)
-    slots = bands * per_band
-    least = slots * (threshold - DOUBT * np.sqrt(threshold * (1 - threshold) / slots))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
+        found = [(np.zeros(0, np.int64),) * 2]
         if a.num_rows and b.num_rows:
-            x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, slots) for t in (a, b))
-            met_x, met_y = (t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, bands) for t in (a, b))
-            na, nb = (t.column("node").to_numpy() for t in (a, b))
+            node = [t.column("node").to_numpy() for t in (a, b)]
             names, label = np.unique(np.concatenate([t.column("comp").to_numpy() for t in (a, b)]), return_inverse=True)
             into = np.arange(len(names))  # components that links found here have joined
-            ca, cb = label[: len(na)], label[len(na) :]
-            both, band = b.column("outside").to_numpy(), a.column("band")[0].as_py()
-            left_text, right_text = a.column("text"), b.column("text")
-            for i in range(0, len(x), 32):
-                same = (x[i : i + 32, None, :] == y[None, :, :]).sum(axis=2)
-                p, q = np.nonzero((same >= least) & (into[ca[i : i + 32, None]] != into[cb]) & (~both | (na[i : i + 32, None] < nb)))
-                p, order = p + i, np.argsort(-same[p, q], kind="stable")  # likely links first: they settle many of the others
-                p, q = p[order], q[order]
-                earlier = (met_x[p, :band] == met_y[q, :band]).any(axis=1)  # the pair is compared where it first meets
-                p, q = p[~earlier], q[~earlier]
-                while len(p):
-                    pp, qq = p[:PAIRS], q[:PAIRS]
-                    link = overlap(left_text.take(pa.array(pp)), right_text.take(pa.array(qq))) >= threshold
-                    found.append((np.minimum(na[pp[link]], nb[qq[link]]), np.maximum(na[pp[link]], nb[qq[link]])))
-                    for u, v in zip(ca[pp[link]], cb[qq[link]]):
-                        u, v = into[u], into[v]
+            comp = label[: a.num_rows], label[a.num_rows :]
+            parts = [[(i, j, elements(t.column("text").combine_chunks().slice(i, j - i))) for i, j in slices(t.column("text").combine_chunks(), PART)] for t in (a, b)]
+            for i, _, x in parts[0]:
+                for j, _, y in parts[1]:
+                    common = shared_elements(x, y).astype(np.float64)
+                    total = x[2][:, None] + y[2][None, :] - common
+                    p, q = np.nonzero((common > 0) & (np.divide(common, total, out=common, where=total > 0) >= threshold))
+                    p, q = p + i, q + j
+                    for k in np.flatnonzero(into[comp[0][p]] != into[comp[1][q]]):
+                        u, v = into[comp[0][p[k]]], into[comp[1][q[k]]]
                         if u != v:
                             into[into == max(u, v)] = min(u, v)
-                    p, q = p[PAIRS:], q[PAIRS:]
-                    open_ = into[ca[p]] != into[cb[q]]
-                    p, q = p[open_], q[open_]
-        return pa.table({k: pa.array(np.concatenate([f[n] for f in found]) if found else [], pa.int64()) for n, k in enumerate("ab")})
+                            found.append((node[0][p[k : k + 1]], node[1][q[k : k + 1]]))
+        return pa.table({k: pa.array(np.concatenate([f[n] for f in found]), pa.int64()) for n, k in enumerate("ab")})
 
     keys = ["key", "i", "j"]
     return left.groupBy(*keys).cogroup(renewed(right).groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
@@ -241,13 +263,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
     Band buckets are never expanded into all pairs. First the members of a bucket are compared with one of them, picked
     by hash, and links are closed to components; in large buckets the members outside the largest component then meet
     TURNS further members of it. What is still open in a bucket has a member outside its largest component: those
-    members are compared with all others by their signatures, in blocks of bounded size that return only links: a pair
-    whose signatures may reach the threshold is checked on the texts, in the first band it shares, unless links found
-    before have joined its components.
+    members are compared with all others, in blocks of bounded size: a task counts the common shingles of all pairs of
+    two blocks exactly and returns only links that join components.
     """
     signed = table(sign(docs, bands, per_band))
     nodes = table(
-        signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+        signed.where(F.size("bands") > 0).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())  # written once, so ids stay
     )
     met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -273,7 +294,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
         pairs = members.where("comp <> main").join(lead, "key").select("a", F.col("node").alias("b")).distinct()
         comps = _merged(comps, verified(pairs, texts, threshold))
         live = named_(live.drop("comp"))
-    comps = _merged(comps, _links_inside(live, nodes.select("node", "sig", "bands").join(texts, "node"), threshold, bands, per_band))
+    comps = _merged(comps, _links_inside(live, texts, threshold))
     named = nodes.select("node", "digest", "first_id")
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "digest")
