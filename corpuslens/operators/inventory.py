@@ -183,6 +183,10 @@ def invalid_rules(rules: DataFrame) -> DataFrame:
     return compile_rules(rules).where("NOT valid").select("repo", "base", "ordinal", "pattern")
 
 
+#: Pieces that the paths of one repository are dealt to where each meets all pattern rules of the repository.
+SALTS = 32
+
+
 def _verdicts(units: DataFrame, rules: DataFrame) -> DataFrame:
     """(repo, path, is_dir, rule, source_rank, ignored): the strongest matching rule of each unit that has one.
 
@@ -198,7 +202,9 @@ def _verdicts(units: DataFrame, rules: DataFrame) -> DataFrame:
     hits = [
         u.join(of("extension").withColumnRenamed("word", "ext"), ["repo", "ext"]).where(fits),
         u.join(of("name").withColumnRenamed("word", "name"), ["repo", "name"]).where(fits),
-        u.join(of("pattern"), "repo").where(fits & F.rlike(relative, F.col("regex"))),
+        u.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))).join(
+            of("pattern").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["repo", "salt"]
+        ).where(fits & F.rlike(relative, F.col("regex"))),
     ]
     rank = F.struct("source_rank", "depth", "ordinal")
     every = reduce(DataFrame.unionByName, [h.select("repo", "path", "is_dir", rank.alias("rank"), "pattern", "negated") for h in hits])
