@@ -140,10 +140,10 @@ def train(docs: DataFrame) -> Model:
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("m"))
-    picked = picked.select(F.col("lang").alias("of"), F.col("m.doc_id").alias("id"))
+    ids = sorted({r[0] for r in picked.select("m.doc_id").collect()})
     head = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)
-    # rows that repeat an id fold to one, so that what comes to the driver is bounded by the languages
-    rows = usable.join(picked, (F.col("lang") == F.col("of")) & (F.col("doc_id") == F.col("id"))).groupBy("lang", "doc_id").agg(F.min(head).alias("text"))
+    # rows that repeat an id fold to one, so that what comes to the driver is bounded by the languages; no text is shuffled
+    rows = usable.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min(head).alias("text"))
     texts: dict[str, str] = {}
     for lang, _, text in sorted(map(tuple, rows.collect())):
         texts[lang] = f"{texts.get(lang, '')} {letters(text)}".strip()
