@@ -64,15 +64,18 @@ def explode_lines(df: DataFrame, text: str = "content", keep: tuple[str, ...] =
 
 
 def number_lines(text: Column) -> Column:
-    lines = line_array(text)
-    width = F.length(F.size(lines).cast("string"))
-    return F.array_join(
-        F.transform(
-            lines,
-            lambda l, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(" | "), l, F.lit("\n")),
-        ),
-        "",
-    )
+    """Each line behind its right-aligned number. The line array is bound as a variable: a lambda would split the text anew for every line."""
+    def numbered(lines: Column) -> Column:
+        width = F.length(F.size(lines).cast("string"))
+        return F.array_join(
+            F.transform(
+                lines,
+                lambda l, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(" | "), l, F.lit("\n")),
+            ),
+            "",
+        )
+
+    return F.get(F.transform(F.array(line_array(text)), numbered), F.lit(0))
 
 
 def truncate_utf8(text: Column, limit: int) -> Column:

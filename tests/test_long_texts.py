@@ -85,3 +85,14 @@ def test_lines_that_hold_the_marker_are_counted(spark):
     df = spark.createDataFrame([("r", "a", f"{E.LINE_MARKER}\n{bad} {E.LINE_MARKER}\n{bad}\nfine"), ("r", "b", None), ("r", "c", "")], "repo string, path string, content string")
     got = {r.path: (r.text, r.redacted_lines) for r in E.redact_lines(df).collect()}
     assert got["a"] == (f"{E.LINE_MARKER}\n{E.LINE_MARKER}\n{E.LINE_MARKER}\nfine", 2) and got["c"] == ("", 0)
+
+
+def test_line_numbers_of_a_long_text(spark):
+    """The text is split once, not once more for every line."""
+    n = 20_000
+    one = spark.createDataFrame([("x\n" * n,), ("a\n\nb",), ("",), (None,)], "content string")
+    start = time.time()
+    got = [r.t for r in one.select(text.number_lines(F.col("content")).alias("t")).collect()]
+    assert time.time() - start < 15
+    assert got[0] == "".join(f"{i:>5} | x\n" for i in range(1, n + 1))
+    assert got[1:] == ["1 | a\n2 | \n3 | b\n", "", None]
