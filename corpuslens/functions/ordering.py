@@ -1,4 +1,4 @@
-"""Order-dependent values over groups of any size.
+"""Order-dependent values over groups of any size, and a test of keys that needs no shuffle.
 
 A plain window puts a whole group into one task. Here the rows are range
 partitioned on (keys, order), so a group that holds a third of all rows is
@@ -86,6 +86,23 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def likely_in(keys: DataFrame):
+    """A test whether a row may have one of ``keys``, by its columns of the same names: it is never wrong about a key, and
+    lets few other rows pass.
+
+    One bit per hashed key, sixteen bits to a key, in a bitmap of at most 2 MB that travels with the tasks, so most
+    other rows are gone before an exact join shuffles the rest. ``keys`` is read twice.
+    """
+    words = 1 << min(max((keys.count() // 4).bit_length(), 4), 18)
+    at = F.pmod(F.xxhash64(*keys.columns), F.lit(words * 64))
+    word, bit = F.floor(at / 64).cast("int"), (at % 64).cast("int")
+    set_ = keys.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("m"))
+    unset = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
+    folded = set_.unionByName(unset).groupBy("w").agg(F.bit_or("m").alias("m"))
+    bits = folded.agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("b")).select(F.col("b.m")).scalar()
+    return F.getbit(F.get(bits, word), bit) == 1
+
+
 def digest_lanes(text) -> list:
     """Four 60-bit lanes of a SHA-256, to be summed: a digest of a set that needs no ordering."""
     h = F.sha2(text.cast("binary"), 256)

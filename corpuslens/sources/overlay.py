@@ -205,13 +205,15 @@ class Tables:
         for t in names:
             self.driver(t).createOrReplaceTempView(t)
 
-    def _build_scan(self) -> DataFrame:
+    def _corpus(self) -> DataFrame:
         self._register(["documents"])
         files = self.spark.sql(f"WITH {with_clause('corpus_files')} SELECT * FROM corpus_files")
         # A generator is a boundary the optimizer does not inline expressions across: without it the
         # long CASE that makes up a path would be repeated in every predicate on the path.
-        files = files.select(F.inline(F.array(F.struct(*files.columns))))
-        return classify(files).withColumn("skipped", in_skipped_dir(F.col("path")))
+        return files.select(F.inline(F.array(F.struct(*files.columns))))
+
+    def _build_scan(self) -> DataFrame:
+        return classify(self._corpus()).withColumn("skipped", in_skipped_dir(F.col("path")))
 
     def _key(self, name: str) -> str:
         """What is stored belongs to the input files as they are now: a table that is written anew is read anew."""
@@ -235,6 +237,11 @@ class Tables:
     def files(self) -> DataFrame:
         return self.scan.select("doc_id", "repo", "path", "lang", "n_chars", "content")
 
+    @property
+    def texts(self) -> DataFrame:
+        """The rows of ``files`` straight from the input, for jobs that read whole texts and need no class: nothing is stored."""
+        return self._corpus().select("doc_id", "repo", "path", "lang", "n_chars", "content")
+
     @property
     def inv(self) -> DataFrame:
         """The inventory under the default policy, without the directories a scan never enters."""
@@ -245,6 +252,6 @@ class Tables:
         sources = [t for t in DRIVER_TABLES if any(f" {t}" in VIEWS[n] for n in [*needed, name])]
         self._register(sources)
         if "corpus_files" in NEEDS.get(name, []):
-            self.files.createOrReplaceTempView("corpus_files")
+            (self.texts if name.startswith("snap_") else self.files).createOrReplaceTempView("corpus_files")
         ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in [*needed, name])
         return self.spark.sql(f"WITH {ctes} SELECT * FROM {name}")

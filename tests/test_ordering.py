@@ -18,3 +18,11 @@ def test_latest_before_against_all_pairs(spark):
             want[i] = max(seen)[1:] if seen else (None, None)
         assert {r.id: (r.n, r.name) for r in df.collect()} == want
         assert df.count() == len(left)
+
+
+def test_likely_in_keeps_every_key_and_few_others(spark):
+    keys = spark.createDataFrame([("r", f"k{i}") for i in range(3000)] + [(None, "x"), ("r", None), ("r", "k1")], "repo string, path string")
+    others = spark.createDataFrame([("r", f"o{i}") for i in range(8000)], "repo string, path string")
+    may = ordering.likely_in(keys)
+    assert keys.where(may).count() == 3003 and others.where(may).count() < 1500
+    assert others.where(ordering.likely_in(keys.limit(0))).count() == 0

@@ -61,3 +61,13 @@ def test_sessions_of_one_hot_user(spark):
     ev = spark.range(20_000).select(F.lit(1).cast("long").alias("user_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 600) + make_dt_interval(CAST(id % 2 AS INT))").alias("ts"), F.lit(1).cast("long").alias("tokens"))
     got = sorted(r.events for r in L.sessions(ev).collect())
     assert got == [10_000, 10_000]
+
+
+def test_patches_of_repeated_and_missing_keys(spark):
+    """What is changed is decided by key: a repeated path gives every pair, a missing one none."""
+    base = [("r", "same", "x\n"), ("r", "gone", "x\n"), ("r", "edit", "x\n"), ("r", "twice", "x\n"), ("r", "twice", "y\n"), (None, "a", "x\n"), ("r", "none", None)]
+    work = [("r", "same", "x\n"), ("r", "new", "n\n"), ("r", "edit", "z\n"), ("r", "twice", "x\n"), ("r", "none", None)] + [("r", f"u{i}", "u\n") for i in range(300)]
+    base += [("r", f"u{i}", "u\n") for i in range(300)]
+    side = lambda rows: spark.createDataFrame([(r, p, 0, c) for r, p, c in rows], "repo string, path string, batch long, content string")
+    got = sorted((r.path, r.is_new, r.is_deleted) for r in J.patches(side(base), side(work)).collect())
+    assert got == [("edit", False, False), ("gone", False, True), ("new", True, False), ("none", True, True), ("twice", False, False), ("twice", False, False)]

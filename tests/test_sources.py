@@ -99,3 +99,15 @@ def test_plugins(spark):
     plugins.register("vue", lambda p: p.endswith(".vue"))
     f = spark.createDataFrame([("a.vue",), ("tests/b.vue",)], "path string")
     assert [r.path for r in f.where(plugins.matching(all_of=("vue",), none_of=("test",))(F.col("path"))).collect()] == ["a.vue"]
+
+
+def test_snapshots_are_read_without_the_stored_scan(spark, tmp_path):
+    from corpuslens import session
+    from corpuslens.sources.overlay import Tables
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, "src1", f"text {i}", "en", 300) for i in range(60)], "doc_id long, source string, text string, lang string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    t = Tables(spark, d)
+    read = sorted(map(tuple, t.view("snap_base").select("repo", "path", "content").collect()))
+    assert not any(k.startswith(f"{d}/") for _, k in session._STORED)
+    assert read and read == sorted(map(tuple, t.files.select("repo", "path", "content").collect()))
