@@ -60,18 +60,33 @@ def substring_matches(terms: DataFrame, units: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def content_postings(files: DataFrame) -> DataFrame:
-    """The inverted index (repo, path, unit, n): each blank-separated, lower-cased token of each text with its count.
+def content_index(files: DataFrame) -> DataFrame:
+    """The inverted index, one row per text: (repo, path, postings), an array of (unit, n) in the order of the units.
 
-    Tokens are counted inside the row, as runs of the sorted array, so nothing is shuffled.
+    Units are the blank-separated, lower-cased tokens; they are counted inside the row, as runs of the sorted array, so
+    nothing is shuffled.
     """
-    tokens = F.array_sort(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))
+    blank = F.lower("content")
+    for c in "\t\n\x0b\f\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    # split at one plain character needs no pattern
+    tokens = F.sort_array(F.array_remove(F.split(blank, " "), ""))
     # the generator keeps the sorted array computed once
     sorted_ = files.select("repo", "path", F.inline(F.array(F.struct(tokens.alias("t")))))
     begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     runs = sorted_.where(F.size("t") > 0).select("repo", "path", "t", F.inline(F.array(F.struct(begins.alias("b")))))
     counts = F.transform("b", lambda i, k: F.struct(F.get("t", i).alias("unit"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).cast("long").alias("n")))
-    return runs.select("repo", "path", F.inline(counts))
+    return runs.select("repo", "path", counts.alias("postings"))
+
+
+def flat_postings(index: DataFrame) -> DataFrame:
+    """The rows (repo, path, unit, n) of an index."""
+    return index.select("repo", "path", F.inline("postings"))
+
+
+def content_postings(files: DataFrame) -> DataFrame:
+    """The inverted index (repo, path, unit, n): each blank-separated, lower-cased token of each text with its count."""
+    return flat_postings(content_index(files))
 
 
 def text_words(content: Column) -> Column:
@@ -84,29 +99,32 @@ def word_lengths(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", F.size(text_words(F.col("content"))).alias("len"))
 
 
-def _found(terms: DataFrame, index: DataFrame, units: DataFrame) -> DataFrame:
-    """(repo, term, path) of the index rows (repo, unit, path) whose unit contains a term asked in their repo."""
+def _found(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(repo, term, path) of the index rows (repo, unit, path) whose unit contains a term asked in their repo.
+
+    Only the units of these rows are compared with the terms, each once. They are materialised, as terms of each length
+    read them.
+    """
     asked = terms.select("repo", "term").distinct()
-    pairs = substring_matches(asked.select("term").distinct(), units)
+    pairs = substring_matches(asked.select("term").distinct(), durable(index.select("unit").distinct()))
     return pairs.join(asked, "term").join(index.select("repo", "unit", "path"), ["repo", "unit"]).select("repo", "term", "path").distinct()
 
 
 def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, changed: DataFrame, limit: int,
-                 config: RetrievalConfig = DEFAULT, postings: DataFrame | None = None,
-                 units: DataFrame | None = None) -> DataFrame:
+                 config: RetrievalConfig = DEFAULT, index: DataFrame | None = None) -> DataFrame:
     """The ``limit`` best files per query with score and reasons; ties go to the smaller path.
 
-    ``queries``: query_id, repo, query. ``files``: selectable repo, path, size_bytes, content. ``postings`` and ``units``
-    may be a stored index of the same files.
+    ``queries``: query_id, repo, query. ``files``: selectable repo, path, size_bytes, content. ``index``
+    may be a stored ``content_index`` of the same files.
 
     A score has parts of known size: pins and changes do not depend on the query, matches in the path and in the text
     add at most their weights. The ``limit`` best files of a repo by pins and changes alone set a bar for every query of
-    the repo: with their matches they can only rise. So paths are matched first, and the postings of a text are read
-    only if its file can reach the bar with all terms in its text. A file without any match scores the same for every
+    the repo: with their matches they can only rise. So paths are matched first, and the postings of a text are matched
+    only if its file can reach the bar with all terms in its text; tokens of other texts meet no term. The index is
+    narrowed while a text is one row. A file without any match scores the same for every
     query, so only those ``limit`` files can be among the winners; no other pair is formed without a match.
     """
-    postings = content_postings(files) if postings is None else postings
-    units = postings.select("unit").distinct() if units is None else units
+    index = content_index(files) if index is None else index
     terms = query_terms(queries)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = queries.select("query_id", "repo").join(counts, "query_id", "left").withColumn("n", F.greatest(F.coalesce("n_terms", F.lit(0)), F.lit(1)).cast("double")).drop("n_terms")
@@ -121,7 +139,7 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
     least = F.coalesce("bar", F.lit(config.min_score_threshold)) - 1e-9
 
     by_path = files.select("repo", "path", F.lower("path").alias("unit"))
-    in_path = _found(terms, by_path, by_path.select("unit").distinct())
+    in_path = _found(terms, by_path)
     in_path = terms.join(in_path, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(F.count("*").alias("pm"))
     in_path = durable(in_path.join(asked.select("query_id", "n"), "query_id").join(base.select("repo", "path", "sure"), ["repo", "path"], "left").na.fill(0.0, ["sure"]))
     # what a text can add: all its terms
@@ -131,7 +149,9 @@ def rank_context(queries: DataFrame, files: DataFrame, pinned: DataFrame, change
     able = by_match.unionByName(by_base).join(bar, "repo", "left").where(F.col("reach") >= least).select("repo", "path")
     easy = files.select("repo", "path").join(bar, "repo", "left").where(F.lit(config.weight_semantic) >= least).select("repo", "path")
     able = able.unionByName(easy).distinct()
-    in_text = _found(terms, postings.join(able, ["repo", "path"], "left_semi"), units)
+    able = durable(able)
+    near = index.select("repo", "path", F.col("postings.unit").alias("units")).where(ordering.likely_in(able)).join(able, ["repo", "path"], "left_semi")
+    in_text = _found(terms, near.select("repo", "path", F.explode("units").alias("unit")))
     in_text = terms.join(in_text, ["repo", "term"]).groupBy("query_id", "repo", "path").agg(F.count("*").alias("cm"))
 
     zero = F.lit(0).cast("long")

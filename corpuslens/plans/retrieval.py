@@ -48,16 +48,19 @@ _RANK = {**classified(), **TERMS,
 
 
 def text_index(t):
-    """The inverted index of the selectable files and its distinct tokens, stored once for an input."""
-    index = t.table("postings", lambda: H.content_postings(chosen(t)))
-    return index, t.table("posting_units", lambda: index.select("unit").distinct())
+    """The inverted index of the selectable files, one row per file, stored once for an input."""
+    return t.table("content_index", lambda: H.content_index(chosen(t)))
+
+
+def index_units(t):
+    """The distinct tokens of the index, stored once for an input."""
+    return t.table("posting_units", lambda: H.flat_postings(text_index(t)).select("unit").distinct())
 
 
 @query("rank_context", sql("corpus_files", _RANK, """SELECT query_id, repo, rank, path, round(s * 100.0::DOUBLE) / 100.0::DOUBLE AS score, array_to_string(list_filter([CASE WHEN pin = 1 THEN 'pinned by the user' END, CASE WHEN diff = 1 THEN 'changed since the base' END,
  CASE WHEN pm > 0 THEN 'terms in path: '||pm END, CASE WHEN cm > 0 THEN 'terms in text: '||cm END], lambda x: x IS NOT NULL), '; ') AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM rk"""))
 def rank_context(t):
-    index, units = text_index(t)
-    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), 20, postings=index, units=units)
+    return H.rank_context(queries_of(t), chosen(t), pins(t), changed(t), 20, index=text_index(t))
 
 
 @query("rank_context_disabled", sql("corpus_files", classified(), "SELECT repo, path, 1.0::DOUBLE AS score, 'pinned by the user' AS reasons, size_bytes, size_bytes // 4 AS est_tokens FROM inv JOIN labels USING (doc_id) WHERE selectable AND quality = 1 AND toxic = 1"))
@@ -76,9 +79,8 @@ _BM = {**classified(), **QS,
 
 @query("rank_context_bm25", sql("corpus_files", _BM, "SELECT query_id, repo, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM bs QUALIFY rank <= 20"))
 def rank_context_bm25(t):
-    index, units = text_index(t)
     lengths = t.table("word_lengths", lambda: H.word_lengths(chosen(t)))
-    return H.rank_bm25(queries_of(t), chosen(t), 20, postings=index, units=units, lengths=lengths)
+    return H.rank_bm25(queries_of(t), chosen(t), 20, postings=H.flat_postings(text_index(t)), units=index_units(t), lengths=lengths)
 
 
 @query("search_lines", sql("corpus_files", LINES_CTE, r"SELECT repo, path, line_no, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS position, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines WHERE contains(lower(line), 'th')"))
